@@ -4,30 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import ngram_join, quality, toxicity
+from linkweave.llm import ngram_join, packing, pii, quality, toxicity
 from linkweave.llm.sparkutil import Stage
 
 StageFn = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject; it learns from every label of a document present."""
+    """Documents that the toxicity model, fitted to all labels of documents present, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    verdicts = toxicity.score(docs, toxicity.train(docs, labels), keep=docs.columns)
-    return verdicts.where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, toxicity.train(docs, labels), rows=True).where("predicted = 0").select("row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; labels of quality 1 name the trusted ones."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    verdicts = quality.judge(docs, quality.fit(docs, trusted), keep=docs.columns)
-    return verdicts.where("kept").select(*docs.columns)
+    return quality.judge(docs, quality.fit(docs, trusted), rows=True).where("kept").select("row.*")
 
 
-STAGES: list[tuple[str, StageFn]] = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies (five words, 0.8)."""
+    return ngram_join.keep_one(docs, ngram_join.Config(width=5, percent=80))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind, and their new lengths."""
+    found = pii.find(docs, pii.train(docs), rows=True)
+    made = {"text": F.col("redacted"), "n_chars": F.char_length("redacted").cast("long")}
+    return found.select(*(made.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents left, packed into sequences of 1024."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, StageFn]] = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", redact_pii),
+    ("best_fit_packing", pack_sequences),
+]
+#: SQL can express no stage that uses a trained model; tests compare with a plain version.
 ORACLE_SQL = None
 
 

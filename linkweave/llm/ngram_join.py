@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -243,3 +244,30 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     final = Stage(components(first.df.unionByName(second.df).unionByName(many)), "components")
     of = node.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final.df.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("found"))
     return members.df.select("doc_id", "n").join(of, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component; rows with a null id stay.
+
+    Of rows that repeat a kept id one stays. Only rows that may go, as a Bloom
+    filter of fixed size tells, are joined; all others pass where they lie.
+    """
+    spark = session(docs)
+    found = Stage(link(docs, cfg, id_col, text_col), "members").df.where("doc_id is not null")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    wanted = _may_contain(gone.unionByName(again).distinct(), spark)
+
+    @F.pandas_udf("boolean")
+    def perhaps(ids: pd.Series) -> pd.Series:
+        bits, seen = wanted.value
+        x = ids.fillna(0).to_numpy().astype(np.int64).astype(np.uint64)
+        hit = np.ones(len(x), bool)
+        for k in range(3):
+            hit &= seen[(mix(x + np.uint64(k * 7919 + 1)) >> np.uint64(64 - bits)).astype(np.int64)]
+        return pd.Series(hit & ids.notna().to_numpy())
+
+    marked = docs.withColumn("__perhaps", perhaps(F.col(id_col).cast("long")))
+    sure = marked.where("not __perhaps").drop("__perhaps")
+    rest = marked.where("__perhaps").drop("__perhaps").join(gone.withColumnRenamed("id", id_col), id_col, "left_anti").dropDuplicates([id_col])
+    return sure.unionByName(rest.select(*docs.columns))

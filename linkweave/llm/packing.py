@@ -29,8 +29,9 @@ CAPACITY, END = 1024, 2
 CACHE = 400_000
 #: Groups that the pieces of one length are dealt to when they are ranked.
 GROUPS = 64
-#: Rounds of pricing at most, share of a length that one round covers, and the weights' rate.
-ROUNDS, STEP, RATE = 1500, 0.5, 1.0
+#: Rounds of pricing at most, share of a length that one round covers, and the weights' rate. Later rounds only
+#: find patterns with gaps, to which best-fit placement of the open lengths is superior.
+ROUNDS, STEP, RATE = 600, 0.5, 1.0
 #: Latin letters and ASCII without the separators on which libraries differ.
 _PLAIN = regex.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]*")
 
@@ -121,7 +122,7 @@ def best_pattern(value: np.ndarray, capacity: int) -> Pattern:
 
 
 def fractional(count: np.ndarray, capacity: int) -> dict[Pattern, float]:
-    """A near-optimal solution of the configuration program by multiplicative weights.
+    """Use of each pattern in the configuration program, by multiplicative weights.
 
     Each round prices the best pattern, uses it so often that the scarcest of
     its lengths gains STEP of its demand, and lowers the weights of the lengths

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, language_id, ngram_join, packing, quality, toxicity, url_filter
+from . import bpe, embedding_dedup, html_extract, language_id, ngram_join, packing, pii, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -77,6 +81,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs)).drop("redacted")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -89,7 +102,10 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op3_url_filter": OP3_SQL}
