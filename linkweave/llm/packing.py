@@ -10,6 +10,7 @@ pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from .bpe import load_tokenizer
 from .sparkutil import Stage, output, session
 
 CAPACITY, END = 1024, 2
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Parts and words whose ids a task remembers.
+CACHE = 500_000
 #: Groups that the pieces of one length are dealt to when they are ranked.
 GROUPS = 64
 #: Rounds of pricing at most, share of a length that one round covers, and the weights' rate. Later rounds only
@@ -34,6 +35,8 @@ GROUPS = 64
 ROUNDS, STEP, RATE = 600, 0.5, 1.0
 #: Latin letters and ASCII without the separators on which libraries differ.
 _PLAIN = regex.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]*")
+#: The words of such texts; fixed value of byte-level BPE.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -42,35 +45,55 @@ class ByteEncoder:
     """Ids of texts by a byte-level BPE tokenizer whose words begin with at most one space.
 
     A space between two characters that aren't white space begins a word of its
-    own, so a text splits there into parts that are encoded independently, each
-    distinct one once while it is remembered. Texts where that is not sure (two
-    white spaces running, unusual characters, special tokens) go to the
-    tokenizer whole.
+    own, so a text splits there into parts that are encoded independently, and a
+    part splits into words; each distinct part and word is encoded once while it
+    is remembered. Texts where that is not sure (two white spaces running,
+    unusual characters, special tokens) go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
+
         self.tokenizer = load_tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # the vocabulary's characters stand for bytes: printable ones for themselves, the others for 256 and up
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(byte[c] for c in w): i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w not in self.special}
+        self.merge = tiktoken.Encoding("words", pat_str=r"[^\r\n]+|[\r\n]", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = []
+        for word in _WORD.findall(part):
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) > CACHE:
+                    self.words.clear()
+                ids = self.words[word] = np.array(self.merge(word.encode()), "<u4").tobytes()
+            found.append(ids)
+        return b"".join(found)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")) or any(x in text for x in self.special) or not _PLAIN.fullmatch(text):
-            return self._whole([text])[0]
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        found = list(map(self.parts.get, rest))
         if None in found:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({x for x in rest if x not in self.known})
-            self.known.update(zip(new, self._whole([" " + x for x in new]), strict=True))
-            found = list(map(self.known.__getitem__, rest))
-        return self._whole([first])[0] + b"".join(found)
+            known, part = self.parts, self._part
+            for k, ids in enumerate(found):
+                if ids is None:
+                    x = rest[k]
+                    if (ids := known.get(x)) is None:
+                        ids = known[x] = part(" " + x)
+                    found[k] = ids
+        return self._part(first) + b"".join(found)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
