@@ -31,9 +31,11 @@ from .sparkutil import Stage, output, session, sum_blocks
 from .textkernel import mix, shingles, words
 
 #: Parts of the shingle space that the suffix filter counts in.
-PARTS = 64
+PARTS = 128
 #: Posting lists estimated to be longer are split, so that no task gets one whole.
 LIST = 1_000
+#: Neighbours in posting lists that a class is compared with first.
+NEAREST = 3
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Config:
 
     width: int = 5
     percent: int = 80
-    bits: int = 22
+    bits: int = 24
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -54,37 +56,27 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
     size, parts = 1 << cfg.bits, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(size, np.int64), [], 0
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for w in words(batch.column(0)):
                 for i in range(w.last - w.first):
-                    waiting.append(_bucket(shingles(w.hashes[w.of(i)], cfg.width), cfg.bits).astype(np.uint32))
-                    held += len(waiting[-1])
-                    if held > 4 * size:
-                        total += np.bincount(np.concatenate(waiting), minlength=size)
-                        waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size)
-        for k, part in enumerate(np.split(total, parts)):
+                    np.add.at(total, _bucket(shingles(w.hashes[w.of(i)], cfg.width), cfg.bits), np.uint32(1))
+        # a task sends at most 65535 for a bucket: order only matters among rare and frequent
+        for k, part in enumerate(np.split(np.minimum(total, 65535).astype(np.uint16), parts)):
             if part.any():
                 yield pa.RecordBatch.from_pydict({"key": pa.array([str(k)]), "block": pa.array([part.tobytes()], pa.binary())})
 
     rank = np.zeros(size, np.uint8)
-    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary")).toLocalIterator():
+    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16).toLocalIterator():
         k, n = int(row.key), np.frombuffer(row.block, np.int64)
         rank[k * len(n) : (k + 1) * len(n)] = np.minimum(255, np.round(np.log2(n + 1.0) * 8))
     return rank
 
 
-def needed(a, b, percent: int):
-    """Least shared shingles of sets of ``a`` and ``b`` shingles that link them."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
     """Per text: set size, two hashes of the set, prefix in rare-first order, counts by part."""
-    fields = "doc_id long, n int, key1 long, key2 long, prefix array<long>, ranks binary, parts binary"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.binary())])
+    fields = "doc_id long, n int, key1 long, key2 long, prefix array<long>, ranks binary, parts array<short>"
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.list_(pa.int16()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
@@ -101,16 +93,16 @@ def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
                     key2.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F)), initial=np.uint64(len(s))).astype(np.int64))
                     prefix.append(s[first].astype(np.int64))
                     ranks.append(level[first].tobytes())
-                    parts.append(np.minimum(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 65535).astype(np.uint16).tobytes())
+                    parts.append(np.minimum(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
                 yield output(schema, doc_id=ids.slice(w.first, w.last - w.first), n=n, key1=key1, key2=key2, prefix=prefix, ranks=ranks, parts=parts)
 
     return texts.mapInArrow(profile, fields)
 
 
 def _may_contain(ids: DataFrame, spark):
-    """A Bloom filter of ``id`` of fixed size (at most 16 MB): ids that it lacks are not among them."""
+    """A Bloom filter of ``id`` of fixed size (at most 4 MB): ids that it lacks are not among them."""
     n = ids.count()
-    bits = min(27, max(12, int(n * 16).bit_length()))
+    bits = min(25, max(12, int(n * 16).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
@@ -152,7 +144,7 @@ def _sets(texts: DataFrame, cfg: Config, wanted) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     """Those of the distinct pairs ``a, b`` whose sets reach the threshold."""
     spark = pairs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _sets(texts, cfg, _may_contain(ids, spark))
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("y")), "b").select("a", "b", "x", "y")
@@ -173,25 +165,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _suffix_filter(pairs: DataFrame, classes: DataFrame, cfg: Config) -> DataFrame:
-    """Drop pairs whose counts by part cannot reach the needed overlap."""
-    side = classes.select("doc_id", "n", "parts")
-    both = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("x")), "a").join(side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _suffix_fits(cfg: Config) -> str:
+    """Whether sides ``x`` and ``y`` can share enough, as their counts by part tell; sets too large for these counts pass."""
+    return f"(greatest(x.n, y.n) > 32767 or aggregate(zip_with(x.parts, y.parts, (p, q) -> least(p, q)), 0, (s, v) -> s + v) >= ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent}))"
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            n = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PARTS) for k in (4, 5))
-            least = np.minimum(x, y)
-            # a part that is full may hold more than it says
-            bound = np.where((least == 65535).any(1), n, least.astype(np.int64).sum(1))
-            fits = pa.array(bound >= needed(n, 0, cfg.percent))
-            yield output(schema, a=batch.column(0).filter(fits), b=batch.column(1).filter(fits))
 
-    return both.mapInArrow(keep, "a long, b long")
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, cfg: Config) -> DataFrame:
+    """Drop pairs whose counts by part cannot reach the needed overlap."""
+    x, y = (classes.select(F.col("doc_id").alias(side), F.struct("n", "parts").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_suffix_fits(cfg)).select("a", "b")
 
 
 def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,19 +203,22 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     chain = postings.df.where("after is not null").select(F.col("doc_id").alias("a"), F.col("after").alias("b"))
     heads = postings.df.where("split and before is null").withColumn("after", F.lead("doc_id").over(Window.partitionBy("token").orderBy("n", "doc_id"))).where("after is not null").select(F.col("doc_id").alias("a"), F.col("after").alias("b"))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    tried = Stage(ordered(chain.unionByName(heads)), "tried")
+    # of a class's neighbours the ones it meets in most lists come first; step 5 looks at all others
+    often = chain.unionByName(heads).groupBy("b", "a").count().withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(F.col("r") <= NEAREST)
+    tried = Stage(ordered(often.select("a", "b")), "tried")
     first = Stage(_verified(_suffix_filter(tried.df, classes.df, cfg), texts, cfg), "links")
 
     group = Stage(components(first.df), "groups")
     held = postings.df.select("token", "doc_id", "n", "pos").join(group.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
     mixed = held.groupBy("token").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("token")
-    held = held.join(mixed, "token", "left_semi")
+    held = held.join(mixed, "token", "left_semi").join(classes.df.select("doc_id", "parts"), "doc_id")
     x, y = held.alias("x"), held.alias("y")
-    shared = x.join(y, F.expr("x.token = y.token and x.g <> y.g and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)") & (F.expr(f"100 * x.n >= {cfg.percent} * y.n")))
-    counted = shared.groupBy(F.col("x.doc_id").alias("s"), F.col("y.doc_id").alias("t")).agg(F.count("*").alias("c"), F.first("x.n").alias("ns"), F.first("y.n").alias("nt"), F.max("x.pos").alias("ps"), F.max("y.pos").alias("pt"))
-    fits = counted.where(F.expr(f"c + least(ns - ps, nt - pt) - 1 >= ceil({cfg.percent} * (ns + nt) / {100 + cfg.percent})"))
-    rest = ordered(fits.select(F.col("s").alias("a"), F.col("t").alias("b"))).join(tried.df, ["a", "b"], "left_anti")
-    second = Stage(_verified(_suffix_filter(rest, classes.df, cfg), texts, cfg), "links")
+    # a linked pair meets at its first common shingle, from which on each has at least the needed number left
+    need = f"ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent})"
+    meet = F.expr("x.token = y.token and x.g <> y.g and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)") & F.expr(f"100 * x.n >= {cfg.percent} * y.n and x.n - x.pos >= {need} and y.n - y.pos >= {need} and {_suffix_fits(cfg)}")
+    fits = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rest = ordered(fits).join(tried.df, ["a", "b"], "left_anti")
+    second = Stage(_verified(rest, texts, cfg), "links")
 
     # every row links with its class; so do rows that repeat an id
     keyed = members.df.where("n > 0 and doc_id is not null")

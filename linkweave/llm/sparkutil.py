@@ -52,8 +52,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sum_blocks(df: DataFrame, most: int = 64) -> DataFrame:
-    """Sum equally long int64 vectors by key.
+def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64) -> DataFrame:
+    """Sum equally long vectors of ``dtype`` by key; sums are int64.
 
     ``df`` has ``key string, block binary``; each task has pre-summed its rows,
     so a key comes once per task. Rows are summed as they stream by: a task
@@ -64,11 +64,11 @@ def sum_blocks(df: DataFrame, most: int = 64) -> DataFrame:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(block, np.int64)
+                values = np.frombuffer(block, dtype)
                 if key in total:
                     total[key] += values
                 else:
-                    total[key] = values.copy()
+                    total[key] = values.astype(np.int64)
         for key, values in total.items():
             yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.string()), "block": pa.array([values.tobytes()], pa.binary())})
 
