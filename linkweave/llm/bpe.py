@@ -7,13 +7,14 @@
 3. Send words, ids and pieces back to the blocks that hold the words, and put
    them in the places where the words stand.
 
-Splitting at white space is safe for a tokenizer that drops white space and
-never merges over it.
+The splits are those of a lower-casing tokenizer whose words are letter runs,
+single digits and runs of other signs, and that drops white space.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,21 @@ _ODD = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-def split_words(text: str) -> list[str]:
-    """Runs without Unicode white space, which, other than for ``str.split``, has no U+001C to U+001F."""
+#: Texts whose words a pattern can tell: ASCII and Latin letters, of which none is changed by normal form C.
+_PLAIN = regex.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-įı-ſ]*")
+#: Words of such texts in lower case; fixed value of the tokenizer's pattern.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def split_words(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """Parts of a text that are encoded independently.
+
+    Plain Latin text splits into lower-cased letter runs, digits and runs of
+    other signs. Any other text, or one with a special token, splits at Unicode
+    white space, which, other than for ``str.split``, has no U+001C to U+001F.
+    """
+    if _PLAIN.fullmatch(text) and not any(x in text for x in special):
+        return _WORD.findall(text.lower())
     if _ODD.search(text):
         return [w for w in _WHITE.split(text) if w]
     return text.split()
@@ -62,7 +76,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
                 k, held = k + 1, 0
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch], special: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     def row(block: int, seen: set[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "block": pa.array([block] * len(seen), pa.int64())})
 
@@ -74,7 +88,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = block
         for text in part.column("__text").to_pylist():
             if text:
-                seen.update(split_words(text))
+                seen.update(split_words(text, special))
     if seen:
         yield row(now, seen)
 
@@ -117,7 +131,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     change between the two readings, is encoded where it stands.
     """
     session(docs)
-    if load_tokenizer(tokenizer_path).decoder is not None:
+    tokenizer = load_tokenizer(tokenizer_path)
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    if tokenizer.decoder is not None:
         raise ValueError("the tokenizer has a decoder; its words can't be decoded one by one")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -162,7 +178,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                         continue
                     n, ids, decoded = [], [], []
                     for text in part.column(1).to_pylist():
-                        found = split_words(text or "")
+                        found = split_words(text or "", special)
                         rows = [table.get(w) for w in found]
                         if None in rows:
                             codec = codec or Codec(tokenizer_path)
@@ -177,6 +193,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     yield output(schema, __id=part.column(0), n_tokens=n, ids=ids, decoded=decoded)
 
     packed = "block long, kind int, payload binary"
-    coded = source.mapInArrow(_words, "word string, block long").repartition("word").sortWithinPartitions("word").mapInArrow(encode, packed)
+    coded = source.mapInArrow(lambda batches: _words(batches, special), "word string, block long").repartition("word").sortWithinPartitions("word").mapInArrow(encode, packed)
     met = coded.unionByName(source.mapInArrow(_packed, packed)).repartition("block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(place, f"__id {kind}, n_tokens long, ids string, decoded string").withColumnRenamed("__id", id_col)
