@@ -194,5 +194,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     packed = "block long, kind int, payload binary"
     coded = source.mapInArrow(lambda batches: _words(batches, special), "word string, block long").repartition("word").sortWithinPartitions("word").mapInArrow(encode, packed)
-    met = coded.unionByName(source.mapInArrow(_packed, packed)).repartition("block").sortWithinPartitions("block", "kind")
+    # the documents come first in the union: there, too, a task then has the number of its part of the input
+    met = source.mapInArrow(_packed, packed).unionByName(coded).repartition("block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(place, f"__id {kind}, n_tokens long, ids string, decoded string").withColumnRenamed("__id", id_col)
