@@ -30,8 +30,8 @@ from .graph import components
 from .sparkutil import Stage, output, session, sum_blocks
 from .textkernel import mix, shingles, words
 
-#: Parts of the shingle space that the suffix filter counts in.
-PARTS = 128
+#: Parts of the shingle space whose parities the suffix filter compares, 64 to a number.
+PARTS = 2048
 #: Posting lists estimated to be longer are split, so that no task gets one whole.
 LIST = 1_000
 #: Neighbours in posting lists that a class is compared with first.
@@ -74,9 +74,9 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
 
 
 def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
-    """Per text: set size, two hashes of the set, prefix in rare-first order, counts by part."""
-    fields = "doc_id long, n int, key1 long, key2 long, prefix array<long>, ranks binary, parts array<short>"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.list_(pa.int16()))])
+    """Per text: set size, two hashes of the set, prefix in rare-first order, parities by part."""
+    fields = "doc_id long, n int, key1 long, key2 long, prefix array<long>, ranks binary, parts array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.list_(pa.int64()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
@@ -93,7 +93,7 @@ def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
                     key2.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F)), initial=np.uint64(len(s))).astype(np.int64))
                     prefix.append(s[first].astype(np.int64))
                     ranks.append(level[first].tobytes())
-                    parts.append(np.minimum(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
+                    parts.append(np.packbits(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) & 1).view(np.int64))
                 yield output(schema, doc_id=ids.slice(w.first, w.last - w.first), n=n, key1=key1, key2=key2, prefix=prefix, ranks=ranks, parts=parts)
 
     return texts.mapInArrow(profile, fields)
@@ -144,6 +144,7 @@ def _sets(texts: DataFrame, cfg: Config, wanted) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     """Those of the distinct pairs ``a, b`` whose sets reach the threshold."""
     spark = pairs.sparkSession
+    pairs = Stage(pairs, "pairs").df  # read several times below
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _sets(texts, cfg, _may_contain(ids, spark))
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
@@ -166,12 +167,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
 
 
 def _suffix_fits(cfg: Config) -> str:
-    """Whether sides ``x`` and ``y`` can share enough, as their counts by part tell; sets too large for these counts pass."""
-    return f"(greatest(x.n, y.n) > 32767 or aggregate(zip_with(x.parts, y.parts, (p, q) -> least(p, q)), 0, (s, v) -> s + v) >= ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent}))"
+    """Whether sides ``x`` and ``y`` can share enough: a part with different parities holds a shingle that only one has."""
+    return f"aggregate(zip_with(x.parts, y.parts, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= x.n + y.n - 2 * ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent})"
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, cfg: Config) -> DataFrame:
-    """Drop pairs whose counts by part cannot reach the needed overlap."""
+    """Drop pairs whose parities by part rule the needed overlap out."""
     x, y = (classes.select(F.col("doc_id").alias(side), F.struct("n", "parts").alias(name)) for side, name in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").where(_suffix_fits(cfg)).select("a", "b")
 
