@@ -1,7 +1,8 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Scale vectors to length one and collapse equal ones of a label.
-2. Give each vector its best neighbours in a few buckets of random hyperplanes.
+2. Give each vector its best neighbours in a few buckets of random hyperplanes,
+   drawn for each dimension; a bucket is split around its own mean until it fits a block.
 3. Refine: each vector introduces its neighbours, and those that have it as a
    neighbour, to one another; every vector keeps its best. Repeat while links appear.
 4. Enlarge the lists of linked vectors to their whole component, compared in
@@ -11,7 +12,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,8 @@ from .textkernel import mix
 NEIGHBOURS, BLOCK, TABLES, ROUNDS, MOST = 8, 256, 4, 1, 4
 #: Sampled vectors of the audit, and the least share of their links that has to be found.
 AUDIT, RECALL = 200, 0.97
+#: Projections a bucket is split by at a time, and splits at most.
+PLANES, LEVELS = 8, 12
 
 _NODE = "id long, label int, unit binary"
 _EDGE = pa.schema([("s", pa.int64()), ("t", pa.int64()), ("sim", pa.float64())])
@@ -95,24 +97,48 @@ def _trim(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("s", "t").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r")
 
 
-def _seed(nodes: DataFrame, n: int, dim: int, table: int) -> DataFrame:
-    """Rows with a bucket: label, signs of random projections, and a share of what would be too large a bucket."""
-    bits = max(0, math.ceil(math.log2(max(1, n / 96))))
-    planes = np.random.default_rng(1000 + table).standard_normal((max(1, bits), max(1, dim)))
-    schema = pa.schema([("id", pa.int64()), ("unit", pa.binary()), ("label", pa.int32()), ("code", pa.int64())])
+def _project(nodes: DataFrame, tables: range, level: int) -> DataFrame:
+    """``id, t, p``: projections of each row on PLANES random directions, drawn for its table, dimension and level."""
+    schema = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("p", pa.list_(pa.float64()))])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = np.full(len(batch), -1, np.int64)
-            for i, u in enumerate(batch.column(2).to_pylist()):
-                x = np.frombuffer(u)
-                if len(x) == dim and bits:
-                    code[i] = int(np.packbits(planes @ x > 0, bitorder="little").astype(np.int64) @ (1 << 8 * np.arange((bits + 7) // 8, dtype=np.int64)))
-            yield output(schema, id=batch.column(0), unit=batch.column(2), label=batch.column(1), code=code)
+            for ids, m in _same_size(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()):
+                for t in tables:
+                    planes = np.random.default_rng([1000 + t, m.shape[1], level]).standard_normal((PLANES, m.shape[1]))
+                    yield output(schema, id=ids, t=np.full(len(ids), t, np.int32), p=list(m @ planes.T))
 
-    coded = nodes.mapInArrow(sign, "id long, unit binary, label int, code long")
-    size = coded.groupBy("label", "code").agg(F.count("*").alias("size"))
-    return coded.join(size, ["label", "code"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(table)), F.ceil(F.col("size") / BLOCK).cast("long")))
+    return nodes.select("id", "unit").mapInArrow(run, "id long, t int, p array<double>")
+
+
+def _seed(nodes: DataFrame, tables: range) -> DataFrame:
+    """Rows with a bucket for each table: ``t, label, dim, code, part, id``.
+
+    All rows of a label and dimension are one bucket at first. What is larger
+    than a block is split by the signs of projections around the bucket's own
+    mean, with as many bits as its own row count asks for, until it fits. Only
+    a bucket that LEVELS splits leave too large is dealt into parts.
+    """
+    key = ["t", "label", "dim", "code"]
+    split = nodes.select(F.explode(F.array(*(F.lit(t) for t in tables))).alias("t"), "label", F.length("unit").alias("dim"), F.lit(0).cast("long").alias("code"), "id")
+    made = []
+    for level in range(LEVELS + 1):
+        size = split.groupBy(*key).agg(F.count("*").alias("size"))
+        sized = Stage(split.join(size, key), "buckets").df
+        large = sized.where(F.col("size") > BLOCK)
+        if level == LEVELS or large.isEmpty():
+            made.append(sized)
+            break
+        made.append(sized.where(F.col("size") <= BLOCK))
+        near = large.join(_project(nodes, tables, level), ["id", "t"])
+        means = near.groupBy(*key).agg(*(F.avg(F.col("p")[j]).alias(f"m{j}") for j in range(PLANES)))
+        bits = F.ceil(F.log2(F.col("size") / 96))
+        code = sum((F.when((F.col("p")[j] > F.col(f"m{j}")) & (bits > j), 1 << j).otherwise(0) for j in range(PLANES)), F.lit(0))
+        split = near.join(means, key).select("t", "label", "dim", F.xxhash64("code", code).alias("code"), "id")
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
+    return rows.select(*key, F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("size") / BLOCK).cast("long")).alias("part"), "id")
 
 
 def _introduce(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -196,20 +222,15 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     members = Stage(usable, "units").df
     classes = members.groupBy("label", "hash", "unit").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     nodes = Stage(classes.select("id", "label", "unit", "hash", "size"), "nodes").df
-    n = nodes.count()
-    dim = (nodes.agg(F.max(F.length("unit")).alias("d")).first().d or 0) // 8
     bare = nodes.select("id", "label", "unit")
 
     k, tables, rounds = NEIGHBOURS, TABLES, ROUNDS
     graph, seeded = None, 0
     for attempt in range(MOST):
-        made = [] if graph is None else [graph.df]
-        for table in range(seeded, tables):
-            made.append(_seed(bare, n, dim, table).select("label", "code", "part", "id", "unit").groupBy("label", "code", "part").applyInArrow(_groups(k), "s long, t long, sim double"))
+        dealt = _seed(bare, range(seeded, tables)).withColumnRenamed("t", "table").join(bare.select("id", "unit"), "id")
+        edges = dealt.select("table", "label", "dim", "code", "part", "id", "unit").groupBy("table", "label", "dim", "code", "part").applyInArrow(_groups(k), "s long, t long, sim double")
+        edges = edges if graph is None else edges.unionByName(graph.df)
         seeded = tables
-        edges = made[0]
-        for more in made[1:]:
-            edges = edges.unionByName(more)
         graph = Stage(_trim(edges, k), "graph")
         for _ in range(rounds):
             labels = nodes.select("id", "label")

@@ -184,6 +184,29 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def planted(rng, v, at, apart):
+    """Copies of the rows ``at`` of ``v``, each turned by the same small angle."""
+    u = v[at] / np.linalg.norm(v[at], axis=1, keepdims=True)
+    side = rng.standard_normal(u.shape)
+    side -= (side * u).sum(1, keepdims=True) * u
+    return u + apart * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
+def links_found(spark, vectors, pairs):
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: r for r in embedding_dedup.link(df).collect()}
+    assert len(out) == len(vectors)
+    return sum(out[a].component_id == out[b].component_id and out[b].n_links > 0 for a, b in pairs)
+
+
+def test_embeddings_of_mixed_dimensions(spark):
+    rng = np.random.default_rng(5)
+    v, w = rng.standard_normal((8000, 24)), rng.standard_normal((2000, 32))
+    rows = [*v, *planted(rng, v, np.arange(30), 0.15), *w, *planted(rng, w, np.arange(10), 0.15), rng.standard_normal(40)]
+    pairs = [(k, 8000 + k) for k in range(30)] + [(8030 + k, 10030 + k) for k in range(10)]
+    assert links_found(spark, rows, pairs) >= 39
+
+
 def test_pii(spark, odd, documents):
     text = ODD[-1]
     assert [(text[a:b], pii.KINDS[k]) for a, b, k in pii.rule_spans(text)][0] == ("+1 (743) 555-3824", "phone")
