@@ -4,10 +4,11 @@
 2. Give each vector its best neighbours in a few buckets of random hyperplanes,
    drawn for each dimension; a bucket is split around its own mean until it fits a block.
 3. Refine: each vector introduces its neighbours, and those that have it as a
-   neighbour, to one another; every vector keeps its best. Repeat while links appear.
+   neighbour, to one another; every vector keeps its best.
 4. Enlarge the lists of linked vectors to their whole component, compared in
    blocks of fixed size, so a saturated list loses no link.
-5. Audit against brute force on a fixed sample, with more rounds if links are missing.
+5. Repeat 2 and 3 with new buckets until that links almost no more vectors, and an
+   audit against brute force on a sample finds its links; an error says what is missing.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from .graph import components
 from .sparkutil import Stage, output, session
 from .textkernel import mix
 
-#: Neighbours kept, vectors compared in one block, hash tables, and rounds at first and at most.
-NEIGHBOURS, BLOCK, TABLES, ROUNDS, MOST = 8, 256, 4, 1, 4
-#: Sampled vectors of the audit, and the least share of their links that has to be found.
-AUDIT, RECALL = 200, 0.97
+#: Neighbours kept, vectors compared in one block, hash tables and rounds of an attempt, and attempts at most.
+NEIGHBOURS, BLOCK, TABLES, ROUNDS, MOST = 8, 256, 4, 1, 6
+#: Sampled vectors of the audit at first and at most, the links it should hold, and the
+#: least share of them that has to be found.
+AUDIT, ENOUGH, RECALL = (200, 3200), 30, 0.97
 #: Projections a bucket is split by at a time, and splits at most.
 PLANES, LEVELS = 8, 12
 
@@ -184,23 +186,41 @@ def _pairs_in_blocks(members: DataFrame, least: float) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, least: float) -> DataFrame:
-    """Every link of a fixed sample of vectors, by comparing the sample with all vectors."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
-    ids, labels = np.array([r.id for r in sample], np.int64), np.array([r.label for r in sample])
-    units = [np.frombuffer(r.unit) for r in sample]
+    """Every link ``s, t`` of a fixed sample of vectors, by comparing the sample with all vectors.
+
+    The sample grows from AUDIT[0] to AUDIT[1] vectors until it holds ENOUGH links.
+    """
+    sample = nodes.orderBy(F.xxhash64("id"), "id").select("id", "label", "unit").limit(AUDIT[1]).collect()
+    found, links, first, last = [], 0, 0, AUDIT[0]
+    while not found or links < ENOUGH and first < len(sample):
+        found.append(Stage(_compare(nodes, sample[first:last], least), "audit").df)
+        links += found[-1].count()
+        first, last = last, min(4 * last, AUDIT[1])
+    truth = found[0]
+    for more in found[1:]:
+        truth = truth.unionByName(more)
+    return truth
+
+
+def _compare(nodes: DataFrame, sample: list, least: float) -> DataFrame:
+    """Links between the rows of ``sample`` and all of ``nodes``."""
+    held = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in sample])
+    schema = pa.schema([("s", pa.int64()), ("t", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels = np.array([r[0] for r in held.value], np.int64), np.array([r[1] for r in held.value], np.int64)
+        sizes = np.array([len(r[2]) for r in held.value])
         for batch in batches:
             i, label = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             raw = batch.column(2).to_pylist()
-            for dim in {len(u) for u in raw}:
-                at = np.array([k for k, u in enumerate(raw) if len(u) == dim])
-                q = np.array([k for k, u in enumerate(units) if 8 * len(u) == dim], int)
-                if not len(q):
-                    continue
-                near = (np.array([units[k] for k in q]) @ _matrix([raw[k] for k in at]).T >= least) & (labels[q][:, None] == label[at][None, :]) & (ids[q][:, None] != i[at][None, :])
-                a, b = np.nonzero(near)
-                yield output(pa.schema([("s", pa.int64()), ("t", pa.int64())]), s=ids[q[a]], t=i[at[b]])
+            dims = np.array([len(u) for u in raw])
+            for dim in np.unique(dims):
+                at, mine = np.flatnonzero(dims == dim), np.flatnonzero(sizes == dim)
+                m = _matrix([raw[k] for k in at])
+                for q in np.split(mine, range(BLOCK, len(mine), BLOCK)) if len(mine) else ():
+                    near = (_matrix([held.value[k][2] for k in q]) @ m.T >= least) & (labels[q][:, None] == label[at][None, :]) & (ids[q][:, None] != i[at][None, :])
+                    a, b = np.nonzero(near)
+                    yield output(schema, s=ids[q[a]], t=i[at[b]])
 
     return nodes.select("id", "label", "unit").mapInArrow(compare, "s long, t long")
 
@@ -214,8 +234,9 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     zero or have a null or non-finite component, and rows without a label, link
     with nothing; vectors of different dimension don't link. Ids are unique; a
     null id has a null component and is not kept. Other columns are ignored.
+    A search that still misses links after MOST attempts raises RuntimeError.
     """
-    spark = session(vectors)
+    session(vectors)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).alias("v"))
     usable = source.mapInArrow(_units, "id long, label int, unit binary, hash long")
     # equal vectors: one row of them is compared
@@ -224,13 +245,13 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     nodes = Stage(classes.select("id", "label", "unit", "hash", "size"), "nodes").df
     bare = nodes.select("id", "label", "unit")
 
-    k, tables, rounds = NEIGHBOURS, TABLES, ROUNDS
-    graph, seeded = None, 0
+    truth = _audit(nodes, threshold)
+    k, rounds = NEIGHBOURS, ROUNDS
+    graph, merged = None, 0
     for attempt in range(MOST):
-        dealt = _seed(bare, range(seeded, tables)).withColumnRenamed("t", "table").join(bare.select("id", "unit"), "id")
+        dealt = _seed(bare, range(TABLES * attempt, TABLES * (attempt + 1))).withColumnRenamed("t", "table").join(bare.select("id", "unit"), "id")
         edges = dealt.select("table", "label", "dim", "code", "part", "id", "unit").groupBy("table", "label", "dim", "code", "part").applyInArrow(_groups(k), "s long, t long, sim double")
         edges = edges if graph is None else edges.unionByName(graph.df)
-        seeded = tables
         graph = Stage(_trim(edges, k), "graph")
         for _ in range(rounds):
             labels = nodes.select("id", "label")
@@ -238,12 +259,17 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
             same = met.join(labels.withColumnRenamed("id", "s"), "s").join(labels.select(F.col("id").alias("t"), F.col("label").alias("other")), "t").where("label = other").select("s", "t", "sim")
             graph = Stage(_trim(graph.df.unionByName(same), k), "graph")
         groups = Stage(components(graph.df.where(F.col("sim") >= threshold).select(F.col("s").alias("a"), F.col("t").alias("b"))), "groups").df
-        truth = _audit(nodes, threshold)
         seen = truth.join(groups.select(F.col("node").alias("s"), F.col("component").alias("x")), "s", "left").join(groups.select(F.col("node").alias("t"), F.col("component").alias("y")), "t", "left")
-        row = seen.agg(F.count("*").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), 1).otherwise(0)).alias("hit")).first()
-        if row.n == 0 or row.hit >= RECALL * row.n or attempt == MOST - 1:
+        row = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("hit")).first()
+        # vectors that joined a smaller one: it grows with links found, not with longer lists
+        before, merged = merged, groups.where("node <> component").count()
+        whole = row.hit >= RECALL * row.n
+        if whole and attempt and merged - before <= (1 - RECALL) * merged:
             break
-        k, tables, rounds = 2 * k, tables + TABLES, rounds + 1
+        if not whole:
+            k, rounds = 2 * k, rounds + 1
+    else:
+        raise RuntimeError(f"links are missing after {MOST} attempts: {row.hit} of {row.n} links of the audit found, {merged - before} of {merged} linked vectors new in the last attempt")
 
     grouped = groups.withColumnRenamed("node", "id").join(nodes.select("id", "size", "unit"), "id").withColumnRenamed("component", "g")
     linked = _pairs_in_blocks(grouped, threshold)

@@ -207,6 +207,27 @@ def test_embeddings_of_mixed_dimensions(spark):
     assert links_found(spark, rows, pairs) >= 39
 
 
+def test_embeddings_find_rare_links_in_a_cone(spark):
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((15_000, 24))
+    v[:6000] = 0.42 * rng.standard_normal((6000, 24)) + rng.standard_normal(24)
+    pairs = [(k, 15_000 + k) for k in range(30)]
+    rows = [*v, *planted(rng, v, np.arange(30), 0.1)]
+    assert links_found(spark, rows, pairs) >= 29
+
+
+def test_embeddings_missing_links_are_an_error(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 16))
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate([*v, *planted(rng, v, np.arange(300), 0.1)])], "vec_id long, embedding array<double>, label int")
+    import pyarrow as pa
+
+    monkeypatch.setattr(embedding_dedup, "MOST", 1)
+    monkeypatch.setattr(embedding_dedup, "_groups", lambda k: lambda table: pa.Table.from_pylist([], embedding_dedup._EDGE))
+    with pytest.raises(RuntimeError, match="links are missing after 1 attempts: 0 of"):
+        embedding_dedup.link(df)
+
+
 def test_pii(spark, odd, documents):
     text = ODD[-1]
     assert [(text[a:b], pii.KINDS[k]) for a, b, k in pii.rule_spans(text)][0] == ("+1 (743) 555-3824", "phone")
