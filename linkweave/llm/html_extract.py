@@ -5,6 +5,8 @@ tags. Per path, mean text length and mean punctuation per block are computed,
 smoothed over neighbouring blocks, and fused with the path's share of linked
 text; paths whose fused ratio reaches a share of the page's best are content.
 Paths through elements that never hold an article's text are left out first.
+The <article> or <main> that holds most of the content is then taken: an article
+whole, a main as far as its paths are content.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ class Block:
 
     path: tuple[str, ...]
     never: bool
+    within: tuple[int, ...]
     article: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -94,7 +97,8 @@ def blocks(page: str) -> list[Block]:
     """Non-blank blocks of a page in order; broken markup never fails."""
     found: list[Block] = []
     stack: list[tuple[str, str, bool]] = []
-    never, inside, links = 0, 0, 0
+    regions: list[int] = []
+    never, inside, links, opened = 0, 0, 0, 0
     open_ = True
 
     def say(raw: str) -> None:
@@ -102,7 +106,7 @@ def blocks(page: str) -> list[Block]:
         if not raw or (open_ and raw.isspace()):
             return
         if open_:
-            found.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), never > 0, inside > 0))
+            found.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), never > 0, tuple(regions), "article" in (x[0] for x in stack)))
             open_ = False
         text = html.unescape(raw)
         found[-1].parts.append(text)
@@ -114,7 +118,9 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > depth:
             name, _, bad = stack.pop()
             never -= bad
-            inside -= name in ("article", "main")
+            if name in ("article", "main"):
+                inside -= 1
+                regions.pop()
             links -= name == "a"
             open_ |= name not in INLINE
 
@@ -178,7 +184,10 @@ def blocks(page: str) -> list[Block]:
             bad = True
         stack.append((name, label, bad))
         never += bad
-        inside += name in ("article", "main")
+        if name in ("article", "main"):
+            inside += 1
+            opened += 1
+            regions.append(opened)
         links += name == "a"
     return [b for b in found if b.text()]
 
@@ -201,16 +210,40 @@ def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: s / n[p] * (1 - linked[p] / length[p]) for p, s in sums.items()}
 
 
+def _region(found: list[Block], keep: list[bool]) -> tuple[list[Block], list[bool]]:
+    """Blocks of the innermost article or main that holds most of the text kept by ratios.
+
+    Where most of it lies outside all of them, articles are teasers and left
+    out; where neither holds most, ratios alone decide, within them as without.
+    """
+    mass: dict[tuple[int, ...], int] = defaultdict(int)
+    for b, k in zip(found, keep, strict=True):
+        for depth in range(len(b.within) + 1) if k else ():
+            mass[b.within[:depth]] += len(b.text())
+    top: tuple[int, ...] = ()
+    while inner := [r for r in mass if len(r) == len(top) + 1 and r[:-1] == top and 2 * mass[r] > mass[top]]:
+        top = inner[0]
+    outside = sum(len(b.text()) for b, k in zip(found, keep, strict=True) if k and not b.within)
+    if top:
+        at = [i for i, b in enumerate(found) if b.within[: len(top)] == top]
+    elif 2 * outside > mass[()]:
+        at = [i for i, b in enumerate(found) if not b.within]
+    else:
+        at = list(range(len(found)))
+        for b in found:
+            b.article = False
+    return [found[i] for i in at], [keep[i] for i in at]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, one to a line; empty if there are none."""
     found = [b for b in blocks(page or "") if not b.never]
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
     if not found:
         return ""
     ratios = path_ratios(found)
     least = SHARE * max(ratios.values())
     keep = [ratios[b.path] >= least and b.linked <= LINKED * max(1, len(b.text())) for b in found]
+    found, keep = _region(found, keep)
     # headings and short parts between or before content of the same container belong to it
     for k in range(len(found) - 1, -1, -1):
         b, after = found[k], found[k + 1] if k + 1 < len(found) else None

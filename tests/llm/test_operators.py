@@ -153,6 +153,16 @@ def test_html(spark):
         assert text.split() == html.unescape(re.sub(r"<[^>]+>", " ", article)).split()
 
 
+def test_html_article_elements_do_not_decide_alone():
+    long = "A long sentence of the story, with commas, and more of it. It goes on, and on, for some time." * 3
+    card = "<article><h3>Teaser</h3><p>Short words, of a card.</p></article>"
+    story = f"<p>{long}</p>" * 4
+    want = "\n".join([long] * 4)
+    assert html_extract.main_text(f"<body><div class=story>{story}</div><div class=cards>{card * 3}</div></body>") == want
+    assert html_extract.main_text(f"<body>{card * 2}<article>{story}</article>{card}</body>") == want
+    assert html_extract.main_text(f"<body><main><ul>{'<li>Print' * 12}</ul><div>{story}</div><ol>{'<li>Go up' * 12}</ol></main></body>") == want
+
+
 def test_toxicity(spark, odd, documents):
     bad, good = "you are a vile zork today", "you are a fine friend today"
     rows = [(i, f"{bad if i % 3 == 0 else good} number {i}") for i in range(600)]
