@@ -38,7 +38,9 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "blockquote"}
-NEVER = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "fieldset", "head", "search"}
+NEVER = {"nav", "aside", "footer", "button", "dialog", "menu", "head", "search"}
+#: Elements that are left out, as those with a marked name are, unless they hold most of the page.
+SELDOM = {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 #: Words of class and id names that mark what is not an article's text.
@@ -61,6 +63,7 @@ class Block:
 
     path: tuple[str, ...]
     never: bool
+    seldom: tuple[int, ...]
     within: tuple[int, ...]
     article: bool
     parts: list[str] = field(default_factory=list)
@@ -70,16 +73,19 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _marks(name: str, attributes: str) -> tuple[str, bool]:
-    """The tag's name with its class and id, and whether its content never is article text."""
-    names, never = [], name in NEVER
+def _marks(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """The tag's name with its class and id, and whether its content never or seldom is article text; the latter
+    is plain where a whole name consists of marked words."""
+    names, never, seldom, plain = [], name in NEVER, name in SELDOM, False
     if attributes and not attributes.isspace():
         for key, *values in _MARKS.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
                 names += value.lower().split()
-                found = {w.lower() for w in _NAME.findall(value)}
-                never |= bool(found & NEVER_NAMES)
+                for one in value.split():
+                    found = {w.lower() for w in _NAME.findall(one)}
+                    seldom |= bool(found & NEVER_NAMES)
+                    plain |= bool(found) and found <= NEVER_NAMES
             elif key == "role":
                 never |= value.lower() in NEVER_ROLES
             elif key == "hidden":
@@ -88,17 +94,20 @@ def _marks(name: str, attributes: str) -> tuple[str, bool]:
                 never |= value.lower() == "true"
             else:
                 never |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    if name in ("body", "html", "article", "main"):
+    if name in ("body", "html"):
+        never = seldom = plain = False
+    if name in ("article", "main"):
         never = False
-    return ".".join([name, *sorted(names)]), never
+    return ".".join([name, *sorted(names)]), never, seldom, plain
 
 
 def blocks(page: str) -> list[Block]:
     """Non-blank blocks of a page in order; broken markup never fails."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, list[int]]] = []
+    marks: list[int] = []
     regions: list[int] = []
-    never, inside, links, opened = 0, 0, 0, 0
+    never, inside, links, opened, marked = 0, 0, 0, 0, 0
     open_ = True
 
     def say(raw: str) -> None:
@@ -106,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         if not raw or (open_ and raw.isspace()):
             return
         if open_:
-            found.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), never > 0, tuple(regions), "article" in (x[0] for x in stack)))
+            found.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), never > 0, tuple(marks), tuple(regions), "article" in (x[0] for x in stack)))
             open_ = False
         text = html.unescape(raw)
         found[-1].parts.append(text)
@@ -114,9 +123,9 @@ def blocks(page: str) -> list[Block]:
             found[-1].linked += len(text.strip())
 
     def close_to(depth: int) -> None:
-        nonlocal never, inside, links, open_
+        nonlocal never, inside, links, open_, marks
         while len(stack) > depth:
-            name, _, bad = stack.pop()
+            name, _, bad, marks = stack.pop()
             never -= bad
             if name in ("article", "main"):
                 inside -= 1
@@ -179,17 +188,35 @@ def blocks(page: str) -> list[Block]:
             open_ = True
         if name in ("html", "body") and any(x[0] == name for x in stack):
             continue
-        label, bad = _marks(name, m[3])
+        label, bad, seldom, plain = _marks(name, m[3])
         if name == "header" and not inside:
             bad = True
-        stack.append((name, label, bad))
+        stack.append((name, label, bad, marks))
         never += bad
+        if name in ("article", "main"):
+            # an article of comments or teasers says so itself; a wrapper's name doesn't
+            if not seldom and not inside:
+                marks = []
+            seldom = False
+        if seldom:
+            marked += 1
+            marks = [*marks, -marked if plain else marked]
         if name in ("article", "main"):
             inside += 1
             opened += 1
             regions.append(opened)
         links += name == "a"
-    return [b for b in found if b.text()]
+    found = [b for b in found if b.text()]
+    total, held = 0, defaultdict(int)
+    for b in found:
+        b.never |= any(mark < 0 for mark in b.seldom)
+        if not b.never:
+            total += len(b.text())
+            for mark in b.seldom:
+                held[mark] += len(b.text())
+    for b in found:
+        b.never |= any(2 * held[mark] <= total for mark in b.seldom)
+    return found
 
 
 def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
@@ -210,6 +237,12 @@ def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: s / n[p] * (1 - linked[p] / length[p]) for p, s in sums.items()}
 
 
+def _link(b: Block) -> bool:
+    """Whether a block is mostly link; headings and an article's paragraphs may be."""
+    leaf = b.path[-1].split(".")[0] if b.path else ""
+    return b.linked > LINKED * max(1, len(b.text())) and leaf not in HEADINGS and not (b.article and leaf == "p")
+
+
 def _region(found: list[Block], keep: list[bool]) -> tuple[list[Block], list[bool]]:
     """Blocks of the innermost article or main that holds most of the text kept by ratios.
 
@@ -242,12 +275,12 @@ def main_text(page: str | None) -> str:
         return ""
     ratios = path_ratios(found)
     least = SHARE * max(ratios.values())
-    keep = [ratios[b.path] >= least and b.linked <= LINKED * max(1, len(b.text())) for b in found]
+    keep = [ratios[b.path] >= least and not _link(b) for b in found]
     found, keep = _region(found, keep)
     # headings and short parts between or before content of the same container belong to it
     for k in range(len(found) - 1, -1, -1):
         b, after = found[k], found[k + 1] if k + 1 < len(found) else None
-        if not keep[k] and b.linked <= LINKED * len(b.text()):
+        if not keep[k] and not _link(b):
             if after is not None and keep[k + 1] and b.path and b.path[-1].split(".")[0] in HEADINGS:
                 keep[k] = True
             elif b.article:

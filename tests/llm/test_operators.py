@@ -163,6 +163,20 @@ def test_html_article_elements_do_not_decide_alone():
     assert html_extract.main_text(f"<body><main><ul>{'<li>Print' * 12}</ul><div>{story}</div><ol>{'<li>Go up' * 12}</ol></main></body>") == want
 
 
+def test_html_wrappers_and_links_keep_the_article():
+    story = "<p>A long sentence of the story, with commas, and more of it. It goes on, and on, for some time.</p>" * 4
+    want = html_extract.main_text(f"<body><article>{story}</article></body>")
+    assert len(want.split("\n")) == 4
+    side = "<div class=sidebar><p>Other things, and more, of a side bar.</p></div>"
+    for wrapper in ("div class=content-with-sidebar", "div class='no-sidebar overflow-hidden'", "div id=elementor-widget-theme-post-content", "form"):
+        end = wrapper.split()[0]
+        for inner in (story, f"<article>{story}</article>"):
+            assert html_extract.main_text(f"<body><{wrapper}>{inner}{side}</{end}>{side}</body>") == want
+    assert html_extract.main_text(f"<body><div class=no-sidebar><article>{story}</article></div><div id=comments><article class=comment><p>Me too, I say, and more.</p></article></div></body>") == want
+    linked = "<h1><a href=x>Title</a></h1>"
+    assert html_extract.main_text(f"<body><article>{linked}{story}<p><a href=y>Read the source, in full.</a></article></body>") == f"Title\n{want}\nRead the source, in full."
+
+
 def test_toxicity(spark, odd, documents):
     bad, good = "you are a vile zork today", "you are a fine friend today"
     rows = [(i, f"{bad if i % 3 == 0 else good} number {i}") for i in range(600)]
