@@ -19,8 +19,6 @@ from .textkernel import EXACT, NON_SPACE, mix, shingles, utf8, words
 
 #: Bytes to an n-gram and hashed n-grams (2**BITS counters for each multinomial).
 GRAM, BITS = 4, 16
-#: Trusted rows read at most; the raw counts cover every text.
-TRUSTED = 20_000
 #: Pseudo-counts of each hashed n-gram, relative to uniform, in n-grams in all.
 SMOOTH = float(1 << BITS)
 #: Least mean log-likelihood ratio of a kept text.
@@ -57,17 +55,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "block": pa.array([block.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, trusted_ids: DataFrame, limit: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of each hashed n-gram.
 
     Raw counts cover every text of ``docs``. Trusted texts are those whose id is
-    in ``trusted_ids`` (column ``doc_id``), of which at most ``limit`` with the
-    smallest hashes count, so the id table that is broadcast has a fixed bound.
+    in ``trusted_ids`` (column ``doc_id``); all of them count. The ids are only
+    broadcast while they are below Spark's own threshold, else the join shuffles.
     Without any trusted text, or any text, all ratios are 0.
     """
     session(docs)
-    ids = trusted_ids.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit).withColumn("__trusted", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id", "left").where("text is not null").select("text", F.coalesce("__trusted", F.lit(False)).alias("trusted"))
+    ids = trusted_ids.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().withColumn("__trusted", F.lit(True))
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left").where("text is not null").select("text", F.coalesce("__trusted", F.lit(False)).alias("trusted"))
     found = {r.key: np.frombuffer(r.block, np.int64).astype(float) for r in sum_blocks(marked.mapInArrow(_counts, "key string, block binary")).collect()}
     raw, good = (found.get(k, np.zeros(1 << BITS)) for k in ("raw", "trusted"))
     if not good.any():

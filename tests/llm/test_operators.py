@@ -294,6 +294,13 @@ def test_quality(spark, odd, documents):
     assert quality.judge(odd, ratios).count() == odd.count() and quality.judge(odd.limit(0), ratios).count() == 0
 
 
+def test_quality_counts_every_trusted_text(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of a few words") for i in range(40)], "doc_id long, text string")
+    many = quality.fit(docs, spark.range(0, 60_000, 2).withColumnRenamed("id", "doc_id"))
+    few = quality.fit(docs, spark.range(0, 40, 2).withColumnRenamed("id", "doc_id"))
+    assert (many == few).all() and many.any()
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline
 
