@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .sparkutil import Stage
 
 
-def _size(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
+def _written(df: DataFrame) -> tuple[Stage, tuple]:
+    """Edges as a shared table, with their number and a sum of their hashes."""
+    seen = Observation()
+    stage = Stage(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    found = seen.get
+    return stage, (found["n"], found["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,24 +21,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has ``a long, b long``; loops, repeats, either direction and rows
     with a null are allowed (null rows and loops are ignored). Returns
-    ``node long, component long``, one row per node of an edge. Minima are
-    combined before each shuffle and hub nodes meet only minima, never each
-    other, so the rows of a step never outnumber twice its edges.
+    ``node long, component long``, one row per node of an edge, a written table.
+    Minima are combined before each shuffle. A hub's edges meet one row, its
+    minimum, so a skewed join may split them over tasks, and the rows of a step
+    never outnumber twice its edges.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    held = Stage(e, "edges")
-    before = _size(held.df)
+    held, before = _written(e)
     while before[0]:
         both = held.df.unionByName(held.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = Stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after, now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         held.drop()
-        held, now = after, _size(after.df)
+        held = after
         if now == before:
             break
         before = now
     stars = held.df
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = Stage(stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    held.drop()
+    return found.df

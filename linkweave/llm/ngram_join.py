@@ -5,13 +5,17 @@
 2. Collapse texts with equal shingle sets into one class.
 3. Give each class its prefix, the rarest shingles of which two sets above the
    threshold share at least one; keep postings of shingles that occur twice.
-4. Verify neighbours in each posting list and join linked classes into
-   components. Members of a component need no further comparison.
-5. Join the postings of different components, under length, positional and
-   suffix filters, and verify each remaining pair once.
+4. In each posting list, verify neighbours, and each class with the list's
+   centre, of which many are edited; join linked classes into components.
+   Members of a component need no further comparison.
+5. In a few rounds, let the most common members of the components that a list
+   still mixes meet likewise, verify them, and join their components.
+6. Join the postings of different components, under length, positional and
+   suffix filters, and verify each remaining pair once. Long lists are dealt
+   out: one side by parts, the other to all parts.
 
 Groups of copies thus cost as many pairs as members, and no link between
-components is lost. Texts are hashed to 64 bits a shingle.
+components is lost, however few rounds step 5 has. Texts are hashed to 64 bits a shingle.
 """
 
 from __future__ import annotations
@@ -22,18 +26,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .sparkutil import Stage, output, session, sum_blocks
+from .sparkutil import Stage, output, partitions, session, sum_blocks
 from .textkernel import mix, shingles, words
 
 #: Parts of the shingle space whose parities the suffix filter compares, 64 to a number.
 PARTS = 2048
-#: Posting lists estimated to be longer are split, so that no task gets one whole.
-LIST = 1_000
+#: Longer posting lists are split, so that no task gets one whole.
+LIST = 256
+#: Rank of a bucket that was counted once, whose shingle no other text has.
+ONCE = 8
+#: Rounds in which representatives of components meet before the exact join, in lists of so many members at least;
+#: pairs within shorter lists are few.
+ROUNDS, LONG = 1, 16
+#: Blocks of a Bloom filter, and the most bits that it has in all (2**BLOOM, so 8 MB are broadcast at most).
+BLOCKS, BLOOM = 64, 26
 #: Neighbours in posting lists that a class is compared with first.
 NEAREST = 3
 
@@ -66,24 +77,32 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
             if part.any():
                 yield pa.RecordBatch.from_pydict({"key": pa.array([str(k)]), "block": pa.array([part.tobytes()], pa.binary())})
 
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = np.frombuffer(block.as_buffer(), np.int64)
+                found = np.minimum(255, np.round(np.log2(n + 1.0) * 8)).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "block": pa.array([pa.compress(found, "zstd", asbytes=True)], pa.binary())})
+
     rank = np.zeros(size, np.uint8)
-    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16).toLocalIterator():
-        k, n = int(row.key), np.frombuffer(row.block, np.int64)
-        rank[k * len(n) : (k + 1) * len(n)] = np.minimum(255, np.round(np.log2(n + 1.0) * 8))
+    each = size // parts
+    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16).mapInArrow(ranked, "key string, block binary").toLocalIterator():
+        k = int(row.key)
+        rank[k * each : (k + 1) * each] = np.frombuffer(pa.decompress(row.block, each, "zstd"), np.uint8)
     return rank
 
 
 def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
-    """Per text: set size, two hashes of the set, prefix in rare-first order, parities by part."""
-    fields = "doc_id long, n int, key1 long, key2 long, prefix array<long>, ranks binary, parts array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.list_(pa.int64()))])
+    """Per text: set size, two hashes of the set, mean rank and shingles of the prefix in rare-first order, parities by part."""
+    fields = "doc_id long, n int, key1 long, key2 long, common double, prefix array<long>, ranks binary, parts array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key1", pa.int64()), ("key2", pa.int64()), ("common", pa.float64()), ("prefix", pa.list_(pa.int64())), ("ranks", pa.binary()), ("parts", pa.list_(pa.int64()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
         for batch in batches:
             ids = batch.column(0)
             for w in words(batch.column(1)):
-                n, key1, key2, prefix, ranks, parts = [], [], [], [], [], []
+                n, key1, key2, common, prefix, ranks, parts = [], [], [], [], [], [], []
                 for i in range(w.last - w.first):
                     s = np.unique(shingles(w.hashes[w.of(i)], cfg.width))
                     level = order[_bucket(s, cfg.bits)]
@@ -91,45 +110,73 @@ def _profiles(texts: DataFrame, cfg: Config, rank) -> DataFrame:
                     n.append(len(s))
                     key1.append(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64))
                     key2.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F)), initial=np.uint64(len(s))).astype(np.int64))
+                    common.append(float(level[first].mean()) if len(first) else 0.0)
                     prefix.append(s[first].astype(np.int64))
                     ranks.append(level[first].tobytes())
                     parts.append(np.packbits(np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) & 1).view(np.int64))
-                yield output(schema, doc_id=ids.slice(w.first, w.last - w.first), n=n, key1=key1, key2=key2, prefix=prefix, ranks=ranks, parts=parts)
+                yield output(schema, doc_id=ids.slice(w.first, w.last - w.first), n=n, key1=key1, key2=key2, common=common, prefix=prefix, ranks=ranks, parts=parts)
 
     return texts.mapInArrow(profile, fields)
 
 
-def _may_contain(ids: DataFrame, spark):
-    """A Bloom filter of ``id`` of fixed size (at most 4 MB): ids that it lacks are not among them."""
-    n = ids.count()
-    bits = min(25, max(12, int(n * 16).bit_length()))
+class Bloom:
+    """A Bloom filter in blocks: an id's block and its three bits there follow from its hash."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+    def __init__(self, bits: int, held: np.ndarray):
+        self.bits, self.held = bits, held
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Block of each id, and its three bits within a block of 2**bits."""
+        h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        again = mix(h)
+        mask = np.uint64((1 << bits) - 1)
+        return (h >> np.uint64(58)).astype(np.int64), [(x & mask).astype(np.int64) for x in (h, again, again >> np.uint64(32))]
+
+    def perhaps(self, ids: np.ndarray) -> np.ndarray:
+        """False for ids that are surely not among those put in."""
+        block, found = self.places(ids, self.bits)
+        hit = np.ones(len(ids), bool)
+        for x in found:
+            hit &= (self.held[block, x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+        return hit
+
+
+def _may_contain(ids: DataFrame):
+    """A broadcast Bloom filter of the column ``id``, of fixed size at most; each task makes whole blocks of it."""
+    bits = min(BLOOM, max(12, int(ids.count() * 16).bit_length())) - 6
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for k in range(3):
-                seen[(mix(x + np.uint64(k * 7919 + 1)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        if seen.any():
-            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(Bloom.places(x, bits)[0]), "id": pa.array(x, pa.int64())})
 
-    total = np.zeros((1 << bits) // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return spark.sparkContext.broadcast((bits, np.unpackbits(total).astype(bool)))
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, found = Bloom.places(batch.column(1).to_numpy(zero_copy_only=False), bits)
+            for k in np.unique(block):
+                held = made.setdefault(int(k), np.zeros((1 << bits) // 8, np.uint8))
+                for x in found:
+                    np.bitwise_or.at(held, x[block == k] >> 3, np.uint8(1) << (x[block == k] & 7).astype(np.uint8))
+        for k, held in made.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int64()), "held": pa.array([pa.compress(held, "zstd", asbytes=True)], pa.binary())})
+
+    each = (1 << bits) // 8
+    held = np.zeros((BLOCKS, each), np.uint8)
+    n = min(BLOCKS, partitions(ids.sparkSession))
+    for row in ids.mapInArrow(dealt, "block long, id long").repartition(n, "block").mapInArrow(fill, "block long, held binary").toLocalIterator():
+        held[row.block] = np.frombuffer(pa.decompress(row.held, each, "zstd"), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(Bloom(bits, held))
 
 
 def _sets(texts: DataFrame, cfg: Config, wanted) -> DataFrame:
-    """Sorted shingle sets (``doc_id, parts, shingle_set``) of the texts that ``wanted`` may contain."""
+    """Sorted shingle sets (``doc_id, shingle_set``) of the texts that ``wanted`` may contain."""
     schema = pa.schema([("doc_id", pa.int64()), ("shingle_set", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-            hit = np.ones(len(x), bool)
-            for k in range(3):
-                hit &= seen[(mix(x + np.uint64(k * 7919 + 1)) >> np.uint64(64 - bits)).astype(np.int64)]
+            hit = wanted.value.perhaps(batch.column(0).to_numpy(zero_copy_only=False))
             if not hit.any():
                 continue
             batch = batch.filter(pa.array(hit))
@@ -141,14 +188,15 @@ def _sets(texts: DataFrame, cfg: Config, wanted) -> DataFrame:
     return texts.where("doc_id is not null").mapInArrow(gather, "doc_id long, shingle_set binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` whose sets reach the threshold."""
-    spark = pairs.sparkSession
-    pairs = Stage(pairs, "pairs").df  # read several times below
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(texts, cfg, _may_contain(ids, spark))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("y")), "b").select("a", "b", "x", "y")
+def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> Stage:
+    """Those of the distinct pairs ``a, b`` whose sets reach the threshold, written."""
+    pairs = Stage(pairs, "pairs")  # read several times below
+    ids = pairs.df.select(F.col("a").alias("id")).unionByName(pairs.df.select(F.col("b").alias("id"))).distinct()
+    wanted = _may_contain(ids)
+    sets = Stage(_sets(texts, cfg, wanted), "sets")
+    wanted.destroy()
+    left = pairs.df.join(sets.df.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
+    both = left.join(sets.df.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("y")), "b").select("a", "b", "x", "y")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +211,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield output(schema, a=batch.column(0).filter(keep), b=batch.column(1).filter(keep))
 
-    return both.mapInArrow(verify, "a long, b long")
+    links = Stage(both.mapInArrow(verify, "a long, b long"), "links")
+    sets.drop()
+    pairs.drop()
+    return links
 
 
 def _suffix_fits(cfg: Config) -> str:
@@ -172,9 +223,42 @@ def _suffix_fits(cfg: Config) -> str:
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, cfg: Config) -> DataFrame:
-    """Drop pairs whose parities by part rule the needed overlap out."""
+    """Drop pairs whose sizes, or parities by part, rule the needed overlap out."""
     x, y = (classes.select(F.col("doc_id").alias(side), F.struct("n", "parts").alias(name)) for side, name in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(_suffix_fits(cfg)).select("a", "b")
+    sized = F.expr(f"100 * least(x.n, y.n) >= {cfg.percent} * greatest(x.n, y.n)")
+    return pairs.join(x, "a").join(y, "b").where(sized & F.expr(_suffix_fits(cfg))).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after the components of ``group`` that ``links`` connect are joined."""
+    side = lambda c: F.coalesce(F.col(c), F.col(c[0]))
+    met = links.join(group.select(F.col("node").alias("a"), F.col("component").alias("a_")), "a", "left").join(group.select(F.col("node").alias("b"), F.col("component").alias("b_")), "b", "left")
+    joined = components(met.select(side("a_").alias("a"), side("b_").alias("b")))
+    old = group.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return Stage(old.unionByName(joined.join(group, "node", "left_anti")), "groups").df
+
+
+def _centre(doc: str) -> Column:
+    """The member of a list's part whose rare shingles are the most common: one that others are edited from."""
+    return F.max_by(doc, F.struct("common", doc)).over(Window.partitionBy("token", "part"))
+
+
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Each member of a list's part with the next one and with the part's centre: as many pairs as members."""
+    chain = lists.where("after is not null").select(F.col("doc_id").alias("a"), F.col("after").alias("b"))
+    return chain.unionByName(lists.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """``doc_id, n, common, pos, token`` of the prefixes, less those that the sketch proves unique."""
+    rank = F.expr("conv(hex(substring(ranks, pos + 1, 1)), 16, 10)").cast("int")
+    spread = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), rank / 8) / LIST)).cast("long")
+    found = classes.select("doc_id", "n", "common", "ranks", F.posexplode("prefix").alias("pos", "token")).where(rank > ONCE)
+    return found.select("doc_id", "n", "common", "pos", "token", F.pmod(F.xxhash64("doc_id"), spread).alias("part"), spread.cast("int").alias("lists"))
 
 
 def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,43 +276,60 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     spark = session(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rank = spark.sparkContext.broadcast(_sketch(texts.select("text"), cfg))
-    profiles = _profiles(texts, cfg, rank)
-    members = Stage(profiles.select("doc_id", "n", "key1", "key2"), "members")
-    classes = Stage(profiles.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min_by(F.struct("doc_id", "n", "prefix", "ranks", "parts"), "doc_id").alias("c")).select("c.*"), "classes")
+    profiles = Stage(_profiles(texts, cfg, rank), "profiles")
+    rank.destroy()
+    members = Stage(profiles.df.select("doc_id", "n", "key1", "key2"), "members")
+    classes = Stage(profiles.df.where("n > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min_by(F.struct("doc_id", "n", "common", "prefix", "ranks", "parts"), "doc_id").alias("c")).select("c.*"), "classes")
+    profiles.drop()
 
-    # postings of shingles that two classes hold; a list that the sketch finds long is dealt out in parts, whose heads are compared too
-    spread = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), F.expr("conv(hex(substring(ranks, pos + 1, 1)), 16, 10)").cast("int") / 8) / LIST)).cast("long")
-    posting = classes.df.select("doc_id", "n", "ranks", F.posexplode("prefix").alias("pos", "token")).select("doc_id", "n", "pos", "token", F.pmod(F.xxhash64("doc_id"), spread).alias("part"), (spread > 1).alias("split"))
+    # postings of shingles that two classes hold; a list that the sketch finds long is dealt out in parts
     near = Window.partitionBy("token", "part").orderBy("n", "doc_id")
-    postings = Stage(posting.withColumns({"after": F.lead("doc_id").over(near), "before": F.lag("doc_id").over(near)}).where("split or after is not null or before is not null"), "postings")
-    chain = postings.df.where("after is not null").select(F.col("doc_id").alias("a"), F.col("after").alias("b"))
-    heads = postings.df.where("split and before is null").withColumn("after", F.lead("doc_id").over(Window.partitionBy("token").orderBy("n", "doc_id"))).where("after is not null").select(F.col("doc_id").alias("a"), F.col("after").alias("b"))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    # of a class's neighbours the ones it meets in most lists come first; step 5 looks at all others
-    often = chain.unionByName(heads).groupBy("b", "a").count().withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(F.col("r") <= NEAREST)
-    tried = Stage(ordered(often.select("a", "b")), "tried")
-    first = Stage(_verified(_suffix_filter(tried.df, classes.df, cfg), texts, cfg), "links")
-
-    group = Stage(components(first.df), "groups")
-    held = postings.df.select("token", "doc_id", "n", "pos").join(group.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
-    mixed = held.groupBy("token").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("token")
-    held = held.join(mixed, "token", "left_semi").join(classes.df.select("doc_id", "parts"), "doc_id")
-    x, y = held.alias("x"), held.alias("y")
+    beside = {"after": F.lead("doc_id").over(near), "before": F.lag("doc_id").over(near), "centre": _centre("doc_id")}
+    postings = Stage(_postings(classes.df).withColumns(beside).where("lists > 1 or after is not null or before is not null"), "postings")
+    met = _neighbours(postings.df)
+    # of a class's neighbours the ones it meets in most lists come first; later steps look at all others
+    often = met.groupBy("b", "a").count().withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(F.col("r") <= NEAREST)
+    links = _verified(_suffix_filter(_ordered(often.select("a", "b")), classes.df, cfg), texts, cfg)
+    group = components(links.df)
+
+    def with_groups(lists: DataFrame) -> DataFrame:
+        return lists.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
+
+    base = postings.df.select("token", "doc_id", "n", "common", "pos", "lists")
+    hot = Stage(base.join(base.groupBy("token").count().where(F.col("count") >= LONG).select("token"), "token", "left_semi"), "hot")
+    for turn in range(ROUNDS):
+        # of each component in a list its most common member meets others', in parts of this turn's own
+        chosen = with_groups(hot.df).groupBy("token", "g", "lists").agg(F.max_by(F.struct("doc_id", "common"), F.struct("common", "doc_id")).alias("m")).select("token", "m.*", F.pmod(F.xxhash64("g", F.lit(turn)), F.col("lists")).alias("part"))
+        after = F.lead("doc_id").over(Window.partitionBy("token", "part").orderBy(F.xxhash64("doc_id", "token", F.lit(turn)), "doc_id"))
+        met = _ordered(_neighbours(chosen.withColumns({"after": after, "centre": _centre("doc_id")})))
+        links = _verified(_suffix_filter(met, classes.df, cfg), texts, cfg)
+        if links.df.isEmpty():
+            break
+        group = _merged(group, links.df)
+    hot.drop()
+    grouped = with_groups(base.drop("common"))
+    mixed = grouped.groupBy("token").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("token")
+    held = grouped.join(mixed, "token", "left_semi")
+
     # a linked pair meets at its first common shingle, from which on each has at least the needed number left
+    side = held.join(classes.df.select("doc_id", "parts"), "doc_id")
+    x = side.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("lists")).cast("int")).alias("x")
+    y = side.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).alias("y")
     need = f"ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent})"
-    meet = F.expr("x.token = y.token and x.g <> y.g and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)") & F.expr(f"100 * x.n >= {cfg.percent} * y.n and x.n - x.pos >= {need} and y.n - y.pos >= {need} and {_suffix_fits(cfg)}")
+    meet = F.expr("x.token = y.token and x.part = y.part and x.g <> y.g and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)") & F.expr(f"100 * x.n >= {cfg.percent} * y.n and x.n - x.pos >= {need} and y.n - y.pos >= {need} and {_suffix_fits(cfg)}")
     fits = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = ordered(fits).join(tried.df, ["a", "b"], "left_anti")
-    second = Stage(_verified(rest, texts, cfg), "links")
+    rest = _verified(_ordered(fits), texts, cfg)
 
     # every row links with its class; so do rows that repeat an id
     keyed = members.df.where("n > 0 and doc_id is not null")
     rep = keyed.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
-    node = keyed.join(rep, ["key1", "key2"]).select("doc_id", "rep").distinct()
-    repeated = node.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    many = node.join(repeated.select("doc_id", F.col("a").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    final = Stage(components(first.df.unionByName(second.df).unionByName(many)), "components")
-    of = node.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final.df.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("found"))
+    node = Stage(keyed.join(rep, ["key1", "key2"]).select("doc_id", "rep").distinct(), "nodes")
+    repeated = node.df.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    many = node.df.join(repeated.select("doc_id", F.col("a").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    final = _merged(group, rest.df.unionByName(many))
+    of = node.df.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("found"))
+    for stage in (classes, postings):
+        stage.drop()
     return members.df.select("doc_id", "n").join(of, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
 
 
@@ -242,16 +343,11 @@ def keep_one(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", te
     found = Stage(link(docs, cfg, id_col, text_col), "members").df.where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    wanted = _may_contain(gone.unionByName(again).distinct(), spark)
+    wanted = _may_contain(gone.unionByName(again).distinct())
 
     @F.pandas_udf("boolean")
     def perhaps(ids: pd.Series) -> pd.Series:
-        bits, seen = wanted.value
-        x = ids.fillna(0).to_numpy().astype(np.int64).astype(np.uint64)
-        hit = np.ones(len(x), bool)
-        for k in range(3):
-            hit &= seen[(mix(x + np.uint64(k * 7919 + 1)) >> np.uint64(64 - bits)).astype(np.int64)]
-        return pd.Series(hit & ids.notna().to_numpy())
+        return pd.Series(wanted.value.perhaps(ids.fillna(0).to_numpy().astype(np.int64)) & ids.notna().to_numpy())
 
     marked = docs.withColumn("__perhaps", perhaps(F.col(id_col).cast("long")))
     sure = marked.where("not __perhaps").drop("__perhaps")
