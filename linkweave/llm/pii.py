@@ -1,9 +1,11 @@
 """Personal data: exact rules, and a character-level bidirectional LSTM with CRF transitions.
 
-The rules' spans label the training windows. The model, trained in numpy on a
-bounded sample of them, reads overlapping windows of every whole text and adds
-spans that the rules' forms miss. All four kinds need a digit or an ``@``, so
-stretches without either hold no span and are not read by the model.
+The rules' spans, and the same spans rewritten in forms that no rule has (spaced,
+split, spelt out), label the training windows. The model, trained in numpy on a
+bounded sample of them, reads overlapping windows of every whole text around all
+that an added span has to contain (a digit, an ``@`` or the word ``at`` before a
+dot, as ``fits`` asks); windows' tag scores are averaged where they overlap, and
+one best path is decoded over them. It adds that path's spans that fit their kind.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,38 +24,56 @@ from pyspark.sql import functions as F
 from .sparkutil import columns, named, output, session, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
-#: Training windows with and without a span at most (those with the smallest hashes), their length, and passes.
-WITH, WITHOUT, TRAIN_LENGTH, EPOCHS = 2_400, 1_200, 64, 6
-#: Characters of a window, its step, and what is read on either side of a digit or @.
-WINDOW, STEP, MARGIN = 128, 64, 32
+#: Training windows with the rules' spans, with rewritten ones, and without any at most (those with the smallest
+#: hashes), their length, and passes.
+WITH, VARIED, WITHOUT, TRAIN_LENGTH, EPOCHS = 1_200, 2_400, 1_600, 80, 4
+#: Characters of a window, its step, and what is read on either side of a digit, an @ or an at.
+WINDOW, STEP, MARGIN = 128, 96, 48
 HIDDEN, RATE, SIZE = 16, 0.02, 48
-#: Windows decoded together.
-TOGETHER = 1024
-
-# The rules' patterns.
+#: Windows read together, characters whose scores are held at a time, and the overlap of such sections.
+TOGETHER, SECTION, OVERLAP = 512, 400_000, 4_096
+#: Forms in which training has each span, besides its own.
+REWRITES = 3
+#: Characters of an address in any form at most.
+LONGEST = 254
+
+# The rules' patterns. They are possessive and begin where their first run begins, so that a run is read
+# once, however long; a match that begins where the one before ended is looked for by itself.
+_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_EMAIL_HERE = re.compile(_EMAIL)
 RULES = (
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(r"(?<![A-Za-z0-9._%+-])" + _EMAIL),
+    re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 _TRIGGER = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
-#: Forms that an added span must have.
-ADDED = (
-    re.compile(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]{1,3}([ .]{1,3}[0-9]{1,3}){3}"),
-    re.compile(r"[0-9]([\s./-]{0,2}[0-9])+"),
-    re.compile(r"\+?[0-9(][\s().0-9/-]+[0-9]"),
+_AT = re.compile(r"(?<![A-Za-z])at(?![A-Za-z])", re.I)
+_DOT = re.compile(r"(?<![A-Za-z])dot(?![A-Za-z])|\.[A-Za-z0-9]", re.I)
+_NUMBERS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[A-Za-z0-9]+")
+
+#: Forms in which training rewrites the rules' spans, by kind: what stands for the signs between their parts.
+FORMS = (
+    ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", " . "), ("(@)", "."), (" [at] ", ".")),
+    (" . ", "[.]", " dot ", ". ", "(.)"),
+    (".", "/", "_", "  ", " - ", "--"),
+    (".", "/", " ", "-", " - ", ") "),
 )
 
 TAGS = 1 + 2 * len(KINDS)
-_CLASS = np.full(0x251, 21, np.uint8)
-for _c in range(0x80):
-    _CLASS[_c] = 1 if chr(_c).isdigit() else 2 if chr(_c).isupper() else 3 if chr(_c).islower() else 20
-for _k, _c in enumerate('@.-+() \n_%,:/"=#'):
-    _CLASS[ord(_c)] = 4 + _k
-CLASSES = 22
+#: Codes of characters: 0 for none, then ASCII, other Latin letters, and all others.
+CODES, _LATIN, _OTHER = 131, 129, 130
+_CODE = np.full(0x251, _OTHER, np.uint8)
+_CODE[:0x80] = np.arange(1, 0x81)
+_CODE[0xC0:0x250] = _LATIN
+_CODE[0xA0] = 1 + ord(" ")
+#: Codes that start out alike: digits, capitals, small letters.
+_ALIKE = np.arange(CODES)
+for _first, _last in ("09", "AZ", "az"):
+    _ALIKE[1 + ord(_first) : 2 + ord(_last)] = 1 + ord(_first)
+_ALIKE[_LATIN] = 1 + ord("a")
 
 
 def luhn(digits: str) -> bool:
@@ -65,7 +86,7 @@ def _holds(kind: int, text: str) -> bool:
     if kind == 0:
         return True
     if kind == 1:
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
     digits = "".join(_DIGITS.findall(text))
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -76,14 +97,33 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, end, kind)`` of the rules' matches that hold, by start and kind."""
     if not _TRIGGER.search(text):
         return []
-    found = [(m.start(), m.end(), k) for k, rule in enumerate(RULES) if k or "@" in text for m in rule.finditer(text) if _holds(k, m.group())]
+    found = [(m.start(), m.end(), k) for k, rule in enumerate(RULES) if k for m in rule.finditer(text) if _holds(k, m.group())]
+    at = 0 if "@" in text else -1
+    while at >= 0:
+        m = at and _EMAIL_HERE.match(text, at) or RULES[0].search(text, at)
+        if m:
+            found.append((m.start(), m.end(), 0))
+        at = m.end() if m else -1
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
 def codes(text: str) -> np.ndarray:
-    """Character classes of a text, from 1."""
+    """Codes of a text's characters, from 1."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CLASS[np.minimum(points, 0x250)]
+    return _CODE[np.minimum(points, 0x250)]
+
+
+def rewritten(text: str, kind: int, form: int) -> str:
+    """A span in another form: the signs between its parts are replaced."""
+    signs = FORMS[kind][form % len(FORMS[kind])]
+    if kind == 0:
+        name, domain = text.split("@")
+        return name + signs[0] + domain.replace(".", signs[1])
+    if kind == 2:
+        digits = "".join(_DIGITS.findall(text))
+        return signs.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    parts = _NUMBERS.findall(text)
+    return ("(" if signs == ") " else "") + signs.join(parts)
 
 
 def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -110,7 +150,7 @@ def initial() -> Params:
     rng = np.random.default_rng(17)
     p = {}
     for side in "fb":
-        p[f"x{side}"] = rng.normal(0, 0.3, (CLASSES + 1, 4 * HIDDEN))
+        p[f"x{side}"] = rng.normal(0, 0.3, (CODES, 4 * HIDDEN))[_ALIKE] + rng.normal(0, 0.05, (CODES, 4 * HIDDEN))
         p[f"h{side}"] = rng.normal(0, 0.3, (HIDDEN, 4 * HIDDEN))
         p[f"x{side}"][:, HIDDEN : 2 * HIDDEN] += 1
     p["e"], p["c"], p["t"] = rng.normal(0, 0.3, (2 * HIDDEN, TAGS)), np.zeros(TAGS), np.zeros((TAGS, TAGS))
@@ -222,32 +262,32 @@ def fit(windows: np.ndarray, tags: np.ndarray) -> Params:
     return p
 
 
-def decode(p: Params, x: np.ndarray) -> np.ndarray:
-    """Best tag paths (window, time) of class codes (window, time)."""
-    e = emissions(p, x.T.astype(np.int64))
-    trans = np.where(_FORBIDDEN, _NO, p["t"])
+def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best tag paths (time, batch) of scores (time, batch, tag); before and after a path there is no span."""
     n, size, _ = e.shape
     back = np.empty(e.shape, np.int8)
-    score = e[0] + np.where(_FORBIDDEN[0], _NO, 0)
+    score = e[0] + trans[0]
     for t in range(1, n):
         options = score[:, :, None] + trans
         back[t] = options.argmax(1)
         score = options.max(1) + e[t]
     path = np.empty((n, size), np.int8)
-    path[-1] = score.argmax(1)
+    path[-1] = (score + trans[:, 0]).argmax(1)
     for t in range(n - 1, 0, -1):
         path[t - 1] = np.take_along_axis(back[t], path[t][:, None].astype(np.int64), 1)[:, 0]
-    return path.T
+    return path
 
 
-# --- windows -------------------------------------------------------------------
+# --- whole texts -----------------------------------------------------------------
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @, with the margin on either side."""
+    """Stretches around what an added span has to contain, with the margin on either side."""
+    found = [m.start() for m in _TRIGGER.finditer(text)]
+    found += [m.start() for m in _AT.finditer(text) if _DOT.search(text, m.end(), m.end() + LONGEST)]
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for at in sorted(found):
+        low, high = max(0, at - MARGIN), min(len(text), at + 1 + MARGIN)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -255,93 +295,166 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _windows(low: int, high: int) -> list[tuple[int, int, int]]:
-    """Start, and the range it decides, of each window of a stretch: the part nearest to its middle."""
-    starts = list(range(low, max(low + 1, high - WINDOW + STEP), STEP))
-    edge = (WINDOW - STEP) // 2
-    return [(s, low if k == 0 else s + edge, high if k == len(starts) - 1 else s + edge + STEP) for k, s in enumerate(starts)]
+def scores(p: Params, sections: list[np.ndarray]) -> list[np.ndarray]:
+    """Tag scores (time, tag) of each section's codes: means over the overlapping windows that hold a character."""
+    out = [np.zeros((len(c), TAGS), np.float32) for c in sections]
+    times = [np.zeros((len(c), 1), np.float32) for c in sections]
+    at = [(k, start) for k, c in enumerate(sections) for start in range(0, max(1, len(c) - WINDOW + STEP), STEP)]
+    at.sort(key=lambda w: min(WINDOW, len(sections[w[0]]) - w[1]))  # windows of like length together
+    for first in range(0, len(at), TOGETHER):
+        part = at[first : first + TOGETHER]
+        held = [sections[k][start : start + WINDOW] for k, start in part]
+        x = np.zeros((max(map(len, held)), len(part)), np.int64)
+        for i, c in enumerate(held):
+            x[: len(c), i] = c
+        e = emissions(p, x)
+        for i, (k, start) in enumerate(part):
+            n = len(held[i])
+            out[k][start : start + n] += e[:n, i]
+            times[k][start : start + n] += 1
+    return [e / t for e, t in zip(out, times, strict=True)]
+
+
+def stretches(e: np.ndarray, trans: np.ndarray) -> list[tuple[int, int]]:
+    """Where the best path of scores ``e`` may have a span: elsewhere no span can gain on none.
+
+    A span gains at most its best scores over no span's, and the best transition
+    at each place and at its end; a place counts if an interval around it gains.
+    """
+    if not len(e):
+        return []
+    allowed = np.where(_FORBIDDEN, -np.inf, trans) - trans[0, 0]
+    allowed[0, 0] = -np.inf
+    most = float(allowed.max())
+    total = np.concatenate([[0.0], np.cumsum((e[:, 1:].max(1) - e[:, 0]).astype(float) + most)])
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total)[:-1]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], best > -max(most, 0.0), [False]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def added_spans(text: str, tags: dict[int, int], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of decoded tags (by position) that have their kind's form and touch no other span."""
-    found, run = [], None
-    for at in sorted(tags):
-        tag = tags[at]
-        if run and tag == 2 + 2 * run[2] and at == run[1]:
-            run[1] = at + 1
-            continue
-        run = [at, at + 1, (tag - 1) // 2]
-        found.append(run)
+def paths(p: Params, found: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """Spans ``(start, end, kind)`` of the best path of each section's scores."""
+    trans = np.where(_FORBIDDEN, _NO, p["t"])
+    todo = sorted(((b - a, k, a, b) for k, e in enumerate(found) for a, b in stretches(e, trans)))
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in found]
+    for first in range(0, len(todo), TOGETHER):
+        part = todo[first : first + TOGETHER]
+        e = np.full((part[-1][0], len(part), TAGS), _NO, np.float32)
+        e[:, :, 0] = 0
+        for i, (n, k, a, b) in enumerate(part):
+            e[:n, i] = found[k][a:b]
+        path = viterbi(e, trans)
+        for i, (n, k, a, _) in enumerate(part):
+            tags = path[:n, i]
+            for start in np.flatnonzero(tags % 2 == 1).tolist():
+                end = start + 1
+                while end < n and tags[end] == tags[start] + 1:
+                    end += 1
+                spans[k].append((a + start, a + end, int(tags[start] - 1) // 2))
+    return spans
+
+
+def fits(text: str, kind: int) -> bool:
+    """Whether the content of an added span is that of its kind, whatever its form."""
+    digits = "".join(_DIGITS.findall(text))
+    if kind == 0:
+        m = re.search("@", text) or _AT.search(text)
+        return len(text) <= LONGEST and len(_LETTERS.findall(text)) >= 3 and m is not None and bool(_DOT.search(text, m.end()) or " . " in text[m.end() :])
+    if kind == 1:
+        numbers = [x.lstrip("0") for x in _NUMBERS.findall(text)]
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x or "0") <= 255 for x in numbers)
+    if any(c.isalpha() for c in text):
+        return False
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and digits != text
+
+
+def added_spans(text: str, spans: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The model's spans, less white space at their ends, that fit their kind and touch no other span."""
     kept = []
-    for start, end, kind in found:
-        while start < end and text[start].isspace():
-            start += 1
-        while end > start and text[end - 1].isspace():
-            end -= 1
+    for start, end, kind in spans:
         form = text[start:end]
-        if not ADDED[kind].fullmatch(form) or any(start < e and s < end for s, e, _ in taken):
-            continue
-        digits = "".join(_DIGITS.findall(form))
-        if kind == 1 and any(int(x) > 255 for x in re.findall(r"[0-9]+", form)):
-            continue
-        if kind == 2 and not (12 <= len(digits) <= 19 and luhn(digits)) or kind == 3 and (not 9 <= len(digits) <= 15 or digits == form):
-            continue
-        kept.append((start, end, kind))
+        start, end = start + len(form) - len(form.lstrip()), end - (len(form) - len(form.rstrip()))
+        if start < end and fits(text[start:end], kind) and not any(start < e and s < end for s, e, _ in taken):
+            kept.append((start, end, kind))
     return kept
 
 
 def find_spans(texts: list[str], p: Params | None) -> list[tuple[list, list]]:
-    """The rules' spans and all spans of each text; windows of all texts are decoded together."""
+    """The rules' spans and all spans of each text; windows of all texts are read together.
+
+    A stretch of more than SECTION characters is read in sections, which overlap
+    so far that each span lies whole in one: the one where it begins before the
+    middle of the overlap.
+    """
     base = [rule_spans(t) for t in texts]
     if p is None:
         return [(b, b) for b in base]
-    tags: list[dict[int, int]] = [{} for _ in texts]
-    waiting: list[tuple[int, int, int, int, np.ndarray]] = []
+    model: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    waiting: list[tuple[int, int, int, int, int]] = []
 
     def flush() -> None:
-        x = np.zeros((len(waiting), WINDOW), np.uint8)
-        for k, (_, _, _, _, c) in enumerate(waiting):
-            x[k, : len(c)] = c
-        for (row, start, low, high, _), path in zip(waiting, decode(p, x), strict=True):
-            inside = path[low - start : high - start]
-            for k in np.flatnonzero(inside):
-                tags[row][low + int(k)] = int(inside[k])
+        made = paths(p, scores(p, [codes(texts[row][low:high]) for row, low, high, *_ in waiting]))
+        for (row, low, high, first, last), spans in zip(waiting, made, strict=True):
+            model[row] += [(a + low, b + low, k) for a, b, k in spans if first <= a + low < last]
         waiting.clear()
 
+    held = 0
     for row, text in enumerate(texts):
-        for low, high in regions(text):
-            code = codes(text[low:high])
-            for start, first, last in _windows(low, high):
-                waiting.append((row, start, first, min(last, high), code[start - low : start - low + WINDOW]))
-                if len(waiting) == TOGETHER:
+        for begin, end in regions(text):
+            for low in range(begin, max(begin + 1, end - OVERLAP), SECTION - OVERLAP):
+                high = min(end, low + SECTION)
+                waiting.append((row, low, high, low + (OVERLAP // 2 if low > begin else 0), high - (OVERLAP // 2 if high < end else 0)))
+                held += high - low
+                if held >= SECTION:
                     flush()
+                    held = 0
     if waiting:
         flush()
-    return [(b, sorted(b + added_spans(t, g, b), key=lambda s: (s[0], s[2]))) for t, b, g in zip(texts, base, tags, strict=True)]
+    return [(b, sorted(b + added_spans(t, sorted(g), b), key=lambda s: (s[0], s[2]))) for t, b, g in zip(texts, base, model, strict=True)]
 
 
 # --- Spark jobs ----------------------------------------------------------------
 
 
+def examples(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Training windows: codes, tags, and 1 if they hold the rules' spans, 2 a rewritten one, 0 none."""
+    spans = rule_spans(text)
+    tags = _tags(len(text), spans)
+    for low, high in regions(text):
+        code = codes(text[low:high])
+        for at in range(low, high, TRAIN_LENGTH):
+            x, y = code[at - low : at - low + TRAIN_LENGTH], tags[at : min(at + TRAIN_LENGTH, high)]
+            if len(y) and y[0] and y[0] % 2 == 0:
+                y = y.copy()  # a span that began before the window
+                y[: int(np.argmax(np.append(y != y[0], True)))] = 0
+            yield x, y, int(y.any())
+    for start, end, kind, turn in ((*s, turn) for s in spans for turn in range(REWRITES)):
+        seed = zlib.crc32(text[start:end].encode()) + turn
+        made = rewritten(text[start:end], kind, seed)
+        if kind == 1 and len(_NUMBERS.findall(made)) != 4 or len(made) > TRAIN_LENGTH - 8 or tags[start] != 1 + 2 * kind:
+            continue
+        before = min(start, (seed >> 8) % (TRAIN_LENGTH - 4 - len(made)) + 2)
+        window = (text[start - before : start] + made + text[end : end + TRAIN_LENGTH])[:TRAIN_LENGTH]
+        y = np.zeros(len(window), np.uint8)
+        y[before : before + len(made)] = 2 + 2 * kind
+        y[before] = 1 + 2 * kind
+        near = rule_spans(window)
+        if all(before <= a and b <= before + len(made) for a, b, _ in near):
+            yield codes(window), y, 2
+    if text:  # prose without any
+        at = zlib.crc32(text[:64].encode("utf-8", "replace")) % len(text)
+        y = tags[at : at + TRAIN_LENGTH]
+        if not y.any():
+            yield codes(text[at : at + TRAIN_LENGTH]), y, 0
+
+
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows around digits and @, labelled by the rules."""
-    schema = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("has", pa.bool_())])
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("has", pa.int32())])
     for batch in batches:
-        xs, ys = [], []
-        for text in batch.column(0).to_pylist():
-            if not text or not _TRIGGER.search(text):
-                continue
-            tags = _tags(len(text), rule_spans(text))
-            for low, high in regions(text):
-                code = codes(text[low:high])
-                for at in range(low, high, TRAIN_LENGTH):
-                    x, y = code[at - low : at - low + TRAIN_LENGTH], tags[at : min(at + TRAIN_LENGTH, high)]
-                    if len(y) and y[0] and y[0] % 2 == 0:
-                        y = y.copy()  # a span that began before the window
-                        y[: int(np.argmax(np.append(y != y[0], True)))] = 0
-                    xs.append(np.pad(x, (0, TRAIN_LENGTH - len(x))).tobytes())
-                    ys.append(np.pad(y, (0, TRAIN_LENGTH - len(y))).tobytes())
-        yield output(schema, x=xs, y=ys, has=[any(y) for y in ys])
+        found = [e for text in batch.column(0).to_pylist() if text for e in examples(text)]
+        yield output(schema, x=[np.pad(x, (0, TRAIN_LENGTH - len(x))).tobytes() for x, _, _ in found], y=[np.pad(y, (0, TRAIN_LENGTH - len(y))).tobytes() for _, y, _ in found], has=[k for _, _, k in found])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,13 +473,14 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text") -> Params | None:
     """A model learnt from the rules' spans; None if no text has a window with one.
 
-    All texts offer windows; at most WITH and WITHOUT of them, distinct and with
+    All texts offer windows; at most WITH, VARIED and WITHOUT of them, distinct and with
     the smallest hashes, are fitted in one task, in the order of the hashes.
     """
     session(docs)
-    windows = docs.select(F.col(text_col).alias("__text")).where("__text is not null").mapInArrow(_label, "x binary, y binary, has boolean").distinct()
+    windows = docs.select(F.col(text_col).alias("__text")).where("__text is not null").mapInArrow(_label, "x binary, y binary, has int").distinct()
     order = F.xxhash64("x", "y")
-    picked = windows.where("has").orderBy(order, "x", "y").limit(WITH).unionByName(windows.where("not has").orderBy(order, "x", "y").limit(WITHOUT))
+    none, some, varied = (windows.where(F.col("has") == k).orderBy(order, "x", "y").limit(n) for k, n in enumerate((WITHOUT, WITH, VARIED)))
+    picked = some.unionByName(varied).unionByName(none)
     rows = picked.repartition(1).sortWithinPartitions(order, "x", "y").select("x", "y").mapInArrow(_fit, "model binary").collect()
     if not rows:
         return None
