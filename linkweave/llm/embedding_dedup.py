@@ -33,13 +33,12 @@ AUDIT, ENOUGH, RECALL = (200, 3200), 30, 0.97
 #: Projections a bucket is split by at a time, and splits at most.
 PLANES, LEVELS = 8, 12
 
-_NODE = "id long, label int, unit binary"
 _EDGE = pa.schema([("s", pa.int64()), ("t", pa.int64()), ("sim", pa.float64())])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose vector can be compared, scaled to length one."""
-    schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("unit", pa.binary()), ("hash", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("unit", pa.binary()), ("hash", pa.int64())])
     for batch in batches:
         ids, labels, units, hashes = [], [], [], []
         for i, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -232,15 +231,18 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     vectors linked directly), ``component_id long`` (smallest id reachable) and
     ``kept boolean`` (the id is its component's). Vectors that are null, empty,
     zero or have a null or non-finite component, and rows without a label, link
-    with nothing; vectors of different dimension don't link. Ids are unique; a
+    with nothing; vectors of different dimension don't link. Labels of any type
+    are compared as they are. Rows that repeat an id are one vector where they
+    are equal, which doesn't link with itself; different vectors of one id are
+    one node whose links are the sum of theirs. Each row gets a row. A
     null id has a null component and is not kept. Other columns are ignored.
     A search that still misses links after MOST attempts raises RuntimeError.
     """
     session(vectors)
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).alias("v"))
-    usable = source.mapInArrow(_units, "id long, label int, unit binary, hash long")
-    # equal vectors: one row of them is compared
-    members = Stage(usable, "units").df
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    usable = source.select("id", F.xxhash64("label").alias("label"), "v", F.col("label").isNotNull().alias("known")).where("known").mapInArrow(_units, "id long, label long, unit binary, hash long")
+    # equal vectors: one row of them is compared; a repeated row counts once
+    members = Stage(usable.distinct(), "units").df
     classes = members.groupBy("label", "hash", "unit").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     nodes = Stage(classes.select("id", "label", "unit", "hash", "size"), "nodes").df
     bare = nodes.select("id", "label", "unit")
@@ -258,7 +260,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
             met = _introduce(graph.df, nodes, k)
             same = met.join(labels.withColumnRenamed("id", "s"), "s").join(labels.select(F.col("id").alias("t"), F.col("label").alias("other")), "t").where("label = other").select("s", "t", "sim")
             graph = Stage(_trim(graph.df.unionByName(same), k), "graph")
-        groups = Stage(components(graph.df.where(F.col("sim") >= threshold).select(F.col("s").alias("a"), F.col("t").alias("b"))), "groups").df
+        groups = components(graph.df.where(F.col("sim") >= threshold).select(F.col("s").alias("a"), F.col("t").alias("b")))
         seen = truth.join(groups.select(F.col("node").alias("s"), F.col("component").alias("x")), "s", "left").join(groups.select(F.col("node").alias("t"), F.col("component").alias("y")), "t", "left")
         row = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("hit")).first()
         # vectors that joined a smaller one: it grows with links found, not with longer lists
@@ -276,5 +278,9 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     per = nodes.select("id", "label", "unit", "hash", "size").join(linked, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     per = per.select("label", "hash", "unit", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     of = members.join(per, ["label", "hash", "unit"]).select("id", "n_links", "component_id")
+    # different vectors of one id, which are rare, join what they link
+    many = of.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.max("component_id").alias("other"))
+    bridged = components(of.join(many.where("component_id < other").select("id", F.col("component_id").alias("least")), "id").select(F.col("component_id").alias("a"), F.col("least").alias("b")))
+    of = many.drop("other").join(bridged.select(F.col("node").alias("component_id"), F.col("component").alias("found")), "component_id", "left").select("id", "n_links", F.coalesce("found", "component_id").alias("component_id"))
     done = source.select("id").join(of, "id", "left")
     return done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"))
