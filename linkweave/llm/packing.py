@@ -28,8 +28,8 @@ from .sparkutil import Stage, output, session
 CAPACITY, END = 1024, 2
 #: Parts and words whose ids a task remembers.
 CACHE = 500_000
-#: Groups that the pieces of one length are dealt to when they are ranked.
-GROUPS = 64
+#: Pieces of one length that are ranked in one group.
+RANKED = 100_000
 #: Rounds of pricing at most, share of a length that one round covers, and the weights' rate. Later rounds only
 #: find patterns with gaps, to which best-fit placement of the open lengths is superior.
 ROUNDS, STEP, RATE = 600, 0.5, 1.0
@@ -236,13 +236,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     kept, an empty table gives no rows, other columns are ignored.
     """
     spark = session(docs)
-    found = Stage(pieces(docs, tokenizer_path, capacity, end, id_col, text_col).withColumn("g", F.pmod(F.xxhash64("__id", "piece", "ids_crc32"), F.lit(GROUPS)).cast("int")), "pieces").df
-    groups = found.groupBy("length", "g").agg(F.count("*").alias("n"))
+    stage = Stage(pieces(docs, tokenizer_path, capacity, end, id_col, text_col), "pieces")
     count = np.zeros(capacity + 1, np.int64)
+    for row in stage.df.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most one row per length
+        count[row.length] = row.n
+    # a length with many pieces is ranked in as many groups as it needs
+    dealt = spark.createDataFrame([(int(n), int(-(-count[n] // RANKED))) for n in np.flatnonzero(count)], "length long, groups int")
+    found = stage.df.join(F.broadcast(dealt), "length").withColumn("g", F.pmod(F.xxhash64("__id", "piece", "ids_crc32"), F.col("groups")).cast("int"))
     before: dict[tuple[int, int], int] = {}
-    for row in groups.orderBy("length", "g").collect():  # at most capacity * GROUPS rows
-        before[row.length, row.g] = int(count[row.length])
-        count[row.length] += row.n
+    rank: Counter[int] = Counter()
+    for row in found.groupBy("length", "g").agg(F.count("*").alias("n")).orderBy("length", "g").collect():  # a row per length, and per RANKED pieces
+        before[row.length, row.g] = rank[row.length]
+        rank[row.length] += row.n
     shared = spark.sparkContext.broadcast((before, _slots(plan(count, capacity))))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "g").orderBy("__id", "piece", "start")) - 1)
 
