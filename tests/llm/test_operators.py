@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -203,11 +204,24 @@ def test_embeddings_equal_brute_force(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[:400]])
     near = (u @ u.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(400, dtype=bool)
-    assert sum(out[i][0] == near[i].sum() for i in range(400)) >= 396
+    assert [out[i][0] for i in range(400)] == near.sum(1).tolist()
+    root = list(range(400))
+    for _ in range(400):
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(400)]
+        if new == root:
+            break
+        root = new
+    assert [out[i][1:] for i in range(400)] == [(root[i], root[i] == i) for i in range(400)]
     assert all(out[i] == (0, i, True) for i in range(900, 907))
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_rows_and_labels_of_text(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [0.0, 1.0], "a"), (1, [0.0, 1.0], "a"), (None, [1.0, 0.0], "a"), (5, [1.0, 0.0], None)]
+    out = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert Counter(tuple(r) for r in out) == Counter({(1, 2, 1, True): 3, (2, 1, 1, False): 1, (3, 0, 3, True): 1, (4, 1, 1, False): 1, (None, 0, None, False): 1, (5, 0, 5, True): 1})
+
+
 def planted(rng, v, at, apart):
     """Copies of the rows ``at`` of ``v``, each turned by the same small angle."""
     u = v[at] / np.linalg.norm(v[at], axis=1, keepdims=True)
@@ -252,6 +266,69 @@ def test_embeddings_missing_links_are_an_error(spark, monkeypatch):
         embedding_dedup.link(df)
 
 
+RULES = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    """The base rules as they are stated."""
+    found = []
+    for k, rule in enumerate(RULES):
+        for m in re.finditer(rule, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits)))
+            if (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 12 <= len(digits) <= 19 and doubled % 10 == 0, 9 <= len(digits) <= 15)[k]:
+                found.append((m.start(), m.end(), k))
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_pii_rules_equal_the_stated_ones(documents):
+    rng = np.random.default_rng(1)
+    for signs in ("a.@_-1", "12.", "0 1-2+(). @a.b", "a@.-_ b+%"):
+        for _ in range(5_000):
+            text = "".join(rng.choice(list(signs), rng.integers(0, 40)))
+            assert pii.rule_spans(text) == plain_spans(text)
+    for r in documents.collect():
+        assert pii.rule_spans(r.text) == plain_spans(r.text)
+
+
+def test_pii_rules_read_long_runs_once():
+    start = time.time()
+    for text in ("0" * 5000 + ".1.1.1", "1" * 1_000_000, "a" * 1_000_000 + " @ 1", "+1(" * 300_000, "a@" * 300_000, "1.1.1 " * 200_000, "+1" + "(" * 500_000):
+        pii.rule_spans(text)
+    assert pii.rule_spans("0" * 5000 + ".1.1.1") == [(0, 5006, 1)] and time.time() - start < 20
+
+
+def test_pii_model_adds_spans_that_no_rule_has(spark):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text").collect()
+    seen, unseen = [r.text for r in docs if r.doc_id % 2], [r.text for r in docs if r.doc_id % 2 == 0]
+    model = pii.train(spark.createDataFrame([(i, t) for i, t in enumerate(seen)], "doc_id long, text string"))
+    made, want = [], []
+    prose = [t for t in unseen if not pii.rule_spans(t)]
+    values = [(t[a:b], k) for t in unseen for a, b, k in pii.rule_spans(t)]
+    for i, (value, kind) in enumerate(values):
+        for form in range(len(pii.FORMS[kind])):
+            new, around = pii.rewritten(value, kind, form), prose[i % len(prose)][:300]
+            made.append(f"{around[:40]} {new} {around[40:]}")
+            want.append((len(around[:40]) + 1, len(around[:40]) + 1 + len(new), kind))
+    found = pii.find_spans(made, model)
+    assert sum(w in spans and w not in base for w, (base, spans) in zip(want, found, strict=True)) >= 0.5 * len(want)
+    extra = sum(len(spans) - len(base) for base, spans in pii.find_spans(prose, model))
+    assert extra <= 0.02 * len(prose)
+
+
+def test_pii_reads_stretches_across_windows_and_sections(monkeypatch):
+    """Sections and windows give the spans of one path over the whole stretch."""
+    p = {k: v for k, v in pii.initial().items()}
+    p["c"] = np.array([1.0] + [0.2] * (pii.TAGS - 1), np.float32)
+    rng = np.random.default_rng(4)
+    e = rng.normal(0, 1.5, (3000, pii.TAGS)).astype(np.float32)
+    e[:, 0] += 3
+    trans = np.where(pii._FORBIDDEN, pii._NO, p["t"])
+    path = pii.viterbi(e[:, None, :], trans)[:, 0]
+    whole = [i for i in np.flatnonzero(path % 2 == 1).tolist()]
+    assert [a for a, _, _ in sorted(pii.paths(p, [e])[0])] == whole and whole
+
+
 def test_pii(spark, odd, documents):
     text = ODD[-1]
     assert [(text[a:b], pii.KINDS[k]) for a, b, k in pii.rule_spans(text)][0] == ("+1 (743) 555-3824", "phone")
@@ -259,7 +336,7 @@ def test_pii(spark, odd, documents):
     model = pii.train(documents)
     for model_ in (model, None):
         for r, x in zip(odd.collect(), pii.find(odd, model_).collect(), strict=True):
-            base = pii.spell(pii.rule_spans(r.text or ""))
+            base = pii.spell(plain_spans(r.text or ""))
             assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(x.spans.split(","))
     p = {k: v.astype(float) for k, v in pii.initial().items()}
     x, y = np.random.default_rng(0).integers(1, 22, (6, 2)), np.zeros((6, 2), int)
