@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import names, numbers
 
 from . import catalog
+from .staging import staged
 
 # Confidence of each strategy, in the order in which ties are decided.
 LADDER = {
@@ -129,13 +130,14 @@ def match(collection: DataFrame, series: DataFrame, issues: DataFrame) -> DataFr
     """Every collection row with its best match, or ``no_match`` with confidence 0.
 
     Rows with a barcode hit skip the other strategies. A result without an issue
-    may win the contest; it is then reported with its series only.
+    may win the contest; it is then reported with its series only. Tables that
+    several strategies read are written once.
     """
-    rows = standardise(collection)
-    preferred, codes = catalog.preferred_issues(issues), catalog.barcodes(issues)
-    hits = by_barcode(rows, codes).unionByName(by_barcode_prefix(rows, codes))
-    rest = rows.join(hits.select("row_id"), "row_id", "left_anti")
-    exact = catalog.name_index(series, preferred, names.key(F.col("name")))
+    rows = staged(standardise(collection))
+    preferred, codes = staged(catalog.preferred_issues(issues)), staged(catalog.barcodes(issues))
+    hits = staged(by_barcode(rows, codes).unionByName(by_barcode_prefix(rows, codes)))
+    rest = staged(rows.join(hits.select("row_id"), "row_id", "left_anti"))
+    exact = staged(catalog.name_index(series, preferred, names.key(F.col("name"))))
     found = [
         hits,
         by_exact_name(rest, exact),

@@ -11,10 +11,13 @@ def staged(df: DataFrame) -> DataFrame:
     """The rows written once to the session's checkpoint folder, and read from there.
 
     The folder is the one that ``spark.checkpoint.dir`` names; a temporary one is
-    set only where that is unset, as in tests.
+    set only where that is unset in a local session, as in tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
