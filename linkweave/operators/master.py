@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import staged
+
 KEY = ("title", "start_year")
+# Fixed value: the title that means none.
+NO_TITLE = "unknown series"
 
 
 def duplicate_report(master: DataFrame) -> DataFrame:
@@ -41,15 +45,56 @@ def apply_corrections(mappings: DataFrame, requests: DataFrame) -> DataFrame:
     return x.select("request_id", "mapping_id", status.alias("status"), F.when(status == 200, F.coalesce("new_id", "source_issue_id")).alias("source_issue_id"), F.when(status == 200, F.col("new_id").isNotNull()).alias("is_accurate"))
 
 
-def resolve(candidates: DataFrame, mappings: DataFrame, master: DataFrame) -> DataFrame:
-    """Candidates resolved by existing mapping (1.0), then title and year (0.95), then title alone (0.85, earliest year), else created."""
-    by_map = mappings.groupBy("source", "source_issue_id").agg(F.min("issue_id").alias("mapped"))
-    by_year = master.groupBy(*KEY).agg(F.min("id").alias("same_year"))
-    by_title = master.groupBy("title").agg(F.min_by("id", F.struct("start_year", "id")).alias("any_year"))
-    x = candidates.join(by_map, ["source", "source_issue_id"], "left").join(by_year, list(KEY), "left").join(by_title, "title", "left")
-    how = F.when(F.col("mapped").isNotNull(), "mapping").when(F.col("same_year").isNotNull(), "title_year").when(F.col("any_year").isNotNull(), "title").otherwise("created")
-    score = F.when(how == "mapping", 1.0).when(how == "title_year", 0.95).when(how == "title", 0.85).otherwise(0.0)
-    return x.select("candidate_id", how.alias("how"), score.alias("confidence"), F.coalesce("mapped", "same_year", "any_year").alias("issue_id"))
+def _near(open_: DataFrame, series: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Per title and number: the issue of that number under the most alike title, then earliest year, then least series.
+
+    Only distinct titles are compared, and the known side is one row per title and number.
+    """
+    low = F.lower("title").alias("low")
+    index = series.join(held, "series_id").groupBy(low, "number").agg(F.min(F.struct("start_year", "series_id", "i")).alias("b"))
+    pairs = fuzzy_titles(open_.select(low.alias("name")), series.select(low.alias("name")), least).select(F.col("title").alias("asked"), F.col("known").alias("low"), "alike")
+    met = open_.select("title", "number", F.lower("title").alias("asked")).join(pairs, "asked").join(index, ["low", "number"])
+    best = F.min(F.struct((-F.col("alike")).alias("a"), "b.start_year", "b.series_id", F.col("b.i").alias("i"))).alias("n")
+    return met.groupBy("title", "number").agg(best).select("title", "number", (-F.col("n.a")).alias("alike"), F.col("n.i").alias("near"))
+
+
+def resolve(candidates: DataFrame, mappings: DataFrame, master: DataFrame, issues: DataFrame, least: float = 0.85) -> DataFrame:
+    """Candidates resolved to canonical issues, and what becomes of each.
+
+    ``how`` is the first that gives an issue: existing mapping to a known issue (1.0), equal UPC (1.0),
+    number in the series of the title and year (0.95), number in the title's first series (0.85), number
+    under a title at least ``least`` alike (0.70 x similarity); else ``none``. ``outcome`` is ``matched``;
+    ``variant`` or ``rejected`` if both UPCs are known and differ, with or without a suffix or cover
+    date (a mapping is not questioned); without an issue ``created`` or, where title, year or number are
+    missing, ``invalid``. Equal new issues share ``new_key``. Of repeated keys the least id counts.
+    """
+    columns = ("candidate_id", "source", "source_issue_id", "upc", "title", "start_year", "number", "suffix", "cover_date")
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c)).alias(c)
+    asked = candidates.select(*(filled(c) if c in ("upc", "title", "number") else F.when(F.trim(c) != "", F.trim(c)).alias(c) if c == "suffix" else c for c in columns))
+    series = master.select(F.col("id").alias("series_id"), *KEY)
+    held = issues.groupBy("series_id", "number").agg(F.min(F.struct("issue_id", "upc")).alias("i"))
+    by_map = mappings.select("source", "source_issue_id", "issue_id").join(issues.select("issue_id"), "issue_id", "left_semi").groupBy("source", "source_issue_id").agg(F.min("issue_id").alias("mapped"))
+    by_code = issues.where("upc is not null").groupBy(F.col("upc").alias("code")).agg(F.min("issue_id").alias("coded"))
+    by_year = series.groupBy(*KEY).agg(F.min("series_id").alias("series_id")).join(held, "series_id").select(*KEY, "number", F.col("i").alias("same_year"))
+    by_title = series.groupBy("title").agg(F.min_by("series_id", F.struct("start_year", "series_id")).alias("series_id")).join(held, "series_id").select("title", "number", F.col("i").alias("any_year"))
+    # A candidate without a UPC gets a key of its own, so that such rows don't meet in one task.
+    x = asked.withColumn("code", F.coalesce("upc", F.concat(F.lit("none:"), F.col("candidate_id").cast("string"))))
+    x = staged(x.join(by_map, ["source", "source_issue_id"], "left").join(by_code, "code", "left").join(by_year, [*KEY, "number"], "left").join(by_title, ["title", "number"], "left"))
+    left = x.where("mapped is null and coded is null and same_year is null and any_year is null and title is not null and number is not null").select("title", "number").distinct()
+    x = x.join(_near(left, series, held, least), ["title", "number"], "left")
+    # Rows with an earlier match don't take the fuzzy one of an equal title and number.
+    sure = F.col("mapped").isNotNull() | F.col("coded").isNotNull() | F.col("same_year").isNotNull() | F.col("any_year").isNotNull()
+    how = F.when(F.col("mapped").isNotNull(), "mapping").when(F.col("coded").isNotNull(), "upc").when(F.col("same_year").isNotNull(), "title_year").when(F.col("any_year").isNotNull(), "title").when(~sure & F.col("near").isNotNull(), "fuzzy").otherwise("none")
+    issue = F.coalesce("mapped", "coded", "same_year.issue_id", "any_year.issue_id", "near.issue_id")
+    x = x.withColumn("how", how).withColumn("issue_id", issue).withColumn("own", F.when(F.col("how").isin("title_year", "title", "fuzzy"), F.coalesce("same_year", "any_year", "near")["upc"]))
+    clash, year = F.col("own").isNotNull() & F.col("upc").isNotNull() & (F.col("own") != F.col("upc")), F.coalesce("start_year", F.year("cover_date"))
+    suffix = F.coalesce("suffix", F.date_format("cover_date", "yyyy-MM"))
+    valid = F.col("title").isNotNull() & (F.lower(F.trim("title")) != NO_TITLE) & year.isNotNull() & F.col("number").isNotNull()
+    none = F.col("how") == "none"
+    outcome = F.when(none, F.when(valid, "created").otherwise("invalid")).when(clash, F.when(suffix.isNotNull(), "variant").otherwise("rejected")).otherwise("matched")
+    score = F.when(F.col("how").isin("mapping", "upc"), 1.0).when(F.col("how") == "title_year", 0.95).when(F.col("how") == "title", 0.85).when(F.col("how") == "fuzzy", F.lit(0.7) * F.col("alike")).otherwise(0.0)
+    made = F.when(outcome == "created", F.md5(F.concat_ws("|", F.trim("title"), year.cast("string"), F.trim("number")).cast("binary")))
+    return x.select("candidate_id", "how", score.alias("confidence"), "issue_id", outcome.alias("outcome"), F.when(outcome == "variant", suffix).alias("variant"), made.alias("new_key"))
 
 
 def _jaro_winkler(a: str, b: str) -> float:

@@ -68,6 +68,12 @@ def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 50).cast("string")).alias("title"), (F.col("c_nationkey") + 1950).alias("start_year"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("publisher"), (F.col("c_acctbal") * 100).cast("long").alias("created_at"))
 
 
+def master_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical issues: one per order, in the series of its customer; every third has a UPC."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("issue_id"), F.col("o_custkey").alias("series_id"), (k % 7 + 1).cast("string").alias("number"), F.when(k % 3 == 0, F.lpad((k * 8 + 1).cast("string"), 13, "0")).alias("upc"))
+
+
 SQL = {
     "series": "select p_partkey as series_id, p_name as name, p_brand as publisher, p_size + 1950 as year_began from part",
     "issues": """select (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey as issue_id, l_partkey as series_id, cast(l_linenumber as varchar) as number,
@@ -83,6 +89,8 @@ SQL = {
       cast(props->>'$.k' as int) % 5 <> 0 as is_accurate, ts as created_at, cast(props->>'$.k' as int) as k from events""",
     "masters": """select c_custkey as id, c_mktsegment || ' ' || cast(c_custkey % 50 as varchar) as title, c_nationkey + 1950 as start_year,
       case when c_custkey % 3 <> 0 then c_name end as publisher, cast(trunc(c_acctbal * 100) as bigint) as created_at from customer""",
+    "master_issues": """select o_orderkey as issue_id, o_custkey as series_id, cast(o_orderkey % 7 + 1 as varchar) as number,
+      case when o_orderkey % 3 = 0 then lpad(cast(o_orderkey * 8 + 1 as varchar), 13, '0') end as upc from orders""",
 }
 SQL["corrections"] = f"""select mapping_id as correction_id, source, issue_id, case k % 3 when 0 then 'wrong_series' when 1 then 'wrong_issue' else 'other' end as correction_type,
   case k % 4 when 0 then 'pending' when 1 then 'reviewed' when 2 then 'applied' else 'rejected' end as review_status, created_at from ({SQL["mappings"]}) where k % 5 = 0"""

@@ -298,20 +298,48 @@ def k10_apply_corrections(spark, sf_dir):
 
 
 def _to_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = p.table(spark, sf_dir, "supplier")
-    kinds = F.array(*map(F.lit, reports.PLATFORMS))
-    segment = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "UNKNOWN"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    return s.select(F.col("s_suppkey").alias("candidate_id"), F.element_at(kinds, (F.col("s_suppkey") % 5 + 1).cast("int")).alias("source"), F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey").cast("string")).otherwise("none").alias("source_issue_id"), F.concat_ws(" ", segment, (F.col("s_suppkey") % 50).cast("string")).alias("title"), (F.col("s_nationkey") + 1950).alias("start_year"))
-
-
-@query(_MAP + """, cand as (select s_suppkey as candidate_id, list_extract(['click','error','purchase','signup','view'], cast(s_suppkey % 5 + 1 as int)) as source, case when s_suppkey % 4 = 0 then cast(s_suppkey as varchar) else 'none' end as source_issue_id,
-    list_extract(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','UNKNOWN'], cast(s_suppkey % 5 + 1 as int)) || ' ' || cast(s_suppkey % 50 as varchar) as title, s_nationkey + 1950 as start_year from supplier),
-  x as (select candidate_id, (select min(issue_id) from mappings m where m.source = c.source and m.source_issue_id = c.source_issue_id) as mapped, (select min(id) from masters t where t.title = c.title and t.start_year = c.start_year) as same_year,
-    (select arg_min(id, {'y': start_year, 'i': id}) from masters t where t.title = c.title) as any_year from cand c)
-  select candidate_id, case when mapped is not null then 'mapping' when same_year is not null then 'title_year' when any_year is not null then 'title' else 'created' end as how,
-    case when mapped is not null then 1.0::double when same_year is not null then 0.95::double when any_year is not null then 0.85::double else 0.0::double end as confidence, coalesce(mapped, same_year, any_year) as issue_id from x""")
+    """One candidate per part: some with an outside id, a UPC, a misspelt or missing title, year or number."""
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 5 + 1).cast("int"))
+    title = F.concat_ws(" ", pick(_SEGMENTS), (k % 50).cast("string"))
+    return p.table(spark, sf_dir, "part").select(
+        k.alias("candidate_id"), pick(reports.PLATFORMS).alias("source"), F.when(k % 8 == 0, k.cast("string")).otherwise("none").alias("source_issue_id"),
+        F.when(k % 6 == 1, F.lpad((k * 24 + 1).cast("string"), 13, "0")).when(k % 6 == 2, F.lpad((k * 8 + 2).cast("string"), 13, "0")).alias("upc"),
+        F.when(k % 53 == 0, "Unknown Series").when(k % 7 == 0, F.concat(title, F.lit("X"))).otherwise(title).alias("title"), F.when(k % 9 != 0, k % 25 + 1950).cast("int").alias("start_year"),
+        F.when(k % 11 != 0, (k % 9 + 1).cast("string")).alias("number"), F.when(k % 4 == 1, "B").alias("suffix"), F.when(k % 10 < 5, F.date_add(F.lit("2000-01-01").cast("date"), (k % 3000).cast("int"))).alias("cover_date"),
+    )
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "UNKNOWN")
+_RESOLVE = p.with_sql("mappings", "masters", "master_issues") + f""", named as (select p_partkey as k, list_extract({list(_SEGMENTS)}, cast(p_partkey % 5 + 1 as int)) || ' ' || cast(p_partkey % 50 as varchar) as t from part),
+  cand as (select k as candidate_id, list_extract({list(reports.PLATFORMS)}, cast(k % 5 + 1 as int)) as source, case when k % 8 = 0 then cast(k as varchar) else 'none' end as source_issue_id,
+    case k % 6 when 1 then lpad(cast(k * 24 + 1 as varchar), 13, '0') when 2 then lpad(cast(k * 8 + 2 as varchar), 13, '0') end as upc,
+    case when k % 53 = 0 then 'Unknown Series' when k % 7 = 0 then t || 'X' else t end as title, case when k % 9 <> 0 then cast(k % 25 + 1950 as int) end as start_year, case when k % 11 <> 0 then cast(k % 9 + 1 as varchar) end as number,
+    case when k % 4 = 1 then 'B' end as suffix, case when k % 10 < 5 then date '2000-01-01' + cast(k % 3000 as int) end as cover_date from named),
+  held as (select series_id, number, min(issue_id) as issue_id, arg_min(coalesce(upc, ''), issue_id) as upc from master_issues group by 1, 2),
+  sy as (select title, start_year, min(id) as series_id from masters group by 1, 2), st as (select title, arg_min(id, {{'y': start_year, 'i': id}}) as series_id from masters group by 1),
+  sure as (select c.*, m.issue_id as mapped, u.issue_id as coded, y.issue_id as by_year, y.upc as year_upc, t.issue_id as by_title, t.upc as title_upc from cand c
+    left join (select source, source_issue_id, min(issue_id) as issue_id from mappings where issue_id in (select issue_id from master_issues) group by 1, 2) m using (source, source_issue_id)
+    left join (select upc, min(issue_id) as issue_id from master_issues where upc is not null group by 1) u on u.upc = c.upc
+    left join (select * from sy join held using (series_id)) y on y.title = c.title and y.start_year = c.start_year and y.number = c.number
+    left join (select * from st join held using (series_id)) t on t.title = c.title and t.number = c.number),
+  asked as (select distinct title, number from sure where coalesce(mapped, coded, by_year, by_title) is null and number is not null),
+  alike as (select a.title, k.title as known, round(jaro_winkler_similarity(lower(a.title), lower(k.title)), 6) as alike from (select distinct title from asked) a, (select distinct title from masters) k
+    where (left(lower(a.title), 2) = left(lower(k.title), 2) or len(list_intersect(string_split(lower(a.title), ' '), string_split(lower(k.title), ' '))) > 0) and round(jaro_winkler_similarity(lower(a.title), lower(k.title)), 6) >= 0.85),
+  near as (select a.title, a.number, min({{'a': -l.alike, 'y': s.start_year, 's': s.id, 'i': h.issue_id, 'u': h.upc}}) as n from asked a join alike l using (title) join masters s on s.title = l.known join held h on h.series_id = s.id and h.number = a.number group by 1, 2),
+  x as (select u.*, n.n, case when mapped is not null then 'mapping' when coded is not null then 'upc' when by_year is not null then 'title_year' when by_title is not null then 'title' when n.n is not null then 'fuzzy' else 'none' end as how
+    from sure u left join near n on n.title = u.title and n.number = u.number),
+  z as (select *, case how when 'title_year' then year_upc when 'title' then title_upc when 'fuzzy' then n.u else '' end as own, coalesce(start_year, year(cover_date)) as made_year, coalesce(suffix, strftime(cover_date, '%Y-%m')) as tag from x),
+  o as (select *, case when how = 'none' then case when lower(title) <> 'unknown series' and made_year is not null and number is not null then 'created' else 'invalid' end
+    when own <> '' and own <> upc then case when tag is not null then 'variant' else 'rejected' end else 'matched' end as outcome from z)
+"""
+
+
+@query(_RESOLVE + """ select candidate_id, how, case how when 'mapping' then 1.0::double when 'upc' then 1.0::double when 'title_year' then 0.95::double when 'title' then 0.85::double when 'fuzzy' then 0.7::double * -n.a else 0.0::double end as confidence,
+  case how when 'mapping' then mapped when 'upc' then coded when 'title_year' then by_year when 'title' then by_title when 'fuzzy' then n.i end as issue_id, outcome, case when outcome = 'variant' then tag end as variant,
+  case when outcome = 'created' then md5(title || '|' || cast(made_year as varchar) || '|' || number) end as new_key from o""")
 def k4_resolve_candidates(spark, sf_dir):
-    return master.resolve(_to_resolve(spark, sf_dir), p.mappings(spark, sf_dir), p.masters(spark, sf_dir))
+    return master.resolve(_to_resolve(spark, sf_dir), p.mappings(spark, sf_dir), p.masters(spark, sf_dir), p.master_issues(spark, sf_dir))
 
 
 @query(_MAP + " select source, count(distinct issue_id) as issues, round(100.0 * count(distinct issue_id) / (select count(distinct issue_id) from mappings), 1) as percent from mappings group by source")

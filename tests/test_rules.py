@@ -97,3 +97,23 @@ def test_streamed_counts_per_hour(spark, tmp_path):
     stream = spark.readStream.schema("created_at timestamp, source string").parquet(source)
     imports.per_hour(stream).writeStream.format("memory").queryName("per_hour").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {r.n for r in spark.table("per_hour").collect()} == {1} and spark.table("per_hour").count() == 5
+
+
+def test_resolve_steps_and_conflicts(spark):
+    series = spark.createDataFrame([(1, "Alpha", 1990), (2, "Alpha", 1980), (3, "Alphas", 1970)], "id long, title string, start_year int")
+    issues = spark.createDataFrame([(10, 1, "1", "u10"), (20, 2, "1", None), (21, 2, "2", "u21"), (30, 3, "7", None)], "issue_id long, series_id long, number string, upc string")
+    mapped = spark.createDataFrame([("s", "m", 30), ("s", "gone", 99)], "source string, source_issue_id string, issue_id long")
+    rows = [
+        (1, "s", "m", "other", "Alpha", 1990, "1", None, None), (2, "s", "gone", "u21", "Alpha", 1990, "1", None, None), (3, "s", "x", None, "Alpha", 1990, "1", None, None), (4, "s", "x", None, "Alpha", 1991, "1", None, None),
+        (5, "s", "x", None, "Alpha", None, "7", None, None), (6, "s", "x", "zz", "Alpha", 1990, "1", None, None), (7, "s", "x", "zz", "Alpha", 1990, "1", " B ", None), (8, None, None, None, "Zebra", 2000, "1", None, None),
+        (9, "s", "x", None, "unknown series", 2000, "1", None, None), (10, "s", "x", None, None, None, None, None, None), (11, None, None, "", "Zebra", 2000, "1", None, None),
+    ]
+    asked = spark.createDataFrame(rows, "candidate_id long, source string, source_issue_id string, upc string, title string, start_year int, number string, suffix string, cover_date date")
+    found = {r.candidate_id: r for r in master.resolve(asked, mapped, series, issues).collect()}
+    assert len(found) == len(rows)
+    assert {k: (r.how, r.issue_id, r.outcome, r.variant) for k, r in found.items()} == {
+        1: ("mapping", 30, "matched", None), 2: ("upc", 21, "matched", None), 3: ("title_year", 10, "matched", None), 4: ("title", 20, "matched", None), 5: ("fuzzy", 30, "matched", None), 6: ("title_year", 10, "rejected", None),
+        7: ("title_year", 10, "variant", "B"), 8: ("none", None, "created", None), 9: ("none", None, "invalid", None), 10: ("none", None, "invalid", None), 11: ("none", None, "created", None),
+    }
+    assert found[8].new_key == found[11].new_key and found[5].confidence == pytest.approx(0.7 * master._jaro_winkler("alpha", "alphas"), abs=1e-6)
+    assert master.resolve(asked.limit(0), mapped, series, issues).count() == 0
