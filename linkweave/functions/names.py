@@ -66,6 +66,11 @@ def article_key(c: Column) -> Column:
     return F.when(k.startswith("the "), F.substring(k, F.lit(5), F.length(k))).otherwise(F.concat(F.lit("the "), k))
 
 
+def search_term(k: Column) -> Column:
+    """Key without a leading article, and without the letters of `` the`` at its end."""
+    return F.regexp_replace(F.regexp_replace(k, "^(?:the|a|an) ", ""), "[ the]+$", "")
+
+
 def publisher(c: Column) -> Column:
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s+and\s+.*$", "")
     c = F.regexp_replace(c, r"\s*\([^)]*\)", "")

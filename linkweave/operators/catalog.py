@@ -43,6 +43,14 @@ def name_groups(series: DataFrame, key: Column) -> DataFrame:
     return named.groupBy("key", "publisher").agg(F.count("*").alias("n"), F.min("series_id").alias("series_id"))
 
 
+def any_publisher(index: DataFrame) -> DataFrame:
+    """An index per publisher, with rows of a blank publisher that stand for all: rows without one meet these by the same equi-join."""
+    values = {"n": F.sum("n"), "first": F.min("first"), "series_id": F.min("series_id")}
+    keys = [c for c in index.columns if c not in values and c != "publisher"]
+    every = index.groupBy(*keys).agg(*(values[c].alias(c) for c in index.columns if c in values)).withColumn("publisher", F.lit(""))
+    return index.where("publisher <> ''").unionByName(every)
+
+
 def representative(series: DataFrame) -> DataFrame:
     """First series of each exact name, whose publisher stands for the group."""
     return series.groupBy(names.key(F.col("name")).alias("name_key")).agg(F.min(F.struct("series_id", "publisher")).alias("r")).select("name_key", "r.series_id", "r.publisher")

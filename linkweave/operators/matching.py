@@ -82,6 +82,7 @@ def by_reverse(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> Data
     """
     named = series.select("series_id", names.key(F.col("name")).alias("name_key"), names.publisher(F.col("publisher")).alias("publisher"))
     table = preferred.join(named, "series_id").groupBy("number", "publisher", "cover_year", "name_key").agg(F.min(F.struct("series_id", "issue_id")).alias("first"), F.count("*").alias("n"))
+    table = catalog.any_publisher(table)
     inputs = rows.where("year is not null").select("number", "publisher", "year", "key").distinct()
     wide = inputs.withColumn("cover_year", F.explode(F.sequence(F.greatest(F.lit(1950), F.col("year") - 5), F.least(F.lit(2025), F.col("year") + 5))))
     alike = names.similarity(F.col("key"), F.col("name_key"))
@@ -95,30 +96,61 @@ def by_date(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
     """Any issue of an equal name and publisher within a year of the row's: the closest, then first."""
     named = series.select("series_id", names.key(F.col("name")).alias("key"), names.publisher(F.col("publisher")).alias("publisher"))
     table = issues.where("cover_year is not null").join(named, "series_id").groupBy("key", "publisher", "cover_year").agg(F.min(F.struct("series_id", "issue_id")).alias("first"))
+    table = catalog.any_publisher(table)
     wide = rows.where("year is not null").select("row_id", "key", "publisher", "year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("cover_year"))
     best = wide.join(table, ["key", "publisher", "cover_year"]).groupBy("row_id").agg(F.min(F.struct(F.abs(F.col("cover_year") - F.col("year")).alias("d"), F.col("first.series_id").alias("s"), F.col("first.issue_id").alias("i"))).alias("b"))
     return _result(best, "date_based", F.col("b.i"), F.col("b.s"), F.col("b.d"))
 
 
-def substring_names(terms: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of distinct names of which one contains the other (four characters at least).
+def substring_names(terms: DataFrame, known: DataFrame, shortest: int = 4) -> DataFrame:
+    """Pairs of distinct names of which one contains the other (``shortest`` characters at least).
 
-    Both sides are split into character 4-grams; the contained side is looked up
-    by its rarest gram only. ``terms`` and ``known`` have a column ``name``.
+    Both sides are split into character grams; the contained side is looked up
+    by its rarest 4-gram only, or whole if it is shorter than that. ``terms``
+    and ``known`` have a column ``name``.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))
-    side = lambda df: df.where("length(name) >= 4").select("name").distinct().withColumn("grams", grams(F.col("name")))
+    grams = lambda c, w: F.when(F.length(c) >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (w - 1))), lambda i: F.substring(c, i, F.lit(w)))))
+    side = lambda df: df.where(F.length("name") >= shortest).select("name").distinct()
 
     def inside(small: DataFrame, large: DataFrame) -> DataFrame:
-        spread = large.select(F.col("name").alias("large"), F.explode("grams").alias("gram"))
-        often = spread.groupBy("gram").count()
-        rare = small.select(F.col("name").alias("small"), F.explode("grams").alias("gram")).join(often, "gram").groupBy("small").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-        return rare.join(spread, "gram").where(F.contains("large", F.col("small"))).select("small", "large")
+        spread = lambda df, as_, w: df.select(F.col("name").alias(as_), F.explode(grams(F.col("name"), w)).alias("gram"))
+        long = spread(large, "large", 4)
+        often = long.groupBy("gram").count()
+        rare = spread(small, "small", 4).join(often, "gram").groupBy("small").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+        found = rare.join(long, "gram").where(F.contains("large", F.col("small"))).select("small", "large")
+        for w in range(shortest, 4):
+            short = small.where(F.length("name") == w).select(F.col("name").alias("small"), F.col("name").alias("gram"))
+            found = found.unionByName(short.join(spread(large, "large", w), "gram").select("small", "large"))
+        return found
 
     t, k = side(terms), side(known)
     return inside(t, k).select(F.col("small").alias("term"), F.col("large").alias("name")).unionByName(inside(k, t).select(F.col("large").alias("term"), F.col("small").alias("name"))).distinct()
 
 
+def by_substring(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The only series whose name contains the row's, or is contained in it, for names of four characters and more.
+
+    Names count by their first series' publisher. Where series found have the issue within five years,
+    only those count. Series are counted per name, and per name, number and year, before rows meet them;
+    an empty name meets nothing.
+    """
+    inputs = rows.where("length(series_name) >= 4").select(names.search_term(F.col("key")).alias("term"), "publisher", "number", "year").distinct()
+    key = names.key(F.col("name"))
+    groups = series.groupBy(key.alias("name")).agg(F.count("*").alias("n"), F.min(F.struct("series_id", "publisher")).alias("r"))
+    own = names.publisher(F.col("r.publisher"))
+    gated = groups.select("name", "n", F.col("r.series_id").alias("series_id"), F.explode(F.array_distinct(F.array(own, F.lit("")))).alias("publisher"))
+    pairs = substring_names(inputs.select(F.col("term").alias("name")), groups.select("name"), 1)
+    met = staged(inputs.join(pairs, "term").join(gated, ["name", "publisher"]))
+    dated = preferred.where("cover_year <> 0").join(series.select("series_id", key.alias("name")), "series_id").groupBy("name", "number", "cover_year").agg(F.count("*").alias("m"), F.min("series_id").alias("near"))
+    close = met.drop("n", "series_id").join(dated, ["name", "number"]).where(F.abs(F.col("cover_year") - F.col("year")) <= 5).drop("cover_year")
+    by = ("term", "publisher", "number", "year")
+    every = met.select(*by, "n", "series_id", F.lit(0).cast("long").alias("m"), F.lit(None).cast("long").alias("near")).unionByName(close.select(*by, F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("series_id"), "m", F.col("near").cast("long").alias("near")))
+    found = every.groupBy(*by).agg(F.sum("n").alias("n"), F.min("series_id").alias("s"), F.sum("m").alias("m"), F.min("near").alias("near"))
+    only = found.select(F.col("term"), F.col("publisher"), F.col("number"), F.col("year").alias("asked"), F.when(F.col("m") > 0, F.when(F.col("m") == 1, F.col("near"))).otherwise(F.when(F.col("n") == 1, F.col("s"))).alias("only")).where("only is not null")
+    asked = rows.where("length(series_name) >= 4").withColumn("term", names.search_term(F.col("key")))
+    return _result(asked.join(only, ["term", "publisher", "number"]).where(F.col("year").eqNullSafe(F.col("asked"))), "substring", None, F.col("only"), None)
+
+
 def contest(results: DataFrame) -> DataFrame:
     """Winner of each row: most confidence, least year distance (unknown last), first listed."""
     place = F.create_map(*(F.lit(x) for i, s in enumerate(LADDER) for x in (s, i)))
@@ -130,23 +162,26 @@ def match(collection: DataFrame, series: DataFrame, issues: DataFrame) -> DataFr
     """Every collection row with its best match, or ``no_match`` with confidence 0.
 
     Rows with a barcode hit skip the other strategies. A result without an issue
-    may win the contest; it is then reported with its series only. Tables that
-    several strategies read are written once.
+    may win the contest; it is then reported with its series only. A row without
+    a publisher meets all publishers. Tables that several strategies read are
+    written once.
     """
     rows = staged(standardise(collection))
     preferred, codes = staged(catalog.preferred_issues(issues)), staged(catalog.barcodes(issues))
     hits = staged(by_barcode(rows, codes).unionByName(by_barcode_prefix(rows, codes)))
     rest = staged(rows.join(hits.select("row_id"), "row_id", "left_anti"))
-    exact = staged(catalog.name_index(series, preferred, names.key(F.col("name"))))
+    exact = staged(catalog.any_publisher(catalog.name_index(series, preferred, names.key(F.col("name")))))
+    groups = lambda key: catalog.any_publisher(catalog.name_groups(series, key))
     found = [
         hits,
         by_exact_name(rest, exact),
-        by_series_only(rest, "key", catalog.name_groups(series, names.key(F.col("name"))), "exact_series"),
-        by_series_only(rest, "strict", catalog.name_groups(series, names.strict(F.col("name"))), "strict_series"),
-        by_series_only(rest, "words", catalog.name_groups(series, names.word_key(F.col("name"))), "word_order"),
-        by_series_only(rest, "comma", catalog.name_groups(series, names.key(F.col("name"))), "colon_comma"),
+        by_series_only(rest, "key", groups(names.key(F.col("name"))), "exact_series"),
+        by_series_only(rest, "strict", groups(names.strict(F.col("name"))), "strict_series"),
+        by_series_only(rest, "words", groups(names.word_key(F.col("name"))), "word_order"),
+        by_series_only(rest, "comma", groups(names.key(F.col("name"))), "colon_comma"),
         by_name_variant(rest, "article", exact, "article_variant"),
         by_name_variant(rest.where("base <> key"), "base", exact, "base_name"),
+        by_substring(rest, series, preferred),
         by_reverse(rest, series, preferred),
         by_date(rest, series, issues),
     ]

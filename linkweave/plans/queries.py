@@ -84,9 +84,18 @@ _DATE = """select row_id, b.i as issue_id, b.s as series_id, 'date_based' as str
   select r.row_id, min({'d': abs(t.cover_year - r.year), 's': t.f.s, 'i': t.f.i}) as b from rows r join (
     select key, publisher, cover_year, min({'s': series_id, 'i': issue_id}) as f from issues join named using (series_id) group by all) t
   on r.key = t.key and r.publisher = t.publisher and t.cover_year between r.year - 1 and r.year + 1 group by r.row_id)"""
+_SUBSTRING = r"""with terms as (select row_id, publisher, number, year, regexp_replace(regexp_replace(key, '^(the|a|an) ', ''), '[ the]+$', '') as term from rows where length(series_name) >= 4),
+    heads as (select key as name, count(*) as n, min(series_id) as sid, arg_min(publisher, series_id) as publisher from named where key <> '' group by key),
+    pairs as (select t.term, h.* from (select distinct term from terms where term <> '') t join heads h on contains(h.name, t.term) or contains(t.term, h.name)),
+    dated as (select key as name, number, cover_year, count(*) as m, min(series_id) as near from preferred join named using (series_id) where cover_year <> 0 group by all),
+    met as (select t.row_id, t.number, t.year, p.name, p.n, p.sid from terms t join pairs p on p.term = t.term and t.publisher in ('', p.publisher)),
+    wide as (select row_id, sum(n) as n, min(sid) as sid from met group by 1),
+    close as (select m.row_id, sum(d.m) as m, min(d.near) as near from met m join dated d on d.name = m.name and d.number = m.number and abs(d.cover_year - m.year) <= 5 group by 1)
+  select row_id, cast(null as bigint) as issue_id, case when m is not null then near else sid end as series_id, 'substring' as strategy, 50 as confidence, cast(null as int) as year_distance
+  from wide left join close using (row_id) where coalesce(m, n) = 1"""
 _PARTS = {
     "hits": f"{_CODE} union all {_HEAD}", "exact": _EXACT, "one": _only("key", "key", "exact_series", 80), "strictly": _only("strict", "key", "strict_series", 75), "wordly": _only("words", "words", "word_order", 70),
-    "commas": _only("comma", "key", "colon_comma", 68), "articles": _variant("article", "article_variant", 60), "bases": _variant("base", "base_name", 45, "r.base <> r.key"), "reverses": _REVERSE, "dates": _DATE,
+    "commas": _only("comma", "key", "colon_comma", 68), "articles": _variant("article", "article_variant", 60), "bases": _variant("base", "base_name", 45, "r.base <> r.key"), "substrings": _SUBSTRING, "reverses": _REVERSE, "dates": _DATE,
 }
 _MATCH = (
     _BASE + "".join(f", {n} as ({s})" for n, s in _PARTS.items())
@@ -190,6 +199,12 @@ def c8_substring_names(spark, sf_dir):
     return matching.substring_names(rows.select(F.col("key").alias("name")), series.select(names.key(F.col("name")).alias("name")))
 
 
+@query(_BASE + "select * from (" + _SUBSTRING + ")")
+def c8_substring_series(spark, sf_dir):
+    rows, series, issues = _inputs(spark, sf_dir)
+    return matching.by_substring(rows, series, catalog.preferred_issues(issues))
+
+
 @query(_BASE + _PARTS["bases"])
 def c9_base_name(spark, sf_dir):
     rows, series, issues = _inputs(spark, sf_dir)

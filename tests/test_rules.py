@@ -117,3 +117,16 @@ def test_resolve_steps_and_conflicts(spark):
     }
     assert found[8].new_key == found[11].new_key and found[5].confidence == pytest.approx(0.7 * master._jaro_winkler("alpha", "alphas"), abs=1e-6)
     assert master.resolve(asked.limit(0), mapped, series, issues).count() == 0
+
+
+def test_short_substrings_and_blank_publishers(spark):
+    terms, known = ["x", "ab", "xab", "the abc", "", "qqqq"], ["x", "xab x", "abc", "b", "", "zz"]
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "name string")
+    found = {(r.term, r.name) for r in matching.substring_names(frame(terms), frame(known), 1).collect()}
+    assert found == {(t, k) for t in terms for k in known if t and k and (t in k or k in t)}
+    series = spark.createDataFrame([(1, "Alpha", "One", 1990), (2, "Omega", "One", 1990), (3, "Omega", "Two", 1990), (4, "Northern Lights", "Two", 1990)], "series_id long, name string, publisher string, year_began int")
+    issues = spark.createDataFrame([(10, 1, "1", "canonical", 1990, None), (20, 2, "1", "canonical", 1990, None), (30, 3, "1", "canonical", 1999, None)], "issue_id long, series_id long, number string, label string, cover_year int, barcode string")
+    rows = [(1, "Alpha", "1", 1990, None, None), (2, "Omega", "1", 1999, None, None), (3, "Omega", "1", 1999, "One", None), (4, "Northern Lights Annual", "9", 1960, None, None), (5, None, None, None, None, None), (6, "Northern Lights Annual", "9", None, "Two", None)]
+    asked = spark.createDataFrame(rows, "row_id long, series_name string, number string, year int, publisher string, barcode string")
+    found = {r.row_id: (r.issue_id, r.series_id, r.strategy) for r in matching.match(asked, series, issues).collect()}
+    assert found == {1: (10, 1, "exact_one_issue"), 2: (30, 3, "exact_closest_year"), 3: (20, 2, "exact_one_issue"), 4: (None, 4, "substring"), 5: (None, None, "no_match"), 6: (None, 4, "substring")}
