@@ -4,7 +4,8 @@
    rare first; any fixed order gives complete results, a good one fewer candidates.
 2. Collapse texts with equal shingle sets into one class.
 3. Give each class its prefix, the rarest shingles of which two sets above the
-   threshold share at least one; keep postings of shingles that occur twice.
+   threshold share at least one; keep postings of shingles that two classes hold, found
+   from compressed blocks of all prefixes and passed on by a Bloom filter.
 4. In each posting list, verify neighbours, and each class with the list's
    centre, of which many are edited; join linked classes into components.
    Members of a component need no further comparison.
@@ -38,13 +39,16 @@ from .textkernel import mix, shingles, words
 PARTS = 2048
 #: Longer posting lists are split, so that no task gets one whole.
 LIST = 256
-#: Rank of a bucket that was counted once, whose shingle no other text has.
-ONCE = 8
+#: Leading bits of a shingle by which classes are asked whether another has it, and shingles a task asks about at once.
+LEAD, ASKED = 48, 1 << 21
 #: Rounds in which representatives of components meet before the exact join, in lists of so many members at least;
 #: pairs within shorter lists are few.
 ROUNDS, LONG = 1, 16
-#: Blocks of a Bloom filter, and the most bits that it has in all (2**BLOOM, so 8 MB are broadcast at most).
+#: Blocks of a Bloom filter, and the most bits that it has in all (2**BLOOM, so 8 MB are broadcast at most;
+#: a fuller one lets more through, which later steps drop).
 BLOCKS, BLOOM = 64, 26
+#: Longs that the parities are folded to where they travel with postings.
+FOLDED = 8
 #: Neighbours in posting lists that a class is compared with first.
 NEAREST = 3
 
@@ -75,7 +79,7 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
         # a task sends at most 65535 for a bucket: order only matters among rare and frequent
         for k, part in enumerate(np.split(np.minimum(total, 65535).astype(np.uint16), parts)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"key": pa.array([str(k)]), "block": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([str(k)]), "block": pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())})
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +90,7 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
 
     rank = np.zeros(size, np.uint8)
     each = size // parts
-    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16).mapInArrow(ranked, "key string, block binary").toLocalIterator():
+    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16, packed=size // parts).mapInArrow(ranked, "key string, block binary").toLocalIterator():
         k = int(row.key)
         rank[k * each : (k + 1) * each] = np.frombuffer(pa.decompress(row.block, each, "zstd"), np.uint8)
     return rank
@@ -253,11 +257,67 @@ def _neighbours(lists: DataFrame) -> DataFrame:
     return chain.unionByName(lists.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """``doc_id, n, common, pos, token`` of the prefixes, less those that the sketch proves unique."""
-    rank = F.expr("conv(hex(substring(ranks, pos + 1, 1)), 16, 10)").cast("int")
-    spread = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), rank / 8) / LIST)).cast("long")
-    found = classes.select("doc_id", "n", "common", "ranks", F.posexplode("prefix").alias("pos", "token")).where(rank > ONCE)
+def _shared(classes: DataFrame) -> DataFrame:
+    """Leading bits (``id long``) of prefix shingles that two classes hold.
+
+    Tasks send their shingles sorted, as differences in compressed blocks, one
+    for each range of the shingle space; one that a task holds often is sent twice.
+    """
+    ranges = partitions(classes.sparkSession)
+    width = -(-(1 << LEAD) // ranges)
+
+    def packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lead, n = np.unique(np.concatenate(found) >> np.uint64(64 - LEAD), return_counts=True)
+        lead = np.repeat(lead, np.minimum(n, 2))
+        cuts = np.searchsorted(lead, np.arange(1, ranges, dtype=np.uint64) * np.uint64(width))
+        for k, part in enumerate(np.split(lead, cuts)):
+            if len(part):
+                apart = np.diff(part, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+                yield pa.RecordBatch.from_pydict({"range": pa.array([k], pa.int32()), "n": pa.array([len(part)], pa.int64()), "block": pa.array([pa.compress(np.ascontiguousarray(apart), "zstd", asbytes=True)], pa.binary())})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+        for batch in batches:
+            found.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n += len(found[-1])
+            if n >= ASKED:
+                yield from packed(found)
+                found, n = [], 0
+        if n:
+            yield from packed(found)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                apart = np.frombuffer(pa.decompress(block.as_buffer(), 8 * n, "zstd"), np.uint8).reshape(8, n)
+                held.setdefault(k, []).append(np.cumsum(np.ascontiguousarray(apart.T).view(np.uint64).ravel(), dtype=np.uint64))
+        for found in held.values():
+            lead, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(lead[n > 1].astype(np.int64), pa.int64())})
+
+    return classes.select("prefix").mapInArrow(send, "range int, n long, block binary").repartition(ranges, "range").mapInArrow(twice, "id long")
+
+
+def _postings(classes: DataFrame, shared) -> DataFrame:
+    """``doc_id, n, common, pos, token, part, lists`` of those prefix shingles that the filter ``shared`` may contain."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("common", pa.float64()), ("pos", pa.int32()), ("token", pa.int64()), ("rank", pa.int32())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, common, prefix, ranks = batch.columns
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            size = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            rank = np.frombuffer(b"".join(ranks.to_pylist()), np.uint8)
+            lead = token.view(np.uint64) >> np.uint64(64 - LEAD)
+            hit = np.flatnonzero(shared.value.perhaps(lead.astype(np.int64)))
+            of = pa.array(of[hit])
+            yield output(schema, doc_id=ids.take(of), n=n.take(of), common=common.take(of), pos=pos[hit], token=token[hit], rank=rank[hit].astype(np.int32))
+
+    spread = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), F.col("rank") / 8) / LIST)).cast("long")
+    found = classes.select("doc_id", "n", "common", "prefix", "ranks").mapInArrow(pick, "doc_id long, n int, common double, pos int, token long, rank int")
     return found.select("doc_id", "n", "common", "pos", "token", F.pmod(F.xxhash64("doc_id"), spread).alias("part"), spread.cast("int").alias("lists"))
 
 
@@ -285,7 +345,11 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     # postings of shingles that two classes hold; a list that the sketch finds long is dealt out in parts
     near = Window.partitionBy("token", "part").orderBy("n", "doc_id")
     beside = {"after": F.lead("doc_id").over(near), "before": F.lag("doc_id").over(near), "centre": _centre("doc_id")}
-    postings = Stage(_postings(classes.df).withColumns(beside).where("lists > 1 or after is not null or before is not null"), "postings")
+    shared = Stage(_shared(classes.df), "shared")
+    seen = _may_contain(shared.df)
+    postings = Stage(_postings(classes.df, seen).withColumns(beside).where("lists > 1 or after is not null or before is not null"), "postings")
+    seen.destroy()
+    shared.drop()
     met = _neighbours(postings.df)
     # of a class's neighbours the ones it meets in most lists come first; later steps look at all others
     often = met.groupBy("b", "a").count().withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(F.col("r") <= NEAREST)
@@ -312,13 +376,15 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     held = grouped.join(mixed, "token", "left_semi")
 
     # a linked pair meets at its first common shingle, from which on each has at least the needed number left
-    side = held.join(classes.df.select("doc_id", "parts"), "doc_id")
+    # folded parities travel with the postings, pairs that they let through meet the whole ones
+    folded = F.expr(f"transform(sequence(0, {FOLDED - 1}), i -> " + " ^ ".join(f"parts[i + {k}]" for k in range(0, PARTS // 64, FOLDED)) + ")")
+    side = held.join(classes.df.select("doc_id", folded.alias("parts")), "doc_id")
     x = side.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("lists")).cast("int")).alias("x")
     y = side.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).alias("y")
     need = f"ceil({cfg.percent} * (x.n + y.n) / {100 + cfg.percent})"
     meet = F.expr("x.token = y.token and x.part = y.part and x.g <> y.g and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)") & F.expr(f"100 * x.n >= {cfg.percent} * y.n and x.n - x.pos >= {need} and y.n - y.pos >= {need} and {_suffix_fits(cfg)}")
     fits = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = _verified(_ordered(fits), texts, cfg)
+    rest = _verified(_suffix_filter(_ordered(fits), classes.df, cfg), texts, cfg)
 
     # every row links with its class; so do rows that repeat an id
     keyed = members.df.where("n > 0 and doc_id is not null")

@@ -58,19 +58,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64) -> DataFrame:
+def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64, packed: int = 0) -> DataFrame:
     """Sum equally long vectors of ``dtype`` by key; sums are int64.
 
     ``df`` has ``key string, block binary``; each task has pre-summed its rows,
     so a key comes once per task. Rows are summed as they stream by: a task
-    holds one vector for each of its keys, however many rows there are.
+    holds one vector for each of its keys, however many rows there are. Blocks
+    compressed with zstd have ``packed`` values.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(block, dtype)
+                values = np.frombuffer(pa.decompress(block, packed * np.dtype(dtype).itemsize, "zstd") if packed else block, dtype)
                 if key in total:
                     total[key] += values
                 else:
