@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, html_extract, language_id, ngram_join, packing, pii, quality, toxicity, url_filter
+from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, trusted))
 
 
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = {"text": F.translate("text", ASCII_UPPER, ASCII_LOWER)}
+    made = merkle.manifest(_table(spark, sf_dir, "documents"), changed=lowered, when=_bucket(3) == 0)
+    return made.withColumnRenamed("ordinal", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -107,5 +116,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
 }
 ORACLES = {"op3_url_filter": OP3_SQL}
