@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, toxicity, url_filter
+from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, spelling, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("ordinal", "doc_id")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = spelling.Config()
+    return spelling.variants(spelling.count_words(_table(spark, sf_dir, "documents"), cfg, misspelt=31), cfg)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -117,5 +122,6 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
 }
 ORACLES = {"op3_url_filter": OP3_SQL}
