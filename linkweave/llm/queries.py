@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, spelling, toxicity, url_filter
+from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, spelling, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(_table(spark, sf_dir, "documents"), cfg, misspelt=31), cfg)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_join": op2_ngram_join,
@@ -123,5 +127,6 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
     "op12_spelling": op12_spelling,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLES = {"op3_url_filter": OP3_SQL}
