@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, spelling, substring_dedup, toxicity, url_filter
+from . import bpe, embedding_dedup, html_extract, language_id, merkle, ngram_join, packing, pii, quality, spelling, sql, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,4 +129,4 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLES = {"op3_url_filter": OP3_SQL}
+ORACLES = {"op3_url_filter": OP3_SQL, "op11_merkle": sql.merkle(), "op12_spelling": sql.SPELLING, "op13_substring_dedup": sql.SUBSTRING}
