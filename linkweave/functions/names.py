@@ -24,6 +24,17 @@ def strip_volume(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i),\s*vol\.?\s*\d+\s*$", "")
 
 
+# Endings that a collection's titles have and the catalog's don't, in the order in which they are cut.
+ENDINGS = (r"(?i)\s*\((?:Marvel|Comic Books|Cartoon Books)[^)]*\)\s*$", r"(?i),?\s*(?:Vol\.?|Volume)\s*\d+(?=\s|$)", r"(?i)\s+(?:II|III)\s*$", r"(?i),?\s*Annual\s*$", r"\s*\(\d{4}\)\s*$")
+
+
+def collection_name(c: Column) -> Column:
+    """A collection's title as the catalog may have it."""
+    for ending in ENDINGS:
+        c = F.regexp_replace(c, ending, "")
+    return F.trim(c)
+
+
 def base_name(c: Column) -> Column:
     """What stands before the first colon or long dash."""
     return F.trim(F.regexp_extract(c, "^([^:–—]*)", 1))

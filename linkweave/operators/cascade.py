@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
 
-from . import catalog, master, matching
+from . import catalog, matching
+from .similar import alike_pairs
 from .staging import staged
 
 #: Years between which a series or issue counts as of the row's era.
@@ -20,7 +21,7 @@ def _when(condition: Column, *fields: Column | str) -> Column:
     return F.min(F.when(condition, F.struct(*fields)))
 
 
-def find_series(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> DataFrame:
+def find_series(rows: DataFrame, series: DataFrame, preferred: DataFrame, issues: DataFrame) -> DataFrame:
     """Series of each row (``row_id, name, number, year, publisher``), and how it was found.
 
     Candidates have the row's name, with or without its article, with a comma for
@@ -52,7 +53,7 @@ def find_series(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> Dat
     found = counted.select("name", "number", "year", how.alias("how"), F.when(F.col("n_all") == 1, F.col("first_all.series_id")).when(n_has > 0, pick("best")["series_id"]).alias("found"), pick("first")["series_id"].alias("first"), pick("n").alias("n_series"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("name", "number", "year")]
     placed = staged(rows.alias("r").join(found.alias("f"), same[0] & same[1] & same[2], "left").select("r.*", "how", "found", "first", "n_series"))
-    back = matching.by_reverse(placed.where("found is null").withColumn("key", names.key(F.col("name"))), series, preferred).select("row_id", F.col("series_id").alias("back"), "strategy")
+    back = matching.by_reverse(placed.where("found is null").withColumn("raw", names.key(F.col("name"))), series, issues).select("row_id", F.col("series_id").alias("back"), "strategy")
     last = F.when(F.col("first").isNotNull(), F.concat(F.lit("no_issue_in_"), F.col("n_series"), F.lit("_series")))
     return placed.join(back, "row_id", "left").select("row_id", F.coalesce("found", "back", "first").alias("series_id"), F.coalesce("how", "strategy", last).alias("how"))
 
@@ -64,7 +65,7 @@ def cascade(collection: DataFrame, series: DataFrame, issues: DataFrame) -> Data
     wins if it is closer. ``match_type`` tells the series step and the issue's label.
     ``collection`` has a column ``series_group``, ``series`` a column ``year_ended``.
     """
-    rows = matching.standardise(collection).join(collection.select("row_id", "series_group"), "row_id")
+    rows = matching.standardise(collection).drop("raw").join(collection.select("row_id", "series_group"), "row_id")
     preferred, codes = staged(catalog.preferred_issues(issues)), catalog.barcodes(issues)
     hits = matching.by_barcode(rows, codes).select("row_id", F.col("issue_id").alias("code_issue"))
     rows = staged(rows.join(hits, "row_id", "left"))
@@ -73,7 +74,7 @@ def cascade(collection: DataFrame, series: DataFrame, issues: DataFrame) -> Data
 
     def tried(source: DataFrame, c: str) -> DataFrame:
         asked = source.select("row_id", names.strip_volume(F.col(c)).alias("name"), "number", "year", "publisher")
-        found = find_series(asked, series, preferred).where("series_id is not null")
+        found = find_series(asked, series, preferred, issues).where("series_id is not null")
         return asked.select("row_id", "number", "year").join(found, "row_id").join(label, ["series_id", "number"], "left").select("row_id", "series_id", "issue_id", "label", "how", F.abs(F.col("cover_year") - F.col("year")).alias("gap"))
 
     own = staged(tried(rest, "series_name"))
@@ -108,7 +109,7 @@ def layered(rows: DataFrame, series: DataFrame, aliases: DataFrame, least: float
     best = F.min(F.struct("layer", "gap", "series_id")).alias("b")
     first = hits.groupBy("name", "year").agg(best)
     rest = asked.alias("a").join(first.alias("f"), F.col("a.name").eqNullSafe(F.col("f.name")) & F.col("a.year").eqNullSafe(F.col("f.year")), "left_anti").withColumn("key", names.key(name))
-    alike = master.fuzzy_titles(rest.select(F.col("key").alias("name")), series.select(names.key(name).alias("name")), least)
+    alike = alike_pairs(rest.select(F.col("key").alias("name")), series.select(names.key(name).alias("name")), least)
     near = rest.join(alike, rest["key"] == alike["title"]).drop("key").join(index.withColumnRenamed("key", "known"), "known").where(F.col("year").isNull() | F.col("year_began").between(F.col("year") - 10, F.col("year") + 5))
     fuzzy = near.groupBy("name", "year").agg(F.min(F.struct((-F.col("alike")).alias("a"), gap.alias("gap"), "series_id")).alias("b")).select("name", "year", F.lit(5).alias("layer"), F.col("b.series_id").alias("series_id"), (-F.col("b.a")).alias("alike"))
     found = first.select("name", "year", "b.layer", "b.series_id", F.lit(None).cast("double").alias("alike")).unionByName(fuzzy)

@@ -27,14 +27,26 @@ def barcodes(issues: DataFrame) -> DataFrame:
 
 
 def name_index(series: DataFrame, preferred: DataFrame, key: Column) -> DataFrame:
-    """Per name key, publisher, number and cover year: how many series have the issue, and the first.
+    """Per name key, publisher, number and year: how many series have the issue, and the first.
 
-    Names repeat over many series, so the index is aggregated before any join:
-    a collection row meets years, not series.
+    The year is the issue's cover year, else the one in which its series began;
+    ``dated`` says that it is a cover year other than 0. Names repeat over many
+    series, so the index is aggregated before any join: a collection row meets
+    years, not series.
     """
     named = series.select("series_id", "year_began", names.publisher(F.col("publisher")).alias("publisher"), key.alias("key")).where("key is not null and key <> ''")
     first = F.min(F.struct("series_id", "issue_id"))
-    return named.join(preferred.select("series_id", "number", "issue_id", "cover_year"), "series_id").groupBy("key", "publisher", "number", "cover_year").agg(F.count("*").alias("n"), first.alias("first"))
+    held = named.join(preferred.select("series_id", "number", "issue_id", "cover_year"), "series_id").withColumns({"year": F.coalesce("cover_year", "year_began"), "dated": F.coalesce(F.col("cover_year") != 0, F.lit(False))})
+    return held.groupBy("key", "publisher", "number", F.col("year").alias("near"), "dated").agg(F.count("*").alias("n"), first.alias("first"))
+
+
+def name_forms(series: DataFrame, form: Column) -> DataFrame:
+    """Per form of the exact names and publisher: number of series and the first.
+
+    Series of one exact name count together, under the publisher of their first.
+    """
+    grouped = representatives(series).select("n", "series_id", names.publisher(F.col("publisher")).alias("publisher"), form.alias("key")).where("key is not null and key <> ''")
+    return grouped.groupBy("key", "publisher").agg(F.sum("n").alias("n"), F.min("series_id").alias("series_id"))
 
 
 def name_groups(series: DataFrame, key: Column) -> DataFrame:
@@ -51,17 +63,27 @@ def any_publisher(index: DataFrame) -> DataFrame:
     return index.where("publisher <> ''").unionByName(every)
 
 
+def representatives(series: DataFrame) -> DataFrame:
+    """Per exact name (``name_key``): its first series, with name and publisher, and how many there are."""
+    return series.groupBy(names.key(F.col("name")).alias("name_key")).agg(F.min(F.struct("series_id", "publisher", "name")).alias("r"), F.count("*").alias("n")).select("name_key", "r.series_id", "r.publisher", "r.name", "n")
+
+
 def representative(series: DataFrame) -> DataFrame:
     """First series of each exact name, whose publisher stands for the group."""
-    return series.groupBy(names.key(F.col("name")).alias("name_key")).agg(F.min(F.struct("series_id", "publisher")).alias("r")).select("name_key", "r.series_id", "r.publisher")
+    return representatives(series).select("name_key", "series_id", "publisher")
 
 
 def active_in(series: DataFrame, collection: DataFrame) -> DataFrame:
-    """Number of series active in each collection year: began by then, and open for 20 years.
+    """Number of series active in each collection year: begun by then, and not ended before it.
 
-    Starts and ends are counted per year first, so the range join is over years.
+    A series counts from the year it began to the one it ended (null or 0: still
+    open). Starts and ends are summed per year before they are summed up over
+    the years, so the window is over years, not series.
     """
+    ended = F.nullif("year_ended", F.lit(0))
+    spans = series.select("year_began", ended.alias("year_ended")).where("year_began is not null and (year_ended is null or year_ended >= year_began)")
+    events = spans.select(F.explode(F.array(F.struct(F.col("year_began").alias("year"), F.lit(1).alias("n")), F.struct((F.col("year_ended") + 1).alias("year"), F.lit(-1).alias("n")))).alias("e")).select("e.year", "e.n")
     years = collection.groupBy("year").agg(F.count("*").alias("rows"))
-    began = series.groupBy("year_began").agg(F.count("*").alias("n"))
-    open_ = began.select(F.explode(F.sequence(F.col("year_began"), F.col("year_began") + 20)).alias("year"), "n").groupBy("year").agg(F.sum("n").alias("active"))
-    return years.join(open_, "year", "left").select("year", "rows", F.coalesce("active", F.lit(0)).cast("long").alias("active"))
+    steps = events.where("year is not null").groupBy("year").agg(F.sum("n").alias("n"), F.lit(None).cast("long").alias("rows")).unionByName(years.where("year is not null").select("year", F.lit(0).cast("long").alias("n"), "rows"))
+    running = steps.withColumn("active", F.sum("n").over(Window.orderBy("year")))  # a row per year
+    return running.where("rows is not null").select("year", "rows", "active").unionByName(years.where("year is null").select("year", "rows", F.lit(0).cast("long").alias("active")))

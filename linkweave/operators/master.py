@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .similar import alike_pairs
 from .staging import staged
 
 KEY = ("title", "start_year")
@@ -52,7 +49,7 @@ def _near(open_: DataFrame, series: DataFrame, held: DataFrame, least: float) ->
     """
     low = F.lower("title").alias("low")
     index = series.join(held, "series_id").groupBy(low, "number").agg(F.min(F.struct("start_year", "series_id", "i")).alias("b"))
-    pairs = fuzzy_titles(open_.select(low.alias("name")), series.select(low.alias("name")), least).select(F.col("title").alias("asked"), F.col("known").alias("low"), "alike")
+    pairs = alike_pairs(open_.select(low.alias("name")), series.select(low.alias("name")), least).select(F.col("title").alias("asked"), F.col("known").alias("low"), "alike")
     met = open_.select("title", "number", F.lower("title").alias("asked")).join(pairs, "asked").join(index, ["low", "number"])
     best = F.min(F.struct((-F.col("alike")).alias("a"), "b.start_year", "b.series_id", F.col("b.i").alias("i"))).alias("n")
     return met.groupBy("title", "number").agg(best).select("title", "number", (-F.col("n.a")).alias("alike"), F.col("n.i").alias("near"))
@@ -95,40 +92,3 @@ def resolve(candidates: DataFrame, mappings: DataFrame, master: DataFrame, issue
     score = F.when(F.col("how").isin("mapping", "upc"), 1.0).when(F.col("how") == "title_year", 0.95).when(F.col("how") == "title", 0.85).when(F.col("how") == "fuzzy", F.lit(0.7) * F.col("alike")).otherwise(0.0)
     made = F.when(outcome == "created", F.md5(F.concat_ws("|", F.trim("title"), year.cast("string"), F.trim("number")).cast("binary")))
     return x.select("candidate_id", "how", score.alias("confidence"), "issue_id", outcome.alias("outcome"), F.when(outcome == "variant", suffix).alias("variant"), made.alias("new_key"))
-
-
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, pairs = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                pairs.append(c)
-                break
-    if not pairs:
-        return 0.0
-    m, other = len(pairs), [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(pairs, other, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    front = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * front * (1 - jaro) if jaro > 0.7 else jaro
-
-
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Jaro-Winkler similarity of two columns; meant for distinct pairs."""
-    for a, b in parts:
-        yield pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def fuzzy_titles(titles: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs of distinct titles at least so alike, among those with the same first two letters or a common word.
-
-    The blocks are declared, for no key keeps all pairs at such a threshold.
-    """
-    blocks = lambda df, c: df.select(F.col("name").alias(c)).where("length(name) > 0").distinct().withColumn("block", F.explode(F.array_union(F.array(F.concat(F.lit("^"), F.substring(c, 1, 2))), F.array_distinct(F.split(c, " ")))))
-    pairs = blocks(titles, "title").join(blocks(known, "known"), "block").select("title", "known").distinct()
-    return pairs.withColumn("alike", F.round(jaro_winkler("title", "known"), 6)).where(F.col("alike") >= least)

@@ -12,26 +12,41 @@ from .staging import staged
 
 # Confidence of each strategy, in the order in which ties are decided.
 LADDER = {
-    "barcode_exact": 100, "barcode_prefix": 100, "exact_one_issue": 90, "exact_closest_year": 85, "exact_series": 80, "strict_series": 75, "word_order": 70, "colon_comma": 68,
-    "reverse_one": 65, "article_variant": 60, "reverse_similarity": 55, "substring": 50, "base_name": 45, "date_based": 40,
+    "barcode_exact": 100, "barcode_prefix": 100, "exact_one_issue_group": 90, "exact_closest_year_group": 85, "exact_one_issue": 90, "exact_closest_year": 85, "exact_series": 80, "strict_series": 75, "word_order": 70, "colon_comma": 68,
+    "article_variant": 60, "substring": 50, "base_name": 45, "date_based": 40, "reverse_one": 65, "reverse_similarity": 55,
 }
+# An article variant with the issue, and any issue found by its full number.
+WITH_ISSUE = 90
+# Gaps in years from which a group's match is compared with the name's, and above which it is dropped.
+RETRY_GAP, GROUP_GAP = 4, 15
+#: Stands for a distance that is not known.
+FAR = 10**6
 RESULT = ("row_id", "issue_id", "series_id", "strategy", "confidence", "year_distance")
 
 
 def standardise(collection: DataFrame) -> DataFrame:
-    """Match input: keys, number, checked year and usable barcode of each collection row."""
-    name = names.strip_volume(F.col("series_name"))
+    """Match input: keys, number, checked year and usable barcode of each collection row.
+
+    ``series_group`` and ``number_full`` may be absent. ``group_key`` is null where
+    the group is blank or the series itself; ``full`` where the full number has
+    not both letters and digits or is the number.
+    """
+    name = names.collection_name(F.col("series_name"))
+    key, number = names.key(name), numbers.catalog_number(F.col("number"))
+    extra = lambda c: F.col(c) if c in collection.columns else F.lit(None).cast("string")
+    group, full, base = names.key(names.collection_name(extra("series_group"))), F.trim(extra("number_full")), names.key(names.base_name(name))
     return collection.select(
-        "row_id", "series_name", names.key(name).alias("key"), names.strict(name).alias("strict"), names.word_key(name).alias("words"), names.comma_key(name).alias("comma"), names.article_key(name).alias("article"),
-        names.key(names.base_name(name)).alias("base"), numbers.catalog_number(F.col("number")).alias("number"), numbers.year(F.col("year").cast("string"), 1950, 2026).alias("year"), names.publisher(F.col("publisher")).alias("publisher"), numbers.barcode(F.col("barcode")).alias("barcode"),
+        "row_id", "series_name", key.alias("key"), names.key(F.col("series_name")).alias("raw"), names.strict(name).alias("strict"), names.word_key(F.col("series_name")).alias("words"), names.comma_key(name).alias("comma"), names.article_key(name).alias("article"),
+        F.when((base != "") & (base != key), base).alias("base"), number.alias("number"), numbers.year(F.col("year").cast("string"), 1950, 2026).alias("year"), names.publisher(F.col("publisher")).alias("publisher"), numbers.barcode(F.col("barcode")).alias("barcode"),
+        F.when((F.trim(extra("series_group")) != "") & (group != key), group).alias("group_key"), F.when(full.rlike("[A-Za-z]") & full.rlike("[0-9]") & (full != number), full).alias("full"),
     )
 
 
-def _result(df: DataFrame, strategy: Column | str, issue: Column | None, series: Column | None, distance: Column | None) -> DataFrame:
+def _result(df: DataFrame, strategy: Column | str, issue: Column | None, series: Column | None, distance: Column | None, confidence: Column | None = None) -> DataFrame:
     strategy = F.lit(strategy) if isinstance(strategy, str) else strategy
     ladder = F.create_map(*(F.lit(x) for pair in LADDER.items() for x in pair))
     none = F.lit(None).cast("long")
-    return df.select("row_id", (issue if issue is not None else none).alias("issue_id"), (series if series is not None else none).alias("series_id"), strategy.alias("strategy"), ladder[strategy].alias("confidence"), (distance if distance is not None else F.lit(None)).cast("int").alias("year_distance"))
+    return df.select("row_id", (issue if issue is not None else none).alias("issue_id"), (series if series is not None else none).alias("series_id"), strategy.alias("strategy"), (confidence if confidence is not None else ladder[strategy]).alias("confidence"), (distance if distance is not None else F.lit(None)).cast("int").alias("year_distance"))
 
 
 def by_barcode(rows: DataFrame, barcodes: DataFrame) -> DataFrame:
@@ -40,26 +55,30 @@ def by_barcode(rows: DataFrame, barcodes: DataFrame) -> DataFrame:
 
 
 def by_barcode_prefix(rows: DataFrame, barcodes: DataFrame) -> DataFrame:
-    """Barcodes of which one begins with the other's first 13 digits, as an equi-join on those digits.
+    """Barcodes that begin with the row's, or whose first 13 digits begin it: the one first listed, its last issue.
 
-    The catalog side is reduced to one row per prefix before the join.
+    Prefixes of every length are equi-join keys: of at most 13 digits on either
+    side, as a row's longer barcode can only begin one whose first 13 digits it has.
     """
-    heads = barcodes.where("length(barcode) >= 13").groupBy(F.substring("barcode", 1, 13).alias("head")).agg(F.min_by("last_id", "first_id").alias("last_id"))
-    return _result(rows.where("length(barcode) >= 13").withColumn("head", F.substring("barcode", 1, 13)).join(heads, "head"), "barcode_prefix", F.col("last_id"), None, None)
-
-
-def _candidates(rows: DataFrame, key: str, index: DataFrame) -> DataFrame:
-    """Per row: number of series with the issue, the first, and the closest by cover year."""
+    first = F.min(F.struct("first_id", "last_id")).alias("b")
+    digits = lambda most: F.explode(F.sequence(F.lit(1), most)).alias("digits")
+    heads = barcodes.groupBy(F.substring("barcode", 1, 13).alias("head")).agg(first)
+    asked = rows.where("barcode <> ''").select("barcode").distinct()
+    begun = asked.select("barcode", digits(F.least(F.length("barcode"), F.lit(13)))).select("barcode", F.substring(F.col("barcode"), F.lit(1), F.col("digits")).alias("head")).join(heads, "head")
+    short = asked.where("length(barcode) < 13")
+    longer = heads.select("b", F.col("head"), digits(F.length("head"))).groupBy(F.substring(F.col("head"), F.lit(1), F.col("digits")).alias("barcode")).agg(F.min("b").alias("b"))
+    met = begun.select("barcode", "b").unionByName(short.join(longer, "barcode")).groupBy("barcode").agg(F.min("b").alias("b"))
+    return _result(rows.join(met, "barcode"), "barcode_prefix", F.col("b.last_id"), None, None)
+
+
+def by_exact_name(rows: DataFrame, index: DataFrame, key: str = "key", suffix: str = "") -> DataFrame:
+    """Equal name and publisher with the issue: the only series, else the closest in year if the row has one."""
     met = rows.where(f"{key} is not null").select("row_id", F.col(key).alias("key"), "publisher", "number", "year").join(index, ["key", "publisher", "number"])
-    distance = F.abs(F.col("cover_year") - F.col("year"))
-    return met.groupBy("row_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min(F.struct(distance.alias("d"), F.col("first.series_id").alias("s"), F.col("first.issue_id").alias("i"))).alias("closest"))
-
-
-def by_exact_name(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Equal name and publisher with the issue: the only one, else the closest cover year."""
-    found = _candidates(rows, "key", index)
+    distance = F.abs(F.col("near") - F.col("year"))
+    found = met.groupBy("row_id", "year").agg(F.sum("n").alias("n"), F.min(F.struct("first.series_id", "first.issue_id", F.when(F.col("dated"), distance).alias("d"))).alias("f"), F.min(F.struct(F.coalesce(distance, F.lit(FAR)).alias("d"), "first.series_id", "first.issue_id")).alias("c"))
     one = F.col("n") == 1
-    return _result(found, F.when(one, "exact_one_issue").otherwise("exact_closest_year"), F.when(one, F.col("first.issue_id")).otherwise(F.col("closest.i")), F.when(one, F.col("first.series_id")).otherwise(F.col("closest.s")), F.col("closest.d"))
+    pick = lambda c: F.when(one, F.col(f"f.{c}")).otherwise(F.col(f"c.{c}"))
+    return _result(found.where(one | F.col("year").isNotNull()), F.when(one, "exact_one_issue" + suffix).otherwise("exact_closest_year" + suffix), pick("issue_id"), pick("series_id"), F.nullif(pick("d"), F.lit(FAR)))
 
 
 def by_series_only(rows: DataFrame, key: str, groups: DataFrame, strategy: str) -> DataFrame:
@@ -68,37 +87,86 @@ def by_series_only(rows: DataFrame, key: str, groups: DataFrame, strategy: str)
     return _result(met, strategy, None, F.col("series_id"), None)
 
 
-def by_name_variant(rows: DataFrame, key: str, index: DataFrame, strategy: str) -> DataFrame:
-    """A changed name with the issue: the closest cover year."""
-    found = _candidates(rows, key, index)
-    return _result(found, strategy, F.col("closest.i"), F.col("closest.s"), F.col("closest.d"))
+def by_word_order(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """Exactly one series among the names that have the row's words and are spelt another way than its key."""
+    groups = catalog.representatives(series).select("n", "series_id", F.col("name").alias("spelt"), names.publisher(F.col("publisher")).alias("own"), names.word_key(F.col("name")).alias("words"))
+    gated = groups.select("n", "series_id", "spelt", "words", F.explode(F.array_distinct(F.array("own", F.lit("")))).alias("publisher"))
+    asked = rows.where("words is not null").select("words", "publisher", "key").distinct()
+    only = asked.join(gated, ["words", "publisher"]).where(F.col("spelt") != F.col("key")).groupBy("words", "publisher", "key").agg(F.sum("n").alias("n"), F.min("series_id").alias("series_id")).where("n = 1")
+    return _result(rows.join(only, ["words", "publisher", "key"]), "word_order", None, F.col("series_id"), None)
+
+
+def by_article(rows: DataFrame, groups: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The only series of the name with or without its article: sure if it has the issue."""
+    met = rows.select("row_id", F.col("article").alias("key"), "publisher", "number", "year").join(groups.where("n = 1"), ["key", "publisher"])
+    held = met.join(preferred.select("series_id", "number", "issue_id", "cover_year"), ["series_id", "number"], "left")
+    sure = F.col("issue_id").isNotNull()
+    return _result(held, "article_variant", F.col("issue_id"), F.col("series_id"), F.abs(F.nullif("cover_year", F.lit(0)) - F.col("year")), F.when(sure, WITH_ISSUE).otherwise(LADDER["article_variant"]))
 
 
-def by_reverse(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> DataFrame:
-    """Same number and publisher within five years: the only series, else the name most alike (above 0).
+def by_base_name(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> DataFrame:
+    """Names with the row's base name: the issue closest in cover year, else the first with the issue, else the only series."""
+    form, publisher = names.key(names.base_name(F.col("name"))), names.publisher(F.col("publisher"))
+    heads = catalog.representatives(series).select("name_key", F.col("series_id").alias("head"), publisher.alias("publisher"), form.alias("base")).where("base <> ''")
+    members = series.select("series_id", names.key(F.col("name")).alias("name_key")).join(heads, "name_key")
+    total = catalog.any_publisher(members.groupBy("base", "publisher").agg(F.count("*").alias("n"), F.min("series_id").alias("series_id")))
+    held = members.join(preferred.select("series_id", "number", "issue_id", F.nullif("cover_year", F.lit(0)).alias("cover_year")), "series_id").groupBy("base", "publisher", "number", "cover_year").agg(F.min(F.struct("head", "series_id", "issue_id")).alias("first"))
+    asked = rows.where("base is not null").select("row_id", "base", "publisher", "number", "year")
+    distance = F.abs(F.col("cover_year") - F.col("year"))
+    issue = asked.join(catalog.any_publisher(held), ["base", "publisher", "number"]).groupBy("row_id").agg(F.min("first").alias("f"), F.min(F.when(distance.isNotNull(), F.struct(distance.alias("d"), "first.head", "first.series_id", "first.issue_id"))).alias("c"))
+    met = asked.join(total, ["base", "publisher"]).join(issue, "row_id", "left").where("f is not null or n = 1")
+    return _result(met, "base_name", F.coalesce("c.issue_id", "f.issue_id"), F.coalesce("c.series_id", "f.series_id", "series_id"), F.col("c.d"))
+
 
-    Years are exploded on the row's side, and the catalog side is one row per
-    number, publisher, year and name.
+def name_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct names (columns ``raw`` and ``name``) that are alike at all, and how much: those with a common word or of which one contains the other."""
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("word")).where("word <> ''")
+    one, other = asked.select("raw").where("raw <> ''").distinct(), known.select("name").where("name <> ''").distinct()
+    shared = words(one, "raw").join(words(other, "name"), "word").select("raw", "name")
+    within = substring_names(one.select(F.col("raw").alias("name")), other, 1).select(F.col("term").alias("raw"), "name")
+    return shared.unionByName(within).distinct().withColumn("alike", F.round(names.similarity(F.col("raw"), F.col("name")), 6)).where("alike > 0")
+
+
+def by_reverse(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
+    """Any issue of the number within five years: of the only series, else the row's publisher's only one, else the name most alike (above 0).
+
+    Where no series found has the row's publisher, all count. Ties go to the least
+    series; of its issues the first by year and id is taken. Windows are made per
+    number and year asked for, names are compared once per distinct pair, and a
+    series counts as the only one where the least and the greatest are equal.
+    ``rows`` has ``raw``, ``number``, ``year`` and ``publisher``.
     """
-    named = series.select("series_id", names.key(F.col("name")).alias("name_key"), names.publisher(F.col("publisher")).alias("publisher"))
-    table = preferred.join(named, "series_id").groupBy("number", "publisher", "cover_year", "name_key").agg(F.min(F.struct("series_id", "issue_id")).alias("first"), F.count("*").alias("n"))
-    table = catalog.any_publisher(table)
-    inputs = rows.where("year is not null").select("number", "publisher", "year", "key").distinct()
-    wide = inputs.withColumn("cover_year", F.explode(F.sequence(F.greatest(F.lit(1950), F.col("year") - 5), F.least(F.lit(2025), F.col("year") + 5))))
-    alike = names.similarity(F.col("key"), F.col("name_key"))
-    best = wide.join(table, ["number", "publisher", "cover_year"]).withColumn("alike", F.round(alike, 6)).groupBy("number", "publisher", "year", "key").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("alike")).alias("a"), F.col("first.series_id").alias("s"), "cover_year", F.col("first.issue_id").alias("i"))).alias("b"))
-    one = F.col("n") == 1
-    found = rows.join(best.where(one | (F.col("b.a") < 0)), ["number", "publisher", "year", "key"])
-    return _result(found, F.when(one, "reverse_one").otherwise("reverse_similarity"), F.col("b.i"), F.col("b.s"), F.abs(F.col("b.cover_year") - F.col("year")))
+    named = series.select("series_id", names.key(F.col("name")).alias("name"), names.publisher(F.col("publisher")).alias("publisher"))
+    spots = issues.where("cover_year between 1950 and 2025").groupBy("series_id", "number", "cover_year").agg(F.min("issue_id").alias("issue_id"))
+    kept = staged(spots.join(named, "series_id"))
+    inputs = staged(rows.where("year is not null").select("number", "year", "publisher", "raw").distinct())
+    wide = inputs.select("number", "year").distinct().withColumn("cover_year", F.explode(F.sequence(F.greatest(F.lit(1950), F.col("year") - 5), F.least(F.lit(2025), F.col("year") + 5))))
+    ends = lambda *by: (F.min("low").alias("low"), F.max("high").alias("high"))
+    table = kept.groupBy("number", "cover_year", "publisher", "name").agg(F.min("series_id").alias("low"), F.max("series_id").alias("high"))
+    window = staged(wide.join(table, ["number", "cover_year"]).groupBy("number", "year", "publisher", "name").agg(*ends()))
+    every = window.groupBy("number", "year", "name").agg(*ends()).withColumn("publisher", F.lit(""))
+    scoped = window.where("publisher <> ''").unionByName(every)
+    whole = scoped.groupBy("number", "year", "publisher").agg(*ends())
+    own = whole.where("publisher <> ''")
+    alone = whole.where("publisher = ''").select("number", "year", F.col("low").alias("all_low"), F.col("high").alias("all_high"))
+    x = inputs.join(alone, ["number", "year"]).join(own, ["number", "year", "publisher"], "left")
+    only = F.when(F.col("all_low") == F.col("all_high"), F.col("all_low")).when(F.col("low") == F.col("high"), F.col("low"))
+    placed = staged(x.select("number", "year", "publisher", "raw", only.alias("only"), F.when(F.col("low").isNotNull(), F.col("publisher")).otherwise("").alias("scope")))
+    open_ = placed.where("only is null")
+    pairs = staged(name_pairs(open_, named))
+    best = open_.join(pairs, "raw").join(scoped.select("number", "year", F.col("publisher").alias("scope"), "name", "low"), ["number", "year", "scope", "name"]).groupBy("number", "year", "publisher", "raw").agg(F.min(F.struct((-F.col("alike")).alias("a"), F.col("low").alias("series_id"))).alias("b"))
+    chosen = placed.where("only is not null").select("number", "year", "publisher", "raw", F.col("only").alias("series_id"), F.lit("reverse_one").alias("reverse_how")).unionByName(best.select("number", "year", "publisher", "raw", "b.series_id", F.lit("reverse_similarity").alias("reverse_how")))
+    found = chosen.join(kept.select("series_id", "number", "cover_year", "issue_id"), ["series_id", "number"]).where(F.col("cover_year").between(F.col("year") - 5, F.col("year") + 5)).groupBy("number", "year", "publisher", "raw", "series_id", "reverse_how").agg(F.min(F.struct("cover_year", "issue_id")).alias("i"))
+    return _result(rows.join(found, ["number", "year", "publisher", "raw"]), F.col("reverse_how"), F.col("i.issue_id"), F.col("series_id"), None)
 
 
 def by_date(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
     """Any issue of an equal name and publisher within a year of the row's: the closest, then first."""
     named = series.select("series_id", names.key(F.col("name")).alias("key"), names.publisher(F.col("publisher")).alias("publisher"))
-    table = issues.where("cover_year is not null").join(named, "series_id").groupBy("key", "publisher", "cover_year").agg(F.min(F.struct("series_id", "issue_id")).alias("first"))
+    table = issues.where("cover_year between 1950 and 2026").join(named, "series_id").groupBy("key", "publisher", "cover_year").agg(F.min(F.struct("series_id", "issue_id")).alias("first"))
     table = catalog.any_publisher(table)
     wide = rows.where("year is not null").select("row_id", "key", "publisher", "year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("cover_year"))
-    best = wide.join(table, ["key", "publisher", "cover_year"]).groupBy("row_id").agg(F.min(F.struct(F.abs(F.col("cover_year") - F.col("year")).alias("d"), F.col("first.series_id").alias("s"), F.col("first.issue_id").alias("i"))).alias("b"))
+    best = wide.join(table, ["key", "publisher", "cover_year"]).groupBy("row_id").agg(F.min(F.struct(F.abs(F.col("cover_year") - F.col("year")).alias("d"), F.col("first.series_id").alias("s"), "cover_year", F.col("first.issue_id").alias("i"))).alias("b"))
     return _result(best, "date_based", F.col("b.i"), F.col("b.s"), F.col("b.d"))
 
 
@@ -152,40 +220,79 @@ def by_substring(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> Da
 
 
 def contest(results: DataFrame) -> DataFrame:
-    """Winner of each row: most confidence, least year distance (unknown last), first listed."""
+    """Winner of each row: most confidence, least year distance (unknown last), first listed; and ``named``, the best of its exact name."""
     place = F.create_map(*(F.lit(x) for i, s in enumerate(LADDER) for x in (s, i)))
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("year_distance", F.lit(10**6)).alias("d"), place[F.col("strategy")].alias("p"), *RESULT[1:])).alias("b")
-    return results.groupBy("row_id").agg(best).select("row_id", *(f"b.{c}" for c in RESULT[1:]))
+    order = F.struct((-F.col("confidence")).alias("c"), F.coalesce("year_distance", F.lit(FAR)).alias("d"), place[F.col("strategy")].alias("p"), *RESULT[1:])
+    exact = F.col("strategy").isin("exact_one_issue", "exact_closest_year")
+    best = results.groupBy("row_id").agg(F.min(order).alias("b"), F.min(F.when(exact, order)).alias("named"))
+    return best.select("row_id", *(f"b.{c}" for c in RESULT[1:]), F.struct(*(F.col(f"named.{c}") for c in RESULT[1:])).alias("named"))
+
+
+def reconsidered(won: DataFrame, rows: DataFrame, preferred: DataFrame) -> DataFrame:
+    """Winners of rows with a group, compared with the name's own, and without those too far off in years.
+
+    A winner at least ``RETRY_GAP`` years off gives way to the exact name's issue
+    if that is closer; a group's winner more than ``GROUP_GAP`` years off goes. Years
+    are those of the number in the winner's series, whatever issue was found.
+    """
+    dated = preferred.select("series_id", "number", "cover_year")
+    asked = rows.where("group_key is not null and year is not null").select("row_id", "number", "year")
+    plain = won.join(asked, "row_id", "left_anti").drop("named")
+    of = lambda name: dated.select(F.col("series_id").alias(f"{name}_series"), "number", F.col("cover_year").alias(f"{name}_year"))
+    x = won.join(asked, "row_id").withColumns({"best_series": F.col("series_id"), "name_series": F.col("named.series_id")})
+    x = x.join(of("best"), ["best_series", "number"], "left").join(of("name"), ["name_series", "number"], "left")
+    gap, near = F.abs(F.col("best_year") - F.col("year")), F.abs(F.col("name_year") - F.col("year"))
+    is_match = F.col("issue_id").isNotNull() & (F.col("confidence") < 100)
+    swap = F.coalesce(is_match & (gap >= RETRY_GAP) & F.col("named.issue_id").isNotNull() & (near < gap), F.lit(False))
+    after = {c: F.when(swap, F.col(f"named.{c}")).otherwise(F.col(c)) for c in RESULT[1:]}
+    y = x.withColumn("gap", F.when(swap, near).otherwise(gap)).withColumns(after)
+    far = F.coalesce(F.col("issue_id").isNotNull() & F.col("strategy").endswith("_group") & (F.col("gap") > GROUP_GAP), F.lit(False))
+    return plain.unionByName(y.where(~far).select(*plain.columns))
+
+
+def full_numbers(won: DataFrame, rows: DataFrame, preferred: DataFrame) -> DataFrame:
+    """Winners with a series but no issue, with the issue of the row's full number where the series has it."""
+    asked = rows.where("full is not null").select("row_id", F.col("full").alias("number"), "year")
+    held = preferred.select("series_id", "number", F.col("issue_id").alias("full_issue"), F.nullif("cover_year", F.lit(0)).alias("full_year"))
+    x = won.join(asked, "row_id", "left").join(held, ["series_id", "number"], "left")
+    use = F.col("issue_id").isNull() & F.col("full_issue").isNotNull()
+    after = {"issue_id": F.col("full_issue"), "strategy": F.concat("strategy", F.lit("_variant")), "confidence": F.lit(WITH_ISSUE), "year_distance": F.abs(F.col("full_year") - F.col("year"))}
+    return x.select(*(F.when(use, after[c]).otherwise(F.col(c)).alias(c) if c in after else F.col(c) for c in won.columns))
 
 
 def match(collection: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
     """Every collection row with its best match, or ``no_match`` with confidence 0.
 
     Rows with a barcode hit skip the other strategies. A result without an issue
-    may win the contest; it is then reported with its series only. A row without
-    a publisher meets all publishers. Tables that several strategies read are
-    written once.
+    may win the contest; then the full number is tried in its series, else it is
+    reported with its series only. A row without a publisher meets all publishers.
+    ``collection`` may have ``series_group`` and ``number_full``. Tables that several
+    strategies read are written once.
     """
     rows = staged(standardise(collection))
     preferred, codes = staged(catalog.preferred_issues(issues)), staged(catalog.barcodes(issues))
     hits = staged(by_barcode(rows, codes).unionByName(by_barcode_prefix(rows, codes)))
     rest = staged(rows.join(hits.select("row_id"), "row_id", "left_anti"))
-    exact = staged(catalog.any_publisher(catalog.name_index(series, preferred, names.key(F.col("name")))))
-    groups = lambda key: catalog.any_publisher(catalog.name_groups(series, key))
+    key = names.key(F.col("name"))
+    exact = staged(catalog.any_publisher(catalog.name_index(series, preferred, key)))
+    groups = staged(catalog.any_publisher(catalog.name_groups(series, key)))
     found = [
         hits,
+        by_exact_name(rest, exact, "group_key", "_group"),
         by_exact_name(rest, exact),
-        by_series_only(rest, "key", groups(names.key(F.col("name"))), "exact_series"),
-        by_series_only(rest, "strict", groups(names.strict(F.col("name"))), "strict_series"),
-        by_series_only(rest, "words", groups(names.word_key(F.col("name"))), "word_order"),
-        by_series_only(rest, "comma", groups(names.key(F.col("name"))), "colon_comma"),
-        by_name_variant(rest, "article", exact, "article_variant"),
-        by_name_variant(rest.where("base <> key"), "base", exact, "base_name"),
+        by_series_only(rest, "key", groups, "exact_series"),
+        by_series_only(rest, "strict", catalog.any_publisher(catalog.name_forms(series, names.strict(F.col("name")))), "strict_series"),
+        by_word_order(rest, series),
+        by_series_only(rest, "comma", groups, "colon_comma"),
+        by_article(rest, groups, preferred),
         by_substring(rest, series, preferred),
-        by_reverse(rest, series, preferred),
+        by_base_name(rest, series, preferred),
         by_date(rest, series, issues),
+        by_reverse(rest, series, issues),
     ]
     results = found[0]
     for more in found[1:]:
         results = results.unionByName(more)
-    return collection.select("row_id").join(contest(results), "row_id", "left").select("row_id", "issue_id", "series_id", F.coalesce("strategy", F.lit("no_match")).alias("strategy"), F.coalesce("confidence", F.lit(0)).alias("confidence"), "year_distance")
+    won = staged(contest(results))
+    final = full_numbers(reconsidered(won, rest, preferred), rest, preferred)
+    return collection.select("row_id").join(final, "row_id", "left").select("row_id", "issue_id", "series_id", F.coalesce("strategy", F.lit("no_match")).alias("strategy"), F.coalesce("confidence", F.lit(0)).alias("confidence"), "year_distance")

@@ -47,6 +47,44 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def titled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog series, five twelfths of them with a subtitle or a title of their own."""
+    s, k = series(spark, sf_dir), F.col("series_id") % 12
+    own = F.concat(F.col("name"), F.lit(" "), F.col("series_id").cast("string"))
+    title = F.when(k == 0, F.concat("name", F.lit(": New World"))).when(k == 1, F.concat(F.lit("The "), own)).when(k == 2, own).when(k == 3, F.concat(own, F.lit(", Part One"))).when(k == 4, F.concat(own, F.lit(": Old World"))).otherwise(F.col("name"))
+    return s.withColumn("name", title)
+
+
+def dated_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog issues, some with letters in their number, without a cover year, with year 0 or of another era."""
+    i, k = issues(spark, sf_dir), F.col("issue_id") % 23
+    number = F.when(F.col("issue_id") % 7 == 3, F.concat("number", F.lit("AU"))).otherwise(F.col("number"))
+    return i.withColumns({"number": number, "cover_year": F.when(k == 5, None).when(k == 6, 0).when(F.col("series_id") % 6 == 2, F.col("cover_year") - 20).otherwise(F.col("cover_year"))})
+
+
+def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection rows that reach every branch of matching: groups, full numbers, blank years and publishers, short barcodes."""
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    n = part.agg(F.count("*").alias("n"))
+    other = part.select(F.col("p_partkey").alias("g_key"), F.col("p_name").alias("g_name"))
+    o = F.col("o_orderkey")
+    x = orders.crossJoin(F.broadcast(n)).withColumn("pk", o % F.col("n")).join(part, F.col("pk") == F.col("p_partkey")).join(other, F.col("pk") - F.col("pk") % 12 + 2 == F.col("g_key"), "left")  # n is one row
+    own = (F.col("pk") % 12).between(1, 4)
+    stem = F.when(own, F.concat("p_name", F.lit(" "), F.col("pk").cast("string"))).otherwise(F.col("p_name"))
+    words, kind = F.split("p_name", " "), o % 8
+    turned = F.concat(words[1], F.lit(" "), words[0], F.when(own, F.concat(F.lit(" "), F.col("pk").cast("string"))).otherwise(""))
+    spelt = (
+        F.when(kind == 1, F.concat(F.lit("The "), stem)).when(kind == 2, F.concat(stem, F.lit(", Vol. 2"))).when(kind == 3, F.concat(stem, F.lit(": Part One")))
+        .when(kind == 4, turned).when(kind == 5, F.concat(stem, F.lit(" & Co"))).when(kind == 6, F.upper(stem)).when(kind == 7, F.translate(stem, "ei", "éî")).otherwise(stem)
+    )
+    number, code = (o % 7 + 1).cast("string"), F.lpad((o * 8 + 1).cast("string"), 13, "0")
+    return x.select(
+        o.alias("row_id"), spelt.alias("series_name"), number.alias("number"), F.when(o % 19 != 4, F.year("o_orderdate")).alias("year"), F.when(o % 29 != 3, F.col("p_brand")).alias("publisher"),
+        F.when(o % 9 == 0, code).when(o % 9 == 3, F.concat(code, F.lit("00001"))).when(o % 27 == 6, F.substring(code, 1, 11)).alias("barcode"),
+        F.when(o % 10 == 1, F.concat("g_name", F.lit(" "), F.col("g_key").cast("string"))).when(o % 10 == 6, stem).alias("series_group"), F.when(o % 4 == 1, F.concat(number, F.lit("AU"))).otherwise(number).alias("number_full"),
+    )
+
+
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outside ids of canonical issues: source, outside id, issue, and whether it is accurate."""
     e = table(spark, sf_dir, "events")
@@ -96,6 +134,20 @@ SQL["corrections"] = f"""select mapping_id as correction_id, source, issue_id, c
   case k % 4 when 0 then 'pending' when 1 then 'reviewed' when 2 then 'applied' else 'rejected' end as review_status, created_at from ({SQL["mappings"]}) where k % 5 = 0"""
 
 
+SQL["titled_series"] = f"""select series_id, case series_id % 12 when 0 then name || ': New World' when 1 then 'The ' || name || ' ' || series_id when 2 then name || ' ' || series_id
+  when 3 then name || ' ' || series_id || ', Part One' when 4 then name || ' ' || series_id || ': Old World' else name end as name, publisher, year_began from ({SQL["series"]})"""
+SQL["dated_issues"] = f"""select issue_id, series_id, case when issue_id % 7 = 3 then number || 'AU' else number end as number, label,
+  case when issue_id % 23 = 5 then null when issue_id % 23 = 6 then 0 when series_id % 6 = 2 then cover_year - 20 else cover_year end as cover_year, barcode from ({SQL["issues"]})"""
+SQL["shelf"] = """select row_id, case row_id % 8 when 1 then 'The ' || stem when 2 then stem || ', Vol. 2' when 3 then stem || ': Part One' when 4 then split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || substr(stem, length(p_name) + 1)
+    when 5 then stem || ' & Co' when 6 then upper(stem) when 7 then translate(stem, 'ei', 'éî') else stem end as series_name,
+    cast(row_id % 7 + 1 as varchar) as number, case when row_id % 19 <> 4 then cast(year(o_orderdate) as int) end as year, case when row_id % 29 <> 3 then p_brand end as publisher,
+    case when row_id % 9 = 0 then code when row_id % 9 = 3 then code || '00001' when row_id % 27 = 6 then substr(code, 1, 11) end as barcode,
+    case when row_id % 10 = 1 then g_name || ' ' || g_key when row_id % 10 = 6 then stem end as series_group, (row_id % 7 + 1) || case when row_id % 4 = 1 then 'AU' else '' end as number_full
+  from (select o_orderkey as row_id, o_orderdate, p.p_name, p.p_brand, g.p_name as g_name, g.p_partkey as g_key, lpad(cast(o_orderkey * 8 + 1 as varchar), 13, '0') as code,
+      case when p.p_partkey % 12 between 1 and 4 then p.p_name || ' ' || p.p_partkey else p.p_name end as stem
+    from orders join part p on p.p_partkey = o_orderkey % (select count(*) from part) left join part g on g.p_partkey = p.p_partkey - p.p_partkey % 12 + 2)"""
+
+
 def with_sql(*names: str) -> str:
     """CTEs of the named inputs."""
     return "with " + ", ".join(f"{n} as ({SQL[n]})" for n in names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, master, matching, reports, urls
+from linkweave.operators import catalog, master, matching, reports, similar, urls
 from linkweave.plans import projection as p
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,39 +51,74 @@ idx as (select key, publisher, number, cover_year, count(*) as n, min({'s': seri
 """
 
 
-def _found(key: str, where: str = "true") -> str:
-    return f"""select r.row_id, sum(n) as n, min(first) as first, min({{'d': abs(cover_year - year), 's': first.s, 'i': first.i}}) as closest
-      from rows r join idx on r.{key} = idx.key and r.publisher = idx.publisher and r.number = idx.number where {where} group by r.row_id"""
+# Matching is checked on a collection that reaches every branch; its SQL looks at candidates one by one.
+_FOLD = "strip_accents(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))))"
+_CUT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s*\((?:Marvel|Comic Books|Cartoon Books)[^)]*\)\s*$', '', 'i'), ',?\s*(?:Vol\.?|Volume)\s*\d+(\s+|$)', '\1', 'gi'), '\s+(?:II|III)\s*$', '', 'i'), ',?\s*Annual\s*$', '', 'i'), '\s*\(\d{{4}}\)\s*$', ''))"
+_STRICT = "trim(regexp_replace(regexp_replace(replace({0}, '&', 'and'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_WORDSET = "list_sort(list_distinct(string_split({0}, ' ')))"
+_SHELF = "with " + ", ".join(f"{name} as ({p.SQL[source]})" for name, source in (("series", "titled_series"), ("issues", "dated_issues"), ("collection", "shelf"))) + rf""",
+preferred as (
+  select series_id, number, issue_id, label, cover_year, n_issues from (
+    select *, count(*) over (partition by series_id, number) as n_issues, row_number() over (partition by series_id, number
+      order by case label when 'newsstand' then 0 when 'canonical' then 1 else 2 end, case when label = 'variant' then -issue_id else issue_id end) as r from issues) where r = 1
+), codes as (select barcode, max(issue_id) as last_id, min(issue_id) as first_id from issues where barcode is not null group by barcode),
+cut as (select *, {_FOLD.format(_CUT.format("series_name"))} as key, {_FOLD.format("series_name")} as raw, {_FOLD.format(_CUT.format("series_group"))} as gkey from collection),
+rows as (select row_id, series_name, key, raw, {_STRICT.format("key")} as strict, case when len({_WORDSET.format("raw")}) >= 2 then {_WORDSET.format("raw")} end as words, case when contains(key, ': ') then replace(key, ': ', ', ') end as comma,
+    case when starts_with(key, 'the ') then substr(key, 5) else 'the ' || key end as article, case when regexp_replace(key, '\s*[:—–].+$', '') not in ('', key) then regexp_replace(key, '\s*[:—–].+$', '') end as base,
+    number, year, coalesce(lower(publisher), '') as publisher, barcode, case when trim(series_group) <> '' and gkey <> key then gkey end as gkey, case when number_full <> number and number_full ~ '.*[A-Za-z].*' then number_full end as full_number from cut),
+named as (select series_id, year_began, lower(publisher) as publisher, strip_accents(lower(name)) as key, name from series),
+heads as (select key, min(series_id) as head, arg_min(publisher, series_id) as publisher, arg_min(name, series_id) as name from named group by key),
+members as (select n.series_id, n.key, h.head, h.publisher, h.name from named n join heads h using (key))
+"""
 
 
-_EXACT = f"""select row_id, case when n = 1 then first.i else closest.i end as issue_id, case when n = 1 then first.s else closest.s end as series_id,
-  case when n = 1 then 'exact_one_issue' else 'exact_closest_year' end as strategy, case when n = 1 then 90 else 85 end as confidence, cast(closest.d as int) as year_distance from ({_found("key")})"""
-_CODE = "select row_id, last_id as issue_id, cast(null as bigint) as series_id, 'barcode_exact' as strategy, 100 as confidence, cast(null as int) as year_distance from rows join codes using (barcode)"
-_HEAD = """select row_id, h.last_id as issue_id, cast(null as bigint) as series_id, 'barcode_prefix' as strategy, 100 as confidence, cast(null as int) as year_distance
-  from rows join (select substr(barcode, 1, 13) as head, arg_min(last_id, first_id) as last_id from codes group by 1) h on substr(rows.barcode, 1, 13) = h.head where length(rows.barcode) >= 13"""
+def _exactly(key: str, suffix: str = "") -> str:
+    """Series of the name and publisher that have the issue: one, or several if the row has a year."""
+    return f"""select row_id, case when n = 1 then f.i else c.i end as issue_id, case when n = 1 then f.s else c.s end as series_id, case when n = 1 then 'exact_one_issue{suffix}' else 'exact_closest_year{suffix}' end as strategy,
+      case when n = 1 then 90 else 85 end as confidence, cast(case when n = 1 then f.d else c.d end as int) as year_distance from (
+      select row_id, year, count(*) as n, min({{'s': s.series_id, 'i': issue_id, 'd': case when cover_year <> 0 then abs(cover_year - year) end}}) as f, min({{'d': abs(coalesce(cover_year, year_began) - year), 's': s.series_id, 'i': issue_id}}) as c
+      from rows r join named s on s.key = r.{key} and r.publisher in ('', s.publisher) join preferred q on q.series_id = s.series_id and q.number = r.number group by row_id, year) where n = 1 or year is not null"""
 
 
-def _variant(key: str, strategy: str, confidence: int, where: str = "true") -> str:
-    return f"select row_id, closest.i as issue_id, closest.s as series_id, '{strategy}' as strategy, {confidence} as confidence, cast(closest.d as int) as year_distance from ({_found(key, where)})"
+def _single(candidates: str, strategy: str, confidence: int) -> str:
+    """The only series of each row among candidates ``row_id, series_id``."""
+    return f"select row_id, cast(null as bigint) as issue_id, min(series_id) as series_id, '{strategy}' as strategy, {confidence} as confidence, cast(null as int) as year_distance from ({candidates}) group by row_id having count(*) = 1"
 
 
-def _only(key: str, group: str, strategy: str, confidence: int) -> str:
-    return f"""select row_id, cast(null as bigint) as issue_id, g.series_id, '{strategy}' as strategy, {confidence} as confidence, cast(null as int) as year_distance
-      from rows r join (select {group} as k, publisher, min(series_id) as series_id from named group by 1, 2 having count(*) = 1) g on r.{key} = g.k and r.publisher = g.publisher"""
+_OWN = "select r.row_id, s.series_id from rows r join named s on s.key = r.{0} and r.publisher in ('', s.publisher)"
+_GATED = "select r.row_id, m.series_id from rows r join members m on {0} and r.publisher in ('', m.publisher)"
+_CODE = "select row_id, last_id as issue_id, cast(null as bigint) as series_id, 'barcode_exact' as strategy, 100 as confidence, cast(null as int) as year_distance from rows join codes using (barcode)"
+_HEAD = """select row_id, arg_min(c.last_id, c.first_id) as issue_id, cast(null as bigint) as series_id, 'barcode_prefix' as strategy, 100 as confidence, cast(null as int) as year_distance
+  from rows r join codes c on starts_with(c.barcode, r.barcode) or starts_with(r.barcode, left(c.barcode, 13)) group by row_id"""
+_ARTICLE = f"""select row_id, q.issue_id, o.series_id, 'article_variant' as strategy, case when q.issue_id is not null then 90 else 60 end as confidence, cast(case when cover_year <> 0 then abs(cover_year - year) end as int) as year_distance
+  from ({_single(_OWN.format("article"), "article_variant", 60)}) o join rows r using (row_id) left join preferred q on q.series_id = o.series_id and q.number = r.number"""
+_BASES = r"""select row_id, coalesce(c.i, f.i) as issue_id, coalesce(c.s, f.s, lone) as series_id, 'base_name' as strategy, 45 as confidence, cast(c.d as int) as year_distance from (
+  select row_id, count(*) as n, min(m.series_id) as lone, min({'h': m.head, 's': m.series_id, 'i': q.issue_id}) filter (q.issue_id is not null) as f,
+    min({'d': abs(cover_year - year), 'h': m.head, 's': m.series_id, 'i': q.issue_id}) filter (cover_year <> 0 and year is not null) as c
+  from rows r join members m on regexp_replace(strip_accents(lower(m.name)), '\s*[:—–].+$', '') = r.base and r.publisher in ('', m.publisher) left join preferred q on q.series_id = m.series_id and q.number = r.number group by row_id) where f is not null or n = 1"""
+_ALIKE = """round(case when {0} = {1} then 1.0
+      when starts_with(case when length({0}) <= length({1}) then {1} else {0} end, case when length({0}) <= length({1}) then {0} else {1} end) then least(0.9, 1.4 * least(length({0}), length({1})) / greatest(length({0}), length({1})))
+      when contains(case when length({0}) <= length({1}) then {1} else {0} end, case when length({0}) <= length({1}) then {0} else {1} end) then 0.8 * least(length({0}), length({1})) / greatest(length({0}), length({1}))
+      else len(list_intersect(list_distinct(string_split({0}, ' ')), list_distinct(string_split({1}, ' ')))) / len(list_distinct(list_concat(string_split({0}, ' '), string_split({1}, ' ')))) end, 6)"""
+
+
+def reverse_sql(rows: str) -> str:
+    """Reverse lookup of ``rows`` (row_id, raw, number, year, publisher): series of the number within five years, all of them or those of the row's publisher."""
+    return f"""(with ask as (select distinct raw, number, year, publisher from {rows} where year is not null),
+    spots as (select i.series_id, i.number, i.cover_year, min(i.issue_id) as issue_id, any_value(n.key) as key, any_value(n.publisher) as publisher from issues i join named n using (series_id) where i.cover_year between 1950 and 2025 group by 1, 2, 3),
+    seen as (select distinct a.number, a.year, s.series_id, s.key, s.publisher from (select distinct number, year from ask) a join spots s on s.number = a.number and s.cover_year between a.year - 5 and a.year + 5),
+    alln as (select number, year, count(*) as n, min(series_id) as one from seen group by 1, 2), pubn as (select number, year, publisher, count(*) as n, min(series_id) as one from seen group by 1, 2, 3),
+    scope as (select a.*, case when l.n = 1 then l.one when o.n = 1 then o.one end as one, case when o.n is not null then a.publisher end as own from ask a join alln l using (number, year) left join pubn o on o.number = a.number and o.year = a.year and o.publisher = a.publisher),
+    alike as (select raw, key, {_ALIKE.format("raw", "key")} as alike from (select distinct raw from scope where one is null), (select distinct key from seen)),
+    best as (select c.raw, c.number, c.year, c.publisher, min({{'a': -alike, 's': s.series_id}}) as b from scope c join seen s on s.number = c.number and s.year = c.year and (own is null or s.publisher = own) join alike k on k.raw = c.raw and k.key = s.key where one is null and alike > 0 group by all),
+    picked as (select raw, number, year, publisher, one as series_id, 'reverse_one' as how from scope where one is not null union all select raw, number, year, publisher, b.s, 'reverse_similarity' from best),
+    held as (select k.*, arg_min(s.issue_id, {{'y': s.cover_year, 'i': s.issue_id}}) as issue_id from picked k join spots s on s.series_id = k.series_id and s.number = k.number and s.cover_year between k.year - 5 and k.year + 5 group by all)
+    select row_id, h.issue_id, h.series_id, h.how as strategy, case when h.how = 'reverse_one' then 65 else 55 end as confidence, cast(null as int) as year_distance from {rows} r join held h on h.raw = r.raw and h.number = r.number and h.year = r.year and h.publisher = r.publisher)"""
 
 
-_REVERSE = """select row_id, b.i as issue_id, b.s as series_id, case when n = 1 then 'reverse_one' else 'reverse_similarity' end as strategy, case when n = 1 then 65 else 55 end as confidence, cast(abs(b.c - year) as int) as year_distance
-  from (select row_id, year, sum(n) as n, min({'a': -alike, 's': f.s, 'c': cover_year, 'i': f.i}) as b from (
-    select r.row_id, r.year, t.cover_year, t.n, t.f, round(case when r.key = t.key then 1.0
-      when starts_with(case when length(r.key) <= length(t.key) then t.key else r.key end, case when length(r.key) <= length(t.key) then r.key else t.key end) then least(0.9, 1.4 * least(length(r.key), length(t.key)) / greatest(length(r.key), length(t.key)))
-      when contains(case when length(r.key) <= length(t.key) then t.key else r.key end, case when length(r.key) <= length(t.key) then r.key else t.key end) then 0.8 * least(length(r.key), length(t.key)) / greatest(length(r.key), length(t.key))
-      else len(list_intersect(list_distinct(string_split(r.key, ' ')), list_distinct(string_split(t.key, ' ')))) / len(list_distinct(list_concat(string_split(r.key, ' '), string_split(t.key, ' ')))) end, 6) as alike
-    from rows r join (select number, publisher, cover_year, key, min({'s': series_id, 'i': issue_id}) as f, count(*) as n from preferred join named using (series_id) group by all) t
-      on r.number = t.number and r.publisher = t.publisher and t.cover_year between greatest(1950, r.year - 5) and least(2025, r.year + 5)) group by row_id, year) where n = 1 or b.a < 0"""
 _DATE = """select row_id, b.i as issue_id, b.s as series_id, 'date_based' as strategy, 40 as confidence, cast(b.d as int) as year_distance from (
-  select r.row_id, min({'d': abs(t.cover_year - r.year), 's': t.f.s, 'i': t.f.i}) as b from rows r join (
-    select key, publisher, cover_year, min({'s': series_id, 'i': issue_id}) as f from issues join named using (series_id) group by all) t
-  on r.key = t.key and r.publisher = t.publisher and t.cover_year between r.year - 1 and r.year + 1 group by r.row_id)"""
+  select r.row_id, min({'d': abs(i.cover_year - r.year), 's': i.series_id, 'y': i.cover_year, 'i': i.issue_id}) as b from rows r join named s on s.key = r.key and r.publisher in ('', s.publisher)
+  join issues i on i.series_id = s.series_id and i.cover_year between r.year - 1 and r.year + 1 and i.cover_year between 1950 and 2026 group by r.row_id)"""
 _SUBSTRING = r"""with terms as (select row_id, publisher, number, year, regexp_replace(regexp_replace(key, '^(the|a|an) ', ''), '[ the]+$', '') as term from rows where length(series_name) >= 4),
     heads as (select key as name, count(*) as n, min(series_id) as sid, arg_min(publisher, series_id) as publisher from named where key <> '' group by key),
     pairs as (select t.term, h.* from (select distinct term from terms where term <> '') t join heads h on contains(h.name, t.term) or contains(t.term, h.name)),
@@ -94,24 +129,33 @@ _SUBSTRING = r"""with terms as (select row_id, publisher, number, year, regexp_r
   select row_id, cast(null as bigint) as issue_id, case when m is not null then near else sid end as series_id, 'substring' as strategy, 50 as confidence, cast(null as int) as year_distance
   from wide left join close using (row_id) where coalesce(m, n) = 1"""
 _PARTS = {
-    "hits": f"{_CODE} union all {_HEAD}", "exact": _EXACT, "one": _only("key", "key", "exact_series", 80), "strictly": _only("strict", "key", "strict_series", 75), "wordly": _only("words", "words", "word_order", 70),
-    "commas": _only("comma", "key", "colon_comma", 68), "articles": _variant("article", "article_variant", 60), "bases": _variant("base", "base_name", 45, "r.base <> r.key"), "substrings": _SUBSTRING, "reverses": _REVERSE, "dates": _DATE,
+    "hits": f"select * from ({_CODE}) union all select * from ({_HEAD})", "grouped": _exactly("gkey", "_group"), "exact": _exactly("key"), "one": _single(_OWN.format("key"), "exact_series", 80), "strictly": _single(_GATED.format(_STRICT.format("m.key") + " = r.strict"), "strict_series", 75),
+    "wordly": _single(_GATED.format(_WORDSET.format("m.key") + " = r.words and m.name <> r.key"), "word_order", 70), "commas": _single(_OWN.format("comma"), "colon_comma", 68), "articles": _ARTICLE, "substrings": _SUBSTRING, "bases": _BASES, "dates": _DATE, "reverses": reverse_sql("rows"),
 }
 _MATCH = (
-    _BASE + "".join(f", {n} as ({s})" for n, s in _PARTS.items())
+    _SHELF + "".join(f", {n} as ({s})" for n, s in _PARTS.items())
     + ", everything as (select * from hits" + "".join(f" union all select * from {n} where row_id not in (select row_id from hits)" for n in list(_PARTS)[1:]) + ")"
     + ", ladder(strategy, place) as (values " + ", ".join(f"('{s}', {i})" for i, s in enumerate(matching.LADDER)) + ")"
-    + ", won as (select e.*, row_number() over (partition by row_id order by confidence desc, year_distance nulls last, place, issue_id, series_id) as r from everything e join ladder using (strategy))"
-    + ", matches as (select c.row_id, w.issue_id, w.series_id, coalesce(w.strategy, 'no_match') as strategy, coalesce(w.confidence, 0) as confidence, w.year_distance from collection c left join won w on w.row_id = c.row_id and r = 1) "
+    + """, best as (select * from (select e.*, row_number() over (partition by row_id order by confidence desc, year_distance nulls last, place) as r from everything e join ladder using (strategy)) where r = 1),
+    own as (select * from exact), years as (select series_id, number, cover_year as cy from preferred),
+    seen as (select b.*, w.year, w.number, w.gkey, w.full_number, abs(y.cy - w.year) as gap, o.issue_id as oi, o.series_id as os, o.strategy as ot, o.confidence as oc, o.year_distance as od, abs(z.cy - w.year) as ogap
+      from best b join rows w using (row_id) left join years y on y.series_id = b.series_id and y.number = w.number left join own o on o.row_id = b.row_id left join years z on z.series_id = o.series_id and z.number = w.number),
+    retried as (select *, coalesce(gkey is not null and confidence < 100 and issue_id is not null and gap >= 4 and oi is not null and ogap < gap, false) as swap from seen),
+    swapped as (select row_id, case when swap then oi else issue_id end as issue_id, case when swap then os else series_id end as series_id, case when swap then ot else strategy end as strategy, case when swap then oc else confidence end as confidence,
+      case when swap then od else year_distance end as year_distance, case when swap then ogap else gap end as gap, year, full_number from retried),
+    kept as (select * from swapped where not coalesce(issue_id is not null and strategy like '%\\_group' escape '\\' and gap > 15, false)),
+    full_ as (select k.*, q.issue_id as fi, case when q.cover_year <> 0 then abs(q.cover_year - k.year) end as fd from kept k left join preferred q on k.issue_id is null and q.series_id = k.series_id and q.number = k.full_number),
+    won as (select row_id, coalesce(issue_id, fi) as issue_id, series_id, case when fi is not null then strategy || '_variant' else strategy end as strategy, case when fi is not null then 90 else confidence end as confidence, cast(case when fi is not null then fd else year_distance end as int) as year_distance from full_),
+    matches as (select c.row_id, w.issue_id, w.series_id, coalesce(w.strategy, 'no_match') as strategy, coalesce(w.confidence, 0) as confidence, w.year_distance from collection c left join won w on w.row_id = c.row_id) """
 )
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return matching.standardise(p.collection(spark, sf_dir)), p.series(spark, sf_dir), p.issues(spark, sf_dir)
+    return matching.standardise(p.shelf(spark, sf_dir)), p.titled_series(spark, sf_dir), p.dated_issues(spark, sf_dir)
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match(p.collection(spark, sf_dir), p.series(spark, sf_dir), p.issues(spark, sf_dir))
+    return matching.match(p.shelf(spark, sf_dir), p.titled_series(spark, sf_dir), p.dated_issues(spark, sf_dir))
 
 
 # --- matching ----------------------------------------------------------------------
@@ -122,119 +166,135 @@ def k1_match_collection(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-@query(p.with_sql("issues") + " select * from issues")
+@query(p.with_sql("dated_issues") + " select * from dated_issues")
 def a6_catalog_issues(spark, sf_dir):
-    return p.issues(spark, sf_dir)
+    return p.dated_issues(spark, sf_dir)
 
 
-@query(_BASE + "select row_id, key, strict, words, comma, article, base, number, year, publisher, barcode from rows")
+@query(_SHELF + "select row_id, key, raw, strict, array_to_string(words, ' ') as words, comma, article, base, number, year, publisher, barcode, gkey as group_key, full_number as full from rows")
 def h2_standardise_collection(spark, sf_dir):
-    return matching.standardise(p.collection(spark, sf_dir)).drop("series_name")
+    return matching.standardise(p.shelf(spark, sf_dir)).drop("series_name")
 
 
-@query(_BASE + "select series_id, number, issue_id, label, cover_year, n_issues from preferred")
+@query(_SHELF + "select series_id, number, issue_id, label, cover_year, n_issues from preferred")
 def w1_preferred_issues(spark, sf_dir):
-    return catalog.preferred_issues(p.issues(spark, sf_dir))
+    return catalog.preferred_issues(p.dated_issues(spark, sf_dir))
 
 
-@query(_BASE + "select * from codes")
+@query(_SHELF + "select * from codes")
 def d2_barcode_table(spark, sf_dir):
-    return catalog.barcodes(p.issues(spark, sf_dir))
+    return catalog.barcodes(p.dated_issues(spark, sf_dir))
 
 
-@query(_BASE + "select key as name_key, min(series_id) as series_id, arg_min(s.publisher, series_id) as publisher from named join series s using (series_id) group by key")
+@query(_SHELF + "select key as name_key, min(series_id) as series_id, arg_min(s.publisher, series_id) as publisher from named join series s using (series_id) group by key")
 def w2_name_representatives(spark, sf_dir):
-    return catalog.representative(p.series(spark, sf_dir))
+    return catalog.representative(p.titled_series(spark, sf_dir))
 
 
-@query(_BASE + _CODE)
+@query(_SHELF + _CODE)
 def c1_barcode_exact(spark, sf_dir):
     rows, _, issues = _inputs(spark, sf_dir)
     return matching.by_barcode(rows, catalog.barcodes(issues))
 
 
-@query(_BASE + _HEAD)
+@query(_SHELF + _HEAD)
 def c2_barcode_prefix(spark, sf_dir):
     rows, _, issues = _inputs(spark, sf_dir)
     return matching.by_barcode_prefix(rows, catalog.barcodes(issues))
 
 
 def _index(series: DataFrame, issues: DataFrame) -> DataFrame:
-    return catalog.name_index(series, catalog.preferred_issues(issues), names.key(F.col("name")))
+    return catalog.any_publisher(catalog.name_index(series, catalog.preferred_issues(issues), names.key(F.col("name"))))
+
 
+def _groups(series: DataFrame) -> DataFrame:
+    return catalog.any_publisher(catalog.name_groups(series, names.key(F.col("name"))))
 
-@query(_BASE + _EXACT)
+
+@query(_SHELF + _PARTS["grouped"])
+def c3_exact_group(spark, sf_dir):
+    rows, series, issues = _inputs(spark, sf_dir)
+    return matching.by_exact_name(rows, _index(series, issues), "group_key", "_group")
+
+
+@query(_SHELF + _PARTS["one"])
+def c3_exact_series(spark, sf_dir):
+    rows, series, _ = _inputs(spark, sf_dir)
+    return matching.by_series_only(rows, "key", _groups(series), "exact_series")
+
+
+@query(_SHELF + _PARTS["exact"])
 def c3_exact_name(spark, sf_dir):
     rows, series, issues = _inputs(spark, sf_dir)
     return matching.by_exact_name(rows, _index(series, issues))
 
 
-@query(_BASE + _PARTS["strictly"])
+@query(_SHELF + _PARTS["strictly"])
 def c4_strict_name(spark, sf_dir):
     rows, series, _ = _inputs(spark, sf_dir)
-    return matching.by_series_only(rows, "strict", catalog.name_groups(series, names.strict(F.col("name"))), "strict_series")
+    return matching.by_series_only(rows, "strict", catalog.any_publisher(catalog.name_forms(series, names.strict(F.col("name")))), "strict_series")
 
 
-@query(_BASE + _PARTS["commas"])
+@query(_SHELF + _PARTS["commas"])
 def c5_colon_comma(spark, sf_dir):
     rows, series, _ = _inputs(spark, sf_dir)
-    return matching.by_series_only(rows, "comma", catalog.name_groups(series, names.key(F.col("name"))), "colon_comma")
+    return matching.by_series_only(rows, "comma", _groups(series), "colon_comma")
 
 
-@query(_BASE + _PARTS["articles"])
+@query(_SHELF + _PARTS["articles"])
 def c6_article_variant(spark, sf_dir):
     rows, series, issues = _inputs(spark, sf_dir)
-    return matching.by_name_variant(rows, "article", _index(series, issues), "article_variant")
+    return matching.by_article(rows, _groups(series), catalog.preferred_issues(issues))
 
 
-@query(_BASE + _PARTS["wordly"])
+@query(_SHELF + _PARTS["wordly"])
 def c7_word_order(spark, sf_dir):
     rows, series, _ = _inputs(spark, sf_dir)
-    return matching.by_series_only(rows, "words", catalog.name_groups(series, names.word_key(F.col("name"))), "word_order")
+    return matching.by_word_order(rows, series)
 
 
-@query(_BASE + ", t as (select distinct key from rows where length(key) >= 4), k as (select distinct key from named where length(key) >= 4) select t.key as term, k.key as name from t, k where contains(t.key, k.key) or contains(k.key, t.key)")
+@query(_SHELF + ", t as (select distinct key from rows where length(key) >= 4), k as (select distinct key from named where length(key) >= 4) select t.key as term, k.key as name from t, k where contains(t.key, k.key) or contains(k.key, t.key)")
 def c8_substring_names(spark, sf_dir):
     rows, series, _ = _inputs(spark, sf_dir)
     return matching.substring_names(rows.select(F.col("key").alias("name")), series.select(names.key(F.col("name")).alias("name")))
 
 
-@query(_BASE + "select * from (" + _SUBSTRING + ")")
+@query(_SHELF + "select * from (" + _SUBSTRING + ")")
 def c8_substring_series(spark, sf_dir):
     rows, series, issues = _inputs(spark, sf_dir)
     return matching.by_substring(rows, series, catalog.preferred_issues(issues))
 
 
-@query(_BASE + _PARTS["bases"])
+@query(_SHELF + _PARTS["bases"])
 def c9_base_name(spark, sf_dir):
     rows, series, issues = _inputs(spark, sf_dir)
-    return matching.by_name_variant(rows.where("base <> key"), "base", _index(series, issues), "base_name")
+    return matching.by_base_name(rows, series, catalog.preferred_issues(issues))
 
 
-@query(_BASE + _DATE)
+@query(_SHELF + _DATE)
 def c11_date_band(spark, sf_dir):
     return matching.by_date(*_inputs(spark, sf_dir))
 
 
-@query(_BASE + _REVERSE)
+@query(_SHELF + "select * from " + _PARTS["reverses"])
 def c12_reverse_lookup(spark, sf_dir):
-    rows, series, issues = _inputs(spark, sf_dir)
-    return matching.by_reverse(rows, series, catalog.preferred_issues(issues))
+    return matching.by_reverse(*_inputs(spark, sf_dir))
 
 
-@query(_BASE + "select y.year, y.n as rows, (select count(*) from series where y.year between year_began and year_began + 20) as active from (select year, count(*) as n from collection group by year) y")
+@query(_SHELF + "select y.year, y.n as rows, (select count(*) from series where year_began <= y.year and (series_id % 4 <> 0 or year_began + 3 >= y.year)) as active from (select year, count(*) as n from collection group by year) y")
 def c13_active_series(spark, sf_dir):
-    return catalog.active_in(p.series(spark, sf_dir), p.collection(spark, sf_dir))
+    series = p.titled_series(spark, sf_dir).withColumn("year_ended", F.when(F.col("series_id") % 4 == 0, F.col("year_began") + 3))
+    return catalog.active_in(series, p.shelf(spark, sf_dir))
 
 
-@query(_BASE + """, t as (select distinct key from rows), k as (select distinct key from named) select t.key as title, k.key as known, round(jaro_winkler_similarity(t.key, k.key), 6) as alike from t, k
-  where (left(t.key, 2) = left(k.key, 2) or len(list_intersect(string_split(t.key, ' '), string_split(k.key, ' '))) > 0) and round(jaro_winkler_similarity(t.key, k.key), 6) >= 0.85""")
+@query(_SHELF + """, t as (select distinct key from rows), k as (select distinct key from named) select t.key as title, k.key as known, round(jaro_winkler_similarity(t.key, k.key), 6) as alike from t, k
+  where t.key <> '' and k.key <> '' and round(jaro_winkler_similarity(t.key, k.key), 6) >= 0.85""")
 def c15_fuzzy_titles(spark, sf_dir):
     rows, series, _ = _inputs(spark, sf_dir)
-    return master.fuzzy_titles(rows.select(F.col("key").alias("name")), series.select(names.key(F.col("name")).alias("name")))
+    return similar.alike_pairs(rows.select(F.col("key").alias("name")), series.select(names.key(F.col("name")).alias("name")))
 
 
-@query(_BASE + "select (select count(*) from series) as series, (select count(*) from preferred) as issues, (select count(*) from codes) as barcodes")
+@query(_SHELF + "select (select count(*) from series) as series, (select count(*) from preferred) as issues, (select count(*) from codes) as barcodes")
 def k18_catalog_stats(spark, sf_dir):
     _, series, issues = _inputs(spark, sf_dir)
     one = lambda df, n: df.agg(F.count("*").alias(n))
@@ -340,7 +400,7 @@ _RESOLVE = p.with_sql("mappings", "masters", "master_issues") + f""", named as (
     left join (select * from st join held using (series_id)) t on t.title = c.title and t.number = c.number),
   asked as (select distinct title, number from sure where coalesce(mapped, coded, by_year, by_title) is null and number is not null),
   alike as (select a.title, k.title as known, round(jaro_winkler_similarity(lower(a.title), lower(k.title)), 6) as alike from (select distinct title from asked) a, (select distinct title from masters) k
-    where (left(lower(a.title), 2) = left(lower(k.title), 2) or len(list_intersect(string_split(lower(a.title), ' '), string_split(lower(k.title), ' '))) > 0) and round(jaro_winkler_similarity(lower(a.title), lower(k.title)), 6) >= 0.85),
+    where round(jaro_winkler_similarity(lower(a.title), lower(k.title)), 6) >= 0.85),
   near as (select a.title, a.number, min({{'a': -l.alike, 'y': s.start_year, 's': s.id, 'i': h.issue_id, 'u': h.upc}}) as n from asked a join alike l using (title) join masters s on s.title = l.known join held h on h.series_id = s.id and h.number = a.number group by 1, 2),
   x as (select u.*, n.n, case when mapped is not null then 'mapping' when coded is not null then 'upc' when by_year is not null then 'title_year' when by_title is not null then 'title' when n.n is not null then 'fuzzy' else 'none' end as how
     from sure u left join near n on n.title = u.title and n.number = u.number),

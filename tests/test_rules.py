@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, master, matching
+from linkweave.operators import catalog, master, matching, similar
 from linkweave.sources import tables
 from linkweave.streaming import imports
 
@@ -60,8 +60,7 @@ def test_substring_equals_brute_force(spark):
 
 
 def test_jaro_winkler_and_merge(spark):
-    assert master._jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
-    assert master._jaro_winkler("", "a") == 0
+    assert similar.similarities(["martha", "", "same"], ["marhta", "a", "same"]).tolist() == pytest.approx([0.961111, 0, 1], abs=1e-6)
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (4, "e"), (4, "f")], "id int, v string")
     snapshot, rejected = tables.merge_snapshot(old, new, ["id"])
@@ -115,7 +114,7 @@ def test_resolve_steps_and_conflicts(spark):
         1: ("mapping", 30, "matched", None), 2: ("upc", 21, "matched", None), 3: ("title_year", 10, "matched", None), 4: ("title", 20, "matched", None), 5: ("fuzzy", 30, "matched", None), 6: ("title_year", 10, "rejected", None),
         7: ("title_year", 10, "variant", "B"), 8: ("none", None, "created", None), 9: ("none", None, "invalid", None), 10: ("none", None, "invalid", None), 11: ("none", None, "created", None),
     }
-    assert found[8].new_key == found[11].new_key and found[5].confidence == pytest.approx(0.7 * master._jaro_winkler("alpha", "alphas"), abs=1e-6)
+    assert found[8].new_key == found[11].new_key and found[5].confidence == pytest.approx(0.7 * similar.similarities(["alpha"], ["alphas"])[0], abs=1e-6)
     assert master.resolve(asked.limit(0), mapped, series, issues).count() == 0
 
 
@@ -126,7 +125,37 @@ def test_short_substrings_and_blank_publishers(spark):
     assert found == {(t, k) for t in terms for k in known if t and k and (t in k or k in t)}
     series = spark.createDataFrame([(1, "Alpha", "One", 1990), (2, "Omega", "One", 1990), (3, "Omega", "Two", 1990), (4, "Northern Lights", "Two", 1990)], "series_id long, name string, publisher string, year_began int")
     issues = spark.createDataFrame([(10, 1, "1", "canonical", 1990, None), (20, 2, "1", "canonical", 1990, None), (30, 3, "1", "canonical", 1999, None)], "issue_id long, series_id long, number string, label string, cover_year int, barcode string")
-    rows = [(1, "Alpha", "1", 1990, None, None), (2, "Omega", "1", 1999, None, None), (3, "Omega", "1", 1999, "One", None), (4, "Northern Lights Annual", "9", 1960, None, None), (5, None, None, None, None, None), (6, "Northern Lights Annual", "9", None, "Two", None)]
+    rows = [(1, "Alpha", "1", 1990, None, None), (2, "Omega", "1", 1999, None, None), (3, "Omega", "1", 1999, "One", None), (4, "Northern Lights Saga", "9", 1960, None, None), (5, None, None, None, None, None), (6, "Northern Lights Saga", "9", None, "Two", None)]
     asked = spark.createDataFrame(rows, "row_id long, series_name string, number string, year int, publisher string, barcode string")
     found = {r.row_id: (r.issue_id, r.series_id, r.strategy) for r in matching.match(asked, series, issues).collect()}
     assert found == {1: (10, 1, "exact_one_issue"), 2: (30, 3, "exact_closest_year"), 3: (20, 2, "exact_one_issue"), 4: (None, 4, "substring"), 5: (None, None, "no_match"), 6: (None, 4, "substring")}
+
+
+def test_every_branch_of_matching(spark):
+    """Exact names by year, articles, base names, groups with retry and veto, full numbers, reverse lookup, prefixes."""
+    names_ = [
+        (1, "Beta", 1990), (2, "Beta", 2005), (3, "The Gamma", 1990), (4, "Delta", 1990), (5, "Delta", 1991), (6, "The Omega", 1990), (7, "Zeta: New World", 2001), (8, "Kappa Saga", 1960), (9, "Kappa Tales", 1999), (10, "Sigma", 1950),
+        (11, "Tau: One", 1980), (12, "Tau: Two", 1981), (13, "Iota Nu", 1970),
+    ]
+    series = spark.createDataFrame([(i, n, "Pub", y) for i, n, y in names_], "series_id long, name string, publisher string, year_began int")
+    made = [
+        (10, 1, "1", None), (20, 2, "1", 2001), (11, 1, "2", None), (21, 2, "2", 0), (30, 3, "1", 1990), (40, 4, "1", 1990), (50, 5, "1", 1992), (70, 7, "5", 2001), (80, 8, "1", 1960), (90, 9, "1", 1999), (100, 10, "1", 1950),
+        (101, 10, "3AU", 1951), (110, 11, "4", None), (120, 12, "4", None), (130, 13, "77", 1970), (131, 13, "77", 1971),
+    ]
+    issues = spark.createDataFrame([(i, s, n, "canonical", y, "0012345678" if i == 10 else "123456789012399999" if i == 20 else None) for i, s, n, y in made], "issue_id long, series_id long, number string, label string, cover_year int, barcode string")
+    asked = {
+        "no year, two series": ("Beta", "1", None, None, None, None), "began year stands for no cover year": ("Beta", "1", 1990, None, None, None), "a cover year beats none": ("Beta", "1", 2001, None, None, None), "year 0 counts": ("Beta", "2", 1995, None, None, None),
+        "article with the issue": ("Gamma", "1", 1992, None, None, None), "article of two series": ("The Delta", "1", None, None, None, None), "article without the issue": ("Omega", "9", None, None, None, None), "base name": ("Zeta: Old World", "5", 1995, None, None, None),
+        "base name, first issue": ("Tau: Three", "4", None, None, None, None), "base name, several series": ("Tau: Three", "9", None, None, None, None), "group retried": ("Kappa Tales", "1", 1999, "Kappa Saga", None, None), "group too far": ("Unknown Name", "1", 1999, "Kappa Saga", None, None),
+        "group near": ("Unknown Name", "1", 1962, "Kappa Saga", None, None), "full number": ("Sigma", "3", 1953, None, "3AU", None), "full number equal": ("Sigma", "3", 1953, None, "3", None), "reverse": ("Anything", "77", 1973, None, None, None),
+        "short prefix": ("Anything", "9", None, None, None, "00123"), "row begins with the head": ("Anything", "9", None, None, None, "123456789012377777"), "no such prefix": ("Anything", "9", None, None, None, "0012399"),
+    }
+    rows = spark.createDataFrame([(k, n, num, y, "Pub", b, g, full) for k, (n, num, y, g, full, b) in enumerate(asked.values())], "row_id long, series_name string, number string, year int, publisher string, barcode string, series_group string, number_full string")
+    found = {r.row_id: (r.issue_id, r.series_id, r.strategy, r.confidence, r.year_distance) for r in matching.match(rows, series, issues).collect()}
+    assert {name: found[k] for k, name in enumerate(asked)} == {
+        "no year, two series": (None, None, "no_match", 0, None), "began year stands for no cover year": (10, 1, "exact_closest_year", 85, 0), "a cover year beats none": (20, 2, "exact_closest_year", 85, 0), "year 0 counts": (11, 1, "exact_closest_year", 85, 5),
+        "article with the issue": (30, 3, "article_variant", 90, 2), "article of two series": (None, None, "no_match", 0, None), "article without the issue": (None, 6, "article_variant", 60, None), "base name": (70, 7, "base_name", 45, 6),
+        "base name, first issue": (110, 11, "base_name", 45, None), "base name, several series": (None, None, "no_match", 0, None), "group retried": (90, 9, "exact_one_issue", 90, 0), "group too far": (None, None, "no_match", 0, None),
+        "group near": (80, 8, "exact_one_issue_group", 90, 2), "full number": (101, 10, "exact_series_variant", 90, 2), "full number equal": (None, 10, "exact_series", 80, None), "reverse": (130, 13, "reverse_one", 65, None),
+        "short prefix": (10, None, "barcode_prefix", 100, None), "row begins with the head": (20, None, "barcode_prefix", 100, None), "no such prefix": (None, None, "no_match", 0, None),
+    }
