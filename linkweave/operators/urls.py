@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Domains and the platform each stands for.
@@ -39,3 +41,105 @@ def page_links(pages: DataFrame) -> DataFrame:
     """How many pages have each distinct link."""
     links = F.regexp_extract_all(F.col("html"), F.lit('<a href="([^"]*)"'), F.lit(1))
     return pages.select("page_id", F.explode(F.array_distinct(links)).alias("link")).groupBy("link").agg(F.count("*").alias("pages"))
+
+
+@dataclass(frozen=True)
+class UrlRule:
+    """One form of a platform's urls: the groups of ``pattern`` that are the issue and the series (0: none).
+
+    ``part`` is what the pattern is looked for in, the whole url or its path;
+    ``suffix`` names the rule by which a variant is read; ``whole`` keeps the url.
+    """
+
+    platform: str
+    domain: str
+    pattern: str
+    issue: int
+    series: int = 0
+    part: str = "url"
+    suffix: str = ""
+    whole: bool = False
+
+
+# The platforms' url forms, in the order in which they are tried. The first of a host's that is found counts.
+URL_RULES = (
+    UrlRule("gcd", "comics.org", r"comics\.org/issue/(\d+)", 1),
+    UrlRule("gcd", "comics.org", r"comics\.org/series/(\d+)", 1, 1),
+    UrlRule("locg", "leagueofcomicgeeks.com", r"/comic/(\d+).*?variant=(\d+)", 2, 1),
+    UrlRule("locg", "leagueofcomicgeeks.com", r"variant=(\d+).*?/comic/(\d+)", 1, 2),
+    UrlRule("locg", "leagueofcomicgeeks.com", r"/comics/series/(\d+)/", 1, 1),
+    UrlRule("locg", "leagueofcomicgeeks.com", r"/comic/(\d+)/(\d+)(?:/|$)", 2, 1),
+    UrlRule("locg", "leagueofcomicgeeks.com", r"/comic/(\d+)(?:/.*)?$", 1),
+    UrlRule("ccl", "comiccollectorlive.com", r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1),
+    UrlRule("aa", "atomicavenue.com", r"/atomic/item/(\d+)", 1, suffix="copy", whole=True),
+    UrlRule("aa", "atomicavenue.com", r"/atomic/series/(\d+)", 1, 1),
+    UrlRule("cpg", "comicspriceguide.com", r"/titles/[^/]+/([^/]+)/([a-z0-9]+)", 2, suffix="number"),
+    UrlRule("cpg", "comicspriceguide.com", r"/titles/([^/]+)", 1, 1),
+    UrlRule("hip", "hipcomic.com", r"/comic/([^/]+)/([^/]+)", 2, 1, part="path", suffix="last", whole=True),
+    UrlRule("hip", "hipcomic.com", r"/comic/([^/]+)", 1, 1, part="path", whole=True),
+)
+# Fixed value: the platform that is read from files only.
+FILES_ONLY = "comicbookdb.com"
+
+
+def _suffix(how: Column, part: Column, issue: Column) -> Column:
+    """The variant that a url names, by its form's rule, or null."""
+    copy = F.regexp_extract(part, r"/item/\d+/(\d+)", 1)  # the number after the item's, if it isn't the first copy
+    number = F.regexp_extract(part, r"/titles/[^/]+/([^/]+)/[a-z0-9]+", 1)  # letters behind the number and a hyphen, or all behind a number of -1
+    tail = F.substring_index(number, "-", -1)
+    lettered = F.when(number.rlike("^-1."), F.substring(number, 3, 1 << 30)).when(number.rlike(r"^[^-].*-\p{L}+$"), tail)
+    last = F.substring_index(F.regexp_replace(part, "/+$", ""), "/", -1)  # a path's last part behind the issue
+    return F.when(how == "copy", F.when(~copy.isin("", "1"), copy)).when(how == "number", lettered).when(how == "last", F.when((last != issue) & ~last.isin("", "keywords"), F.translate(last, "-_", "")))
+
+
+def platform_urls(urls: DataFrame, column: str = "url") -> DataFrame:
+    """Every row of ``urls`` with platform, issue and series id, variant, kept url and error of its url.
+
+    Urls are trimmed, and ports dropped. ``error`` is ``empty``, ``not_http``,
+    ``files_only``, ``unsupported_host`` or ``bad_format``; nothing else is set
+    then, but for the platform of a bad format. Subdomains count. ``URL_RULES`` is
+    a literal table that every row filters by native expressions; the first rule
+    of its host that fits decides.
+    """
+    url = F.regexp_replace(F.trim(F.col(column)), r"^(https?://[^/?#:]*):[0-9]+(?=[/?#]|$)", "$1")
+    host = F.lower(F.regexp_extract(F.col("__url"), r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(F.col("__url"), r"^https?://[^/?#]*([^?#]*)", 1)
+    table = F.array(*(F.struct(*(F.lit(getattr(r, f)).alias(f) for f in UrlRule.__dataclass_fields__)) for r in URL_RULES))
+    mine = F.filter(table, lambda r: (F.col("__host") == r["domain"]) | F.endswith(F.col("__host"), F.concat(F.lit("."), r["domain"])))
+    part = lambda r: F.when(r["part"] == "path", F.col("__path")).otherwise(F.col("__url"))
+    x = urls.withColumn("__url", url).withColumns({"__host": host, "__path": path}).withColumn("__rules", mine)
+    x = x.withColumn("__rule", F.get(F.filter("__rules", lambda r: F.regexp_like(part(r), r["pattern"])), F.lit(0)))
+    error = (
+        F.when(F.col("__url").isNull() | (F.col("__url") == ""), "empty").when(~F.col("__url").rlike("^https?://"), "not_http").when(F.contains(F.lower("__url"), F.lit(FILES_ONLY)), "files_only")
+        .when(F.size("__rules") == 0, "unsupported_host").when(F.col("__rule").isNull(), "bad_format")
+    )
+    x = x.withColumn("error", error).withColumn("__part", part(F.col("__rule")))
+    good, rule = F.col("error").isNull(), F.col("__rule")
+    group = lambda which: F.when(good & (rule[which] > 0), F.call_function("regexp_extract", F.col("__part"), rule["pattern"], rule[which]))
+    x = x.withColumns({"source_issue_id": group("issue"), "source_series_id": group("series"), "platform": F.when(good | (F.col("error") == "bad_format"), F.get("__rules", F.lit(0))["platform"])})
+    suffix = F.when(good, _suffix(rule["suffix"], F.col("__part"), F.col("source_issue_id")))
+    made = {"variant_suffix": suffix, "full_url": F.when(good & rule["whole"], F.col("__url"))}
+    return x.select(*(F.col(f"`{c}`") for c in urls.columns), "platform", "source_issue_id", "source_series_id", *(c.alias(name) for name, c in made.items()), "error")
+
+
+def resolve_platform_urls(urls: DataFrame, mappings: DataFrame, column: str = "url") -> DataFrame:
+    """Every url with the canonical issue that its platform's id is mapped to: ``resolved``, ``not_found`` or ``failed``.
+
+    ``mappings`` has ``source, source_issue_id, issue_id``; of repeated ids the
+    least issue counts. Distinct ids meet the mappings, so that a url which
+    occurs often is looked up once.
+    """
+    parsed = platform_urls(urls, column)
+    known = mappings.groupBy(F.col("source").alias("platform"), "source_issue_id").agg(F.min("issue_id").alias("issue_id"))
+    ids = parsed.where("source_issue_id is not null").select("platform", "source_issue_id").distinct().join(known, ["platform", "source_issue_id"])
+    found = parsed.join(ids, ["platform", "source_issue_id"], "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("issue_id").isNull(), "not_found").otherwise("resolved")
+    return found.select(*(F.col(f"`{c}`") for c in urls.columns), "platform", "source_issue_id", "issue_id", status.alias("status"), "error")
+
+
+def resolve_summary(resolved: DataFrame) -> DataFrame:
+    """Totals of ``resolve_platform_urls`` per platform (``unknown`` where none is) and for ``all``, with a line of text."""
+    done = F.count_if(F.col("status") == "resolved")
+    counts = (F.count("*").alias("total"), done.alias("resolved"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.count_if(F.col("status") == "failed").alias("failed"))
+    text = F.concat(F.lit("Processed "), F.col("total").cast("string"), F.lit(" URLs: "), (F.col("total") - F.col("failed")).cast("string"), F.lit(" succeeded, "), F.col("failed").cast("string"), F.lit(" failed"))
+    return resolved.rollup("platform").agg(F.grouping_id().alias("all"), *counts).select(F.when(F.col("all") == 1, "all").otherwise(F.coalesce("platform", F.lit("unknown"))).alias("platform"), "total", "resolved", "not_found", "failed", text.alias("summary"))

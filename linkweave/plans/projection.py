@@ -85,6 +85,34 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Forms of links to platforms; {u}, {s} and {n} stand for numbers, {g} for 12 digits.
+LINKS = (
+    "https://www.comics.org/issue/{u}/", "http://comics.org:8080/series/{s}?x=1", "https://leagueofcomicgeeks.com/comic/{s}/x-men-{n}?variant={u}", "https://leagueofcomicgeeks.com/comic/{s}/{u}", "https://leagueofcomicgeeks.com/comic/{u}/x-force-{n}",
+    "https://leagueofcomicgeeks.com/comics/series/{s}/x-men", "https://www.comiccollectorlive.com/issue/comic-books/X-Men-1991/-1/98ab98c9-a87a-4cd2-b49a-{g}", "https://comiccollectorlive.com/issue/{s}", "https://atomicavenue.com/atomic/item/{u}/1/X-Men-{n}",
+    "https://atomicavenue.com/atomic/item/{u}/{n}/X-Men", "https://atomicavenue.com/atomic/series/{s}", "https://www.comicspriceguide.com/titles/x-men/{n}/{u}abc", "https://www.comicspriceguide.com/titles/x-men/{n}-B/p{u}", "https://comicspriceguide.com/titles/x-men/-1{n}C/p{u}",
+    "https://comicspriceguide.com/titles/x-men-{s}", "https://www.hipcomic.com/price-guide/us/marvel/comic/x-men-{s}/{n}-1/", "https://hipcomic.com/price-guide/us/marvel/comic/x-men-{s}/{n}/news-stand_b/?q=/comic/z", "https://hipcomic.com/price-guide/us/marvel/comic/x-men-{s}",
+    "https://comicbookdb.com/issue/{u}", "https://example.com/comics.org/issue/{u}", "comics.org/issue/{u}", "  HTTPS://comics.org/issue/{u}", "https://comics.org/creator/{u}", " https://user@docs.comics.org/issue/{u} ",
+)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to platforms, one per event, in each of ``LINKS``; every 100th event has none."""
+    e = table(spark, sf_dir, "events")
+    text = F.element_at(F.array(*map(F.lit, LINKS)), (F.col("event_id") % len(LINKS) + 1).cast("int"))
+    values = {"{u}": F.col("user_id").cast("string"), "{s}": (F.col("user_id") % 97).cast("string"), "{n}": (F.col("event_id") % 3 + 1).cast("string"), "{g}": F.lpad(F.col("user_id").cast("string"), 12, "0")}
+    for name, value in values.items():
+        text = F.replace(text, F.lit(name), value)
+    return e.select(F.col("event_id").alias("link_id"), F.when(F.col("event_id") % 100 != 99, text).alias("url"))
+
+
+def link_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platforms' ids of canonical issues: those of customers, on some platforms each."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    sources = F.array(F.lit("gcd"), F.lit("locg"), F.lit("aa"))
+    return c.select(F.explode(sources).alias("source"), k).where((k + F.length("source")) % 3 != 0).select("source", k.cast("string").alias("source_issue_id"), k.alias("issue_id"))
+
+
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outside ids of canonical issues: source, outside id, issue, and whether it is accurate."""
     e = table(spark, sf_dir, "events")
@@ -148,6 +176,10 @@ SQL["shelf"] = """select row_id, case row_id % 8 when 1 then 'The ' || stem when
     from orders join part p on p.p_partkey = o_orderkey % (select count(*) from part) left join part g on g.p_partkey = p.p_partkey - p.p_partkey % 12 + 2)"""
 
 
+SQL["links"] = "select event_id as link_id, case when event_id % 100 <> 99 then replace(replace(replace(replace(list_extract([" + ", ".join(f"'{x}'" for x in LINKS) + f"], event_id % {len(LINKS)} + 1), '{{u}}', user_id::varchar), '{{s}}', (user_id % 97)::varchar), '{{n}}', (event_id % 3 + 1)::varchar), '{{g}}', lpad(user_id::varchar, 12, '0')) end as url from events"
+SQL["link_mappings"] = "select source, c_custkey::varchar as source_issue_id, c_custkey as issue_id from customer, (values ('gcd'), ('locg'), ('aa')) s(source) where (c_custkey + length(source)) % 3 <> 0"
+
+
 def with_sql(*names: str) -> str:
     """CTEs of the named inputs."""
     return "with " + ", ".join(f"{n} as ({SQL[n]})" for n in names)

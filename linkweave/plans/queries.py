@@ -466,6 +466,48 @@ def k16_resolve_urls(spark, sf_dir):
     return urls.resolve_urls(p.table(spark, sf_dir, "pages"))
 
 
+_LINKS = p.with_sql("links", "link_mappings") + r""",
+  t as (select link_id, url, regexp_replace(trim(url), '^(https?://[^/?#:]*):[0-9]+', '\1') as u from links),
+  h as (select *, lower(regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) as path from t),
+  s as (select *, case when host = 'comics.org' or ends_with(host, '.comics.org') then 'gcd' when host = 'leagueofcomicgeeks.com' or ends_with(host, '.leagueofcomicgeeks.com') then 'locg' when host = 'comiccollectorlive.com' or ends_with(host, '.comiccollectorlive.com') then 'ccl'
+    when host = 'atomicavenue.com' or ends_with(host, '.atomicavenue.com') then 'aa' when host = 'comicspriceguide.com' or ends_with(host, '.comicspriceguide.com') then 'cpg' when host = 'hipcomic.com' or ends_with(host, '.hipcomic.com') then 'hip' end as site from h),
+  f as (select *, nullif(case site when 'gcd' then coalesce(nullif(regexp_extract(u, 'comics\.org/issue/(\d+)', 1), ''), regexp_extract(u, 'comics\.org/series/(\d+)', 1))
+      when 'locg' then case when regexp_matches(u, 'variant=\d') and regexp_matches(u, '/comic/\d') then regexp_extract(u, 'variant=(\d+)', 1) when regexp_matches(u, '/comics/series/\d+/') then regexp_extract(u, '/comics/series/(\d+)/', 1)
+        when regexp_matches(u, '/comic/\d+/\d+(/|$)') then regexp_extract(u, '/comic/\d+/(\d+)', 1) else regexp_extract(u, '/comic/(\d+)(?:/.*)?$', 1) end
+      when 'ccl' then regexp_extract(u, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') when 'aa' then coalesce(nullif(regexp_extract(u, '/atomic/item/(\d+)', 1), ''), regexp_extract(u, '/atomic/series/(\d+)', 1))
+      when 'cpg' then coalesce(nullif(regexp_extract(u, '/titles/[^/]+/[^/]+/([a-z0-9]+)', 1), ''), regexp_extract(u, '/titles/([^/]+)', 1)) when 'hip' then coalesce(nullif(regexp_extract(path, '/comic/[^/]+/([^/]+)', 1), ''), regexp_extract(path, '/comic/([^/]+)', 1)) end, '') as issue,
+    nullif(case site when 'gcd' then case when not regexp_matches(u, 'comics\.org/issue/\d') then regexp_extract(u, 'comics\.org/series/(\d+)', 1) end
+      when 'locg' then case when regexp_matches(u, 'variant=\d') and regexp_matches(u, '/comic/\d') then regexp_extract(u, '/comic/(\d+)', 1) when regexp_matches(u, '/comics/series/\d+/') then regexp_extract(u, '/comics/series/(\d+)/', 1)
+        else regexp_extract(u, '/comic/(\d+)/\d+(?:/|$)', 1) end when 'aa' then case when not regexp_matches(u, '/atomic/item/\d') then regexp_extract(u, '/atomic/series/(\d+)', 1) end
+      when 'cpg' then case when not regexp_matches(u, '/titles/[^/]+/[^/]+/[a-z0-9]+') then regexp_extract(u, '/titles/([^/]+)', 1) end when 'hip' then regexp_extract(path, '/comic/([^/]+)', 1) end, '') as series,
+    regexp_extract(u, '/titles/[^/]+/([^/]+)/[a-z0-9]+', 1) as part, list_extract(string_split(rtrim(path, '/'), '/'), -1) as tail from s),
+  parsed as (select link_id, url, site, case when coalesce(u, '') = '' then 'empty' when not regexp_matches(u, '^https?://') then 'not_http' when contains(lower(u), 'comicbookdb.com') then 'files_only' when site is null then 'unsupported_host' when issue is null then 'bad_format' end as error,
+    issue, series, case site when 'aa' then nullif(nullif(regexp_extract(u, '/item/\d+/(\d+)', 1), ''), '1') when 'cpg' then case when part = '-1' or not contains(part, '-') then null when starts_with(part, '-1') then substr(part, 3)
+      when not starts_with(part, '-') and regexp_matches(part, '-[A-Za-z]+$') then list_extract(string_split(part, '-'), -1) end
+      when 'hip' then case when regexp_matches(path, '/comic/[^/]+/[^/]+') and tail <> issue and tail not in ('', 'keywords') then replace(replace(tail, '-', ''), '_', '') end end as suffix,
+    case when site = 'hip' or (site = 'aa' and regexp_matches(u, '/atomic/item/\d')) then u end as whole from f),
+  resolved as (select p.*, k.issue_id, case when error is not null then 'failed' when k.issue_id is null then 'not_found' else 'resolved' end as status from parsed p left join link_mappings k on error is null and k.source = p.site and k.source_issue_id = p.issue)
+"""
+
+
+@query(_LINKS + """select link_id, url, case when error is null or error = 'bad_format' then site end as platform, case when error is null then issue end as source_issue_id, case when error is null then series end as source_series_id,
+  case when error is null then suffix end as variant_suffix, case when error is null then whole end as full_url, error from parsed""")
+def h4_platform_urls(spark, sf_dir):
+    return urls.platform_urls(p.links(spark, sf_dir))
+
+
+@query(_LINKS + "select link_id, url, case when error is null or error = 'bad_format' then site end as platform, case when error is null then issue end as source_issue_id, issue_id, status, error from resolved")
+def k16_resolve_platform_urls(spark, sf_dir):
+    return urls.resolve_platform_urls(p.links(spark, sf_dir), p.link_mappings(spark, sf_dir))
+
+
+@query(_LINKS + """, named as (select case when error is null or error = 'bad_format' then site end as s, status from resolved)
+  select case when grouping(s) = 1 then 'all' else coalesce(s, 'unknown') end as platform, count(*) as total, count(*) filter (status = 'resolved') as resolved, count(*) filter (status = 'not_found') as not_found, count(*) filter (status = 'failed') as failed,
+  'Processed ' || count(*) || ' URLs: ' || count(*) filter (status <> 'failed') || ' succeeded, ' || count(*) filter (status = 'failed') || ' failed' as summary from named group by rollup (s)""")
+def d19_resolve_summary(spark, sf_dir):
+    return urls.resolve_summary(urls.resolve_platform_urls(p.links(spark, sf_dir), p.link_mappings(spark, sf_dir)))
+
+
 @query("""select page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title, replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&') as heading,
   cast(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as int) as n_links, coalesce(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1], '') as first_link from pages""")
 def h6_page_candidates(spark, sf_dir):
