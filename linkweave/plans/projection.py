@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.operators import repair
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,6 +87,17 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def canon(spark: SparkSession, sf_dir: str) -> repair.Canon:
+    """Canonical tables with duplicates at all levels: series of customers, issues of orders, mappings of events, variants of order lines."""
+    c, o, e, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "events", "lineitem"))
+    k, n, v = F.col("c_custkey"), F.col("o_orderkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    series = c.select(k.alias("id"), F.concat_ws(" ", "c_mktsegment", (k % 50).cast("string")).alias("title"), (F.col("c_nationkey") % 3 + 1950).alias("start_year"), F.when(k % 3 != 0, F.concat(F.lit("House "), (k % 4).cast("string"))).alias("publisher"), F.when(k % 17 != 0, (F.col("c_acctbal") * 100).cast("long")).alias("created_at"))
+    issues_ = o.select(n.alias("issue_id"), F.col("o_custkey").alias("series_id"), (n % 5 + 1).cast("string").alias("number"), F.when(n % 4 != 0, F.col("o_orderdate").cast("date")).alias("cover_date"), F.when(n % 3 == 0, F.lpad((n % 40).cast("string"), 12, "0")).alias("upc"), F.when(n % 19 != 0, F.col("o_custkey") * 7 + n % 11).alias("created_at"))
+    maps = e.select(F.col("event_id").alias("mapping_id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_issue_id"), F.col("event_id").alias("issue_id"))
+    kinds = line.where("l_linenumber <= 4").groupBy(v.alias("variant_id"), F.col("l_orderkey").alias("issue_id"), F.element_at(F.array(*map(F.lit, "ABCD")), F.col("l_linenumber").cast("int")).alias("suffix")).agg(F.min("l_partkey").alias("k"))
+    return repair.Canon(series, issues_, maps, kinds.select("variant_id", "issue_id", "suffix", F.when(F.col("k") % 3 == 1, "").when(F.col("k") % 3 == 2, F.concat(F.lit("Cover "), (F.col("k") % 5).cast("string"))).alias("name")))
+
+
 #: Forms of links to platforms; {u}, {s} and {n} stand for numbers, {g} for 12 digits.
 LINKS = (
     "https://www.comics.org/issue/{u}/", "http://comics.org:8080/series/{s}?x=1", "https://leagueofcomicgeeks.com/comic/{s}/x-men-{n}?variant={u}", "https://leagueofcomicgeeks.com/comic/{s}/{u}", "https://leagueofcomicgeeks.com/comic/{u}/x-force-{n}",
@@ -176,6 +189,12 @@ SQL["shelf"] = """select row_id, case row_id % 8 when 1 then 'The ' || stem when
     from orders join part p on p.p_partkey = o_orderkey % (select count(*) from part) left join part g on g.p_partkey = p.p_partkey - p.p_partkey % 12 + 2)"""
 
 
+SQL["canon_series"] = "select c_custkey as id, c_mktsegment || ' ' || (c_custkey % 50) as title, c_nationkey % 3 + 1950 as start_year, case when c_custkey % 3 <> 0 then 'House ' || (c_custkey % 4) end as publisher, case when c_custkey % 17 <> 0 then cast(trunc(c_acctbal * 100) as bigint) end as created_at from customer"
+SQL["canon_issues"] = """select o_orderkey as issue_id, o_custkey as series_id, (o_orderkey % 5 + 1)::varchar as number, case when o_orderkey % 4 <> 0 then o_orderdate::date end as cover_date,
+  case when o_orderkey % 3 = 0 then lpad((o_orderkey % 40)::varchar, 12, '0') end as upc, case when o_orderkey % 19 <> 0 then o_custkey * 7 + o_orderkey % 11 end as created_at from orders"""
+SQL["canon_mappings"] = "select event_id as mapping_id, event_type as source, event_id::varchar as source_issue_id, event_id as issue_id from events"
+SQL["canon_variants"] = """select variant_id, issue_id, suffix, case k % 3 when 1 then '' when 2 then 'Cover ' || (k % 5) end as name from (
+  select l_orderkey * 8 + l_linenumber as variant_id, l_orderkey as issue_id, substr('ABCD', l_linenumber::int, 1) as suffix, min(l_partkey) as k from lineitem where l_linenumber <= 4 group by 1, 2, 3)"""
 SQL["links"] = "select event_id as link_id, case when event_id % 100 <> 99 then replace(replace(replace(replace(list_extract([" + ", ".join(f"'{x}'" for x in LINKS) + f"], event_id % {len(LINKS)} + 1), '{{u}}', user_id::varchar), '{{s}}', (user_id % 97)::varchar), '{{n}}', (event_id % 3 + 1)::varchar), '{{g}}', lpad(user_id::varchar, 12, '0')) end as url from events"
 SQL["link_mappings"] = "select source, c_custkey::varchar as source_issue_id, c_custkey as issue_id from customer, (values ('gcd'), ('locg'), ('aa')) s(source) where (c_custkey + length(source)) % 3 <> 0"
 

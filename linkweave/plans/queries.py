@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, master, matching, reports, similar, urls
+from linkweave.operators import catalog, master, matching, repair, reports, similar, urls
 from linkweave.plans import projection as p
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +466,75 @@ def k16_resolve_urls(spark, sf_dir):
     return urls.resolve_urls(p.table(spark, sf_dir, "pages"))
 
 
+# Repair, group by group: every issue of a key in order of age, every variant of a suffix in order of its issue.
+_CANON = p.with_sql("canon_series", "canon_issues", "canon_mappings", "canon_variants") + r""",
+  runs as (select *, count(*) over r as members, first_value(id) over (r order by created_at nulls last, id rows between unbounded preceding and unbounded following) as winner, row_number() over (r order by created_at nulls last, id) as place from canon_series window r as (partition by title, start_year)),
+  keyed as (select i.*, s.title, s.start_year, s.winner as run from canon_issues i join runs s on s.id = i.series_id),
+  aged as (select *, count(*) over g as members, first_value(issue_id) over (g order by created_at nulls last, issue_id rows between unbounded preceding and unbounded following) as winner, row_number() over (g order by created_at nulls last, issue_id) as place,
+    first_value(cover_date ignore nulls) over (g order by created_at nulls last, issue_id rows between unbounded preceding and unbounded following) as kept_date, first_value(upc ignore nulls) over (g order by created_at nulls last, issue_id rows between unbounded preceding and unbounded following) as kept_upc
+    from keyed window g as (partition by title, start_year, number)),
+  kinds as (select v.*, a.winner, first_value(variant_id) over (w order by a.place, variant_id rows between unbounded preceding and unbounded following) as kept_id, row_number() over (w order by a.place, variant_id) as nth,
+    first_value(nullif(v.name, '') ignore nulls) over (w order by a.place, variant_id rows between unbounded preceding and unbounded following) as first_name, first_value(v.name) over (w order by a.place, variant_id rows between unbounded preceding and unbounded following) as own_name
+    from canon_variants v join aged a on a.issue_id = v.issue_id window w as (partition by a.winner, v.suffix)),
+  named as (select *, coalesce(own_name, first_name) as kept_name from kinds),
+  houses as (select *, first_value(publisher ignore nulls) over (partition by title, start_year order by place rows between unbounded preceding and unbounded following) as kept_publisher from runs),
+  clashes as (select 'series' as level, winner as winner_id, id as merged_id, kept_publisher as kept, publisher as dropped from houses where id <> winner and publisher <> kept_publisher
+    union all select 'issue', winner, issue_id, kept_upc, upc from aged where issue_id <> winner and upc <> kept_upc union all select 'variant', kept_id, variant_id, kept_name, name from named where variant_id <> kept_id and name <> kept_name and name <> '' and kept_name <> ''),
+  gone as (select 'series' as level, id as merged_id, winner as winner_id from runs where id <> winner union all select 'issue', issue_id, winner from aged where issue_id <> winner union all select 'variant', variant_id, kept_id from named where variant_id <> kept_id)
+"""
+
+
+@query(_CANON + """ select s.title, s.start_year, s.winner, s.members, s.id, s.publisher, s.id = s.winner as is_winner, (select count(*) from canon_issues i where i.series_id = s.id) as n_issues, coalesce((select string_agg(number, ',' order by number) from canon_issues i where i.series_id = s.id), '') as numbers,
+  (select count(*) from canon_issues i join canon_mappings m using (issue_id) where i.series_id = s.id) as n_maps, coalesce((select string_agg(distinct source, ',' order by source) from canon_issues i join canon_mappings m using (issue_id) where i.series_id = s.id), '') as sources from runs s where members > 1""")
+def k8_series_duplicates(spark, sf_dir):
+    return repair.series_duplicates(p.canon(spark, sf_dir))
+
+
+_D9 = """ select a.title, a.start_year, a.number, a.winner, a.members, a.issue_id, a.series_id, a.cover_date, a.upc, coalesce((select string_agg(suffix, ',' order by suffix) from canon_variants v where v.issue_id = a.issue_id), '') as suffixes,
+  coalesce((select string_agg(source || ':' || source_issue_id, ',' order by source || ':' || source_issue_id) from canon_mappings m where m.issue_id = a.issue_id), '') as maps from aged a where members > 1"""
+
+
+@query(_CANON + _D9)
+def d9_issue_duplicates(spark, sf_dir):
+    return repair.issue_duplicates(p.canon(spark, sf_dir))
+
+
+@query(_CANON + _D9 + " and exists (select 1 from aged b where b.title = a.title and b.start_year = a.start_year and b.number = a.number and (b.series_id % 50 = 7 or b.issue_id % 101 = 3))")
+def f15_selected_issue_duplicates(spark, sf_dir):
+    canon = p.canon(spark, sf_dir)
+    return repair.issue_duplicates(canon, canon.series.where("id % 50 = 7").select("id"), canon.issues.where("issue_id % 101 = 3").select(F.col("issue_id").alias("id")))
+
+
+@query(_CANON + " select id, title, start_year, kept_publisher as publisher, created_at from houses where id = winner")
+def k9_repaired_series(spark, sf_dir):
+    return repair.repair(p.canon(spark, sf_dir)).canon.series
+
+
+@query(_CANON + " select issue_id, run as series_id, number, kept_date as cover_date, kept_upc as upc, created_at from aged where issue_id = winner")
+def k9_repaired_issues(spark, sf_dir):
+    return repair.repair(p.canon(spark, sf_dir)).canon.issues
+
+
+@query(_CANON + " select mapping_id, source, source_issue_id, coalesce(a.winner, m.issue_id) as issue_id from canon_mappings m left join aged a using (issue_id)")
+def k9_repaired_mappings(spark, sf_dir):
+    return repair.repair(p.canon(spark, sf_dir)).canon.mappings
+
+
+@query(_CANON + " select variant_id, winner as issue_id, suffix, kept_name as name from named where variant_id = kept_id")
+def k9_repaired_variants(spark, sf_dir):
+    return repair.repair(p.canon(spark, sf_dir)).canon.variants
+
+
+@query(_CANON + " select * from clashes")
+def k9_repair_conflicts(spark, sf_dir):
+    return repair.repair(p.canon(spark, sf_dir)).conflicts
+
+
+@query(_CANON + " select level, (select count(*) from gone g where g.level = l.level) as merged, (select count(*) from clashes c where c.level = l.level) as conflicts, (select count(*) from clashes c where c.level = l.level) > 0 as review from (select distinct level from gone) l")
+def k9_repair_summary(spark, sf_dir):
+    return repair.repair_summary(repair.repair(p.canon(spark, sf_dir)))
+
+
 _LINKS = p.with_sql("links", "link_mappings") + r""",
   t as (select link_id, url, regexp_replace(trim(url), '^(https?://[^/?#:]*):[0-9]+', '\1') as u from links),
   h as (select *, lower(regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) as path from t),
