@@ -241,10 +241,10 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     session(vectors)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     usable = source.select("id", F.xxhash64("label").alias("label"), "v", F.col("label").isNotNull().alias("known")).where("known").mapInArrow(_units, "id long, label long, unit binary, hash long")
-    # equal vectors: one row of them is compared; a repeated row counts once
+    # equal vectors of a label are one class, compared once and known by a number of its own; a repeated row counts once
     members = Stage(usable.distinct(), "units").df
-    classes = members.groupBy("label", "hash", "unit").agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    nodes = Stage(classes.select("id", "label", "unit", "hash", "size"), "nodes").df
+    classes = members.groupBy("label", "hash", "unit").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    nodes = Stage(classes.select(F.monotonically_increasing_id().alias("id"), "label", "unit", "hash", "size", "least"), "nodes").df
     bare = nodes.select("id", "label", "unit")
 
     truth = _audit(nodes, threshold)
@@ -275,8 +275,10 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
 
     grouped = groups.withColumnRenamed("node", "id").join(nodes.select("id", "size", "unit"), "id").withColumnRenamed("component", "g")
     linked = _pairs_in_blocks(grouped, threshold)
-    per = nodes.select("id", "label", "unit", "hash", "size").join(linked, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    per = per.select("label", "hash", "unit", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    group = groups.select(F.col("node").alias("id"), "component").join(nodes.select("id", F.col("least").alias("own")), "id")
+    named = group.join(group.groupBy("component").agg(F.min("own").alias("found")), "component").select("id", "found")
+    per = nodes.join(linked, "id", "left").join(named, "id", "left")
+    per = per.select("label", "hash", "unit", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("found", "least").alias("component_id"))
     of = members.join(per, ["label", "hash", "unit"]).select("id", "n_links", "component_id")
     # different vectors of one id, which are rare, join what they link
     many = of.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.max("component_id").alias("other"))

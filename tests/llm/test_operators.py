@@ -222,6 +222,36 @@ def test_embeddings_repeated_rows_and_labels_of_text(spark):
     assert Counter(tuple(r) for r in out) == Counter({(1, 2, 1, True): 3, (2, 1, 1, False): 1, (3, 0, 3, True): 1, (4, 1, 1, False): 1, (None, 0, None, False): 1, (5, 0, 5, True): 1})
 
 
+def linked_rows(rows, least=0.98):
+    """Links of every row by comparing all distinct rows: per id their sum, and the smallest id reachable."""
+    distinct = sorted(set(rows))
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in distinct]
+    near = [[i != j and distinct[i][2] == distinct[j][2] and unit[i] @ unit[j] >= least for j in range(len(distinct))] for i in range(len(distinct))]
+    total, root = Counter(), {r[0]: r[0] for r in rows}
+    for i, r in enumerate(distinct):
+        total[r[0]] += sum(near[i])
+    for _ in distinct:
+        for i, r in enumerate(distinct):
+            for j, other in enumerate(distinct):
+                if near[i][j]:
+                    root[r[0]] = root[other[0]] = min(root[r[0]], root[other[0]])
+    return {i: (total[i], root[i], root[i] == i) for i in root}
+
+
+@pytest.mark.parametrize("case", ["different vectors", "two labels", "random"])
+def test_embeddings_of_repeated_ids_equal_brute_force(spark, case):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((12, 6))
+    rows = {
+        "different vectors": [(1, (1.0, 0.0), 1), (1, (0.0, 1.0), 1), (2, (1.0, 0.02), 1)],
+        "two labels": [(1, (1.0, 0.5), 1), (1, (1.0, 0.5), 2), (2, (1.0, 0.51), 1), (3, (1.0, 0.51), 2)],
+        "random": [(int(rng.integers(60)), tuple((centres[rng.integers(12)] + rng.choice([0, 0.1]) * rng.standard_normal(6)).tolist()), int(rng.integers(2))) for _ in range(160)],
+    }[case]
+    df = spark.createDataFrame([(i, list(v), label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.link(df).collect()
+    assert len(out) == len(rows) and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == linked_rows(rows)
+
+
 def planted(rng, v, at, apart):
     """Copies of the rows ``at`` of ``v``, each turned by the same small angle."""
     u = v[at] / np.linalg.norm(v[at], axis=1, keepdims=True)
