@@ -126,6 +126,32 @@ def link_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.explode(sources).alias("source"), k).where((k + F.length("source")) % 3 != 0).select("source", k.cast("string").alias("source_issue_id"), k.alias("issue_id"))
 
 
+#: Issue pages of three platforms; names in braces stand for a part's values.
+SITE_PAGES = {
+    "aa": """<html><body><h2 class="dropLeftMargin"><a href="/atomic/series/{id}/1">{title} {title}</a></h2><div class="dropLeftMargin">Issues</div><div class="dropLeftMargin">Press House, {year}-1999</div><ul><li>Copies<li class="issueSearchIssueNum">{number}</ul></body></html>""",
+    "hip": """<html><head><title>Guide</title></head><body><h1>{title} ({year})</h1><a href="/price-guide/us/comic/{slug}/{id}/">open</a><div class="r-detail-attribute"><span class="r-detail-attribute__label">Issue</span> <span>#{number}</span></div>
+<div class="r-detail-attribute"><span class="r-detail-attribute__label">Publisher</span><a>{house}</a><a>{house}</a></div><p class="x cover-date">{year}-05-00</p><div><b class="price">${price}</b><i class="page-count">{pages} pages</i><i class="barcode">{code}</i></div></body></html>""",
+    "locg": """<html><head><title>{title} #{digits} | League of Comic Geeks</title></head><body><h1 class="main-title">{title}</h1><a href="/comic/{id}/{slug}">x</a><p class="publisher-name">{house}</p><p>({year}–Present) Cover price: ${price}</p><span class="upc">{code}</span><em>{year}-12-31</em></body></html>""",
+}
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each part on each of the platforms of ``SITE_PAGES``; some have no title, or no html at all."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    digits = (k % 60).cast("string")
+    values = {
+        "{id}": k.cast("string"), "{title}": F.when(k % 31 != 3, F.initcap("p_name")).otherwise(""), "{year}": (F.col("p_size") + 1950).cast("string"), "{slug}": F.replace("p_name", F.lit(" "), F.lit("-")), "{digits}": digits,
+        "{number}": F.when(k % 7 == 1, F.concat(digits, F.lit("B"))).when(k % 7 == 2, F.concat(digits, F.lit("-"), digits)).otherwise(digits), "{house}": F.col("p_brand"), "{price}": F.concat((k % 9).cast("string"), F.lit(".95")), "{pages}": (k % 40 + 8).cast("string"), "{code}": F.lpad(k.cast("string"), 12, "7"),
+    }
+    made = []
+    for place, (platform, html) in enumerate(SITE_PAGES.items()):
+        text = F.lit(html)
+        for name, value in values.items():
+            text = F.replace(text, F.lit(name), value)
+        made.append(F.struct((k * 3 + place).alias("page_id"), F.lit(platform).alias("platform"), F.when(k % 37 != 5, text).alias("html")))
+    return part.select(F.explode(F.array(*made)).alias("p")).select("p.*")
+
+
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outside ids of canonical issues: source, outside id, issue, and whether it is accurate."""
     e = table(spark, sf_dir, "events")
@@ -189,6 +215,9 @@ SQL["shelf"] = """select row_id, case row_id % 8 when 1 then 'The ' || stem when
     from orders join part p on p.p_partkey = o_orderkey % (select count(*) from part) left join part g on g.p_partkey = p.p_partkey - p.p_partkey % 12 + 2)"""
 
 
+SQL["site_candidates"] = """select page_id, platform, case when error is null then x end as x, error, k, title, year, brand, digits, name from (
+  select k * 3 + site as page_id, ['aa', 'hip', 'locg'][site + 1] as platform, site as x, *, case when k % 37 = 5 then 'empty_page' when site <> 2 and title = '' then 'no_title' when k % 7 = 2 and site = 0 then 'no_number' when site = 1 and k % 7 = 2 then 'MULTI_ISSUE_RANGE' end as error
+  from (select p_partkey as k, p_name as name, case when p_partkey % 31 <> 3 then array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') else '' end as title, p_size + 1950 as year, p_brand as brand, (p_partkey % 60)::varchar as digits from part), (select unnest(range(3)) as site))"""
 SQL["canon_series"] = "select c_custkey as id, c_mktsegment || ' ' || (c_custkey % 50) as title, c_nationkey % 3 + 1950 as start_year, case when c_custkey % 3 <> 0 then 'House ' || (c_custkey % 4) end as publisher, case when c_custkey % 17 <> 0 then cast(trunc(c_acctbal * 100) as bigint) end as created_at from customer"
 SQL["canon_issues"] = """select o_orderkey as issue_id, o_custkey as series_id, (o_orderkey % 5 + 1)::varchar as number, case when o_orderkey % 4 <> 0 then o_orderdate::date end as cover_date,
   case when o_orderkey % 3 = 0 then lpad((o_orderkey % 40)::varchar, 12, '0') end as upc, case when o_orderkey % 19 <> 0 then o_custkey * 7 + o_orderkey % 11 end as created_at from orders"""

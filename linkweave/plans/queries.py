@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, master, matching, repair, reports, similar, urls
+from linkweave.operators import catalog, master, matching, repair, reports, similar, site_pages, urls
 from linkweave.plans import projection as p
+from linkweave.sources import markup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -577,6 +578,25 @@ def d19_resolve_summary(spark, sf_dir):
     return urls.resolve_summary(urls.resolve_platform_urls(p.links(spark, sf_dir), p.link_mappings(spark, sf_dir)))
 
 
+@query(p.with_sql("site_candidates") + ''' select page_id, platform, case x when 2 then case when title = '' then '#' || digits else title || ' #' || digits end else case when x is not null then title end end as series_title, case x when 0 then k::varchar when 1 then replace(name, ' ', '-') when 2 then k::varchar end as source_series_id,
+  case when x is not null then year end as start_year, case x when 0 then 'Press House' when 1 then brand when 2 then brand end as publisher, case when x is not null then digits end as number, case when x in (0, 1) and k % 7 = 1 then 'B' end as variant_suffix, cast(null as varchar) as variant_name,
+  case x when 1 then make_date(year, 5, 1) when 2 then make_date(year, 12, 31) end as cover_date, case when x > 0 then k % 9 + 0.95::double end as price, case when x = 1 then (k % 40 + 8)::int end as page_count, case when x > 0 then lpad(k::varchar, 12, '7') end as upc, error from site_candidates''')
+def h6_site_candidates(spark, sf_dir):
+    return site_pages.page_candidates(p.site_pages(spark, sf_dir))
+
+
+# The given pages by selectors, where SQL reads them by their fixed form.
+PAGE_RULES = [("page", "title", "head > title", "text"), ("page", "links", "a[href]", "@href")]
+
+
+@query(r'''select page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;', '&')) as title, len(regexp_extract_all(html, '<a [^>]*href=', 0))::int as n_links,
+  coalesce(trim(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)[-1]), '') as last_link from pages''')
+def j4_page_fields(spark, sf_dir):
+    read = markup.read_fields(p.table(spark, sf_dir, "pages").withColumn("platform", F.lit("page")), PAGE_RULES)
+    links = F.coalesce(F.col("fields")["links"], F.array().cast("array<struct<label:string,value:string>>"))
+    return read.select("page_id", F.coalesce(F.get(F.col("fields")["title"], F.lit(0))["value"], F.lit("")).alias("title"), F.size(links).alias("n_links"), F.coalesce(F.try_element_at(links, F.lit(-1))["value"], F.lit("")).alias("last_link"))
+
+
 @query("""select page_id, replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&') as title, replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&') as heading,
   cast(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as int) as n_links, coalesce(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1], '') as first_link from pages""")
 def h6_page_candidates(spark, sf_dir):
