@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .similar import alike_pairs
 from .staging import staged
@@ -55,6 +56,25 @@ def _near(open_: DataFrame, series: DataFrame, held: DataFrame, least: float) ->
     return met.groupBy("title", "number").agg(best).select("title", "number", (-F.col("n.a")).alias("alike"), F.col("n.i").alias("near"))
 
 
+def best_fuzzy(candidates: DataFrame, master: DataFrame, issues: DataFrame, most: int = 5, least: float = 0.85) -> DataFrame:
+    """The ``most`` best matches of each candidate (``candidate_id, title, number``) among series with titles at least ``least`` alike.
+
+    A candidate with a number matches issues of that number, one without it
+    series. Confidence is 0.70 times the similarity; ties go to the least series.
+    Distinct titles are compared; a window's limit is applied before the shuffle.
+    """
+    asked = candidates.select("candidate_id", F.nullif(F.trim("number"), F.lit("")).alias("number"), F.lower("title").alias("low"))
+    held = master.select(F.col("id").alias("series_id"), F.col("title").alias("found"), F.lower("title").alias("known"))
+    pairs = alike_pairs(asked.select(F.col("low").alias("name")), held.select(F.col("known").alias("name")), least).select(F.col("title").alias("low"), "known", "alike")
+    met = asked.join(pairs, "low").join(held, "known")
+    first = issues.groupBy("series_id", "number").agg(F.min("issue_id").alias("issue_id"))
+    numbered = met.where("number is not null").join(first, ["series_id", "number"])
+    every = numbered.unionByName(met.where("number is null").withColumn("issue_id", F.lit(None).cast("long")))
+    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("alike"), "series_id"))
+    reason = F.format_string("Fuzzy title match: %s (similarity: %.2f)", "found", "alike")
+    return every.withColumn("place", place).where(F.col("place") <= most).select("candidate_id", "place", "series_id", "issue_id", (F.lit(0.7) * F.col("alike")).alias("confidence"), reason.alias("reason"))
+
+
 def resolve(candidates: DataFrame, mappings: DataFrame, master: DataFrame, issues: DataFrame, least: float = 0.85) -> DataFrame:
     """Candidates resolved to canonical issues, and what becomes of each.
 

@@ -170,29 +170,31 @@ def by_date(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
     return _result(best, "date_based", F.col("b.i"), F.col("b.s"), F.col("b.d"))
 
 
-def substring_names(terms: DataFrame, known: DataFrame, shortest: int = 4) -> DataFrame:
-    """Pairs of distinct names of which one contains the other (``shortest`` characters at least).
+def names_within(terms: DataFrame, known: DataFrame, shortest: int = 1) -> DataFrame:
+    """Pairs of distinct names (``small`` of ``terms``, ``large`` of ``known``) of which the second contains the first.
 
-    Both sides are split into character grams; the contained side is looked up
-    by its rarest 4-gram only, or whole if it is shorter than that. ``terms``
-    and ``known`` have a column ``name``.
+    Names are split into character grams; the contained one is looked up by its
+    rarest 4-gram only, or whole if it is shorter than that. Both have a column
+    ``name``; only names of ``shortest`` characters and more count.
     """
     grams = lambda c, w: F.when(F.length(c) >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (w - 1))), lambda i: F.substring(c, i, F.lit(w)))))
     side = lambda df: df.where(F.length("name") >= shortest).select("name").distinct()
+    small, large = side(terms), side(known)
+    spread = lambda df, as_, w: df.select(F.col("name").alias(as_), F.explode(grams(F.col("name"), w)).alias("gram"))
+    long = spread(large, "large", 4)
+    often = long.groupBy("gram").count()
+    rare = spread(small, "small", 4).join(often, "gram").groupBy("small").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    found = rare.join(long, "gram").where(F.contains("large", F.col("small"))).select("small", "large")
+    for w in range(shortest, 4):
+        short = small.where(F.length("name") == w).select(F.col("name").alias("small"), F.col("name").alias("gram"))
+        found = found.unionByName(short.join(spread(large, "large", w), "gram").select("small", "large"))
+    return found
+
 
-    def inside(small: DataFrame, large: DataFrame) -> DataFrame:
-        spread = lambda df, as_, w: df.select(F.col("name").alias(as_), F.explode(grams(F.col("name"), w)).alias("gram"))
-        long = spread(large, "large", 4)
-        often = long.groupBy("gram").count()
-        rare = spread(small, "small", 4).join(often, "gram").groupBy("small").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-        found = rare.join(long, "gram").where(F.contains("large", F.col("small"))).select("small", "large")
-        for w in range(shortest, 4):
-            short = small.where(F.length("name") == w).select(F.col("name").alias("small"), F.col("name").alias("gram"))
-            found = found.unionByName(short.join(spread(large, "large", w), "gram").select("small", "large"))
-        return found
-
-    t, k = side(terms), side(known)
-    return inside(t, k).select(F.col("small").alias("term"), F.col("large").alias("name")).unionByName(inside(k, t).select(F.col("large").alias("term"), F.col("small").alias("name"))).distinct()
+def substring_names(terms: DataFrame, known: DataFrame, shortest: int = 4) -> DataFrame:
+    """Pairs of distinct names of which one contains the other (``shortest`` characters at least)."""
+    one = names_within(terms, known, shortest).select(F.col("small").alias("term"), F.col("large").alias("name"))
+    return one.unionByName(names_within(known, terms, shortest).select(F.col("large").alias("term"), F.col("small").alias("name"))).distinct()
 
 
 def by_substring(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, master, matching, repair, reports, similar, site_pages, urls
+from linkweave.operators import catalog, inventory, master, matching, repair, reports, similar, site_pages, urls
 from linkweave.plans import projection as p
 from linkweave.sources import markup
 
@@ -536,6 +536,49 @@ def k9_repair_summary(spark, sf_dir):
     return repair.repair_summary(repair.repair(p.canon(spark, sf_dir)))
 
 
+# --- inventory -----------------------------------------------------------------------
+
+_ITEMS = p.with_sql("canon_series", "canon_issues", "canon_mappings") + ''', found as (select issue_id, string_agg(source || ':' || source_issue_id, ',' order by source || ':' || source_issue_id) as maps, count(distinct source) as n from canon_mappings group by 1),
+  items as (select i.issue_id, s.title, i.number, s.start_year, s.publisher, i.cover_date, i.upc, coalesce(f.maps, '') as maps, coalesce(f.n, 0) as platforms_found, 5::bigint as platforms_total from canon_issues i join canon_series s on s.id = i.series_id left join found f using (issue_id))'''
+#: Texts that are searched for: parts of titles and ids, numbers, and UPCs.
+_SEARCHES = ("BUILD", "ure 1", "7", "000000000015", "99", "machinery 1", "x", "")
+
+
+@query(_ITEMS + " select * from items where title ilike '%mach%' and number = '2' and publisher ilike '%house 1%' and issue_id in (select issue_id from canon_mappings where source = 'click')")
+def k13_issue_list(spark, sf_dir):
+    return inventory.issue_rows(inventory.filtered(p.canon(spark, sf_dir), title="mach", number="2", publisher="house 1", platform="click"), reports.PLATFORMS)
+
+
+@query(_ITEMS + ", placed as (select *, row_number() over (order by title, number, issue_id) - 1 as place from items) select *, place // 50 as page from placed")
+def k13_issue_pages(spark, sf_dir):
+    return inventory.paged(inventory.issue_rows(p.canon(spark, sf_dir), reports.PLATFORMS))
+
+
+@query(_ITEMS + ", q as (select unnest(" + str(list(_SEARCHES)) + ''') as query), hits as (select distinct query, issue_id, title, number from q join items i on query <> '' and (contains(lower(title), lower(query)) or number = query or upc = query or issue_id in (select issue_id from canon_mappings m where contains(lower(source_issue_id), lower(query)))))
+  select query, place, issue_id from (select *, row_number() over (partition by query order by title, number, issue_id)::int as place from hits) where place <= 50''')
+def k13_search(spark, sf_dir):
+    return inventory.search(spark.createDataFrame([(q,) for q in _SEARCHES], "query string"), p.canon(spark, sf_dir))
+
+
+@query(_ITEMS + ''', n as (select p.source as platform, (select count(distinct issue_id) from canon_mappings m where m.source = p.source) as mapped, (select count(*) from canon_issues) as total_issues, (select count(*) from canon_series) as total_series, (select count(*) from canon_mappings) as total_mappings from ''' + _NAMES
+    + ") select *, round(mapped / total_issues * 100, 1) as percentage from n")
+def k13_inventory_stats(spark, sf_dir):
+    return inventory.stats(p.canon(spark, sf_dir), reports.PLATFORMS)
+
+
+@query(p.with_sql("mappings") + " select issue_id from mappings group by issue_id having count(distinct source) = 5")
+def d12_complete_issues(spark, sf_dir):
+    return inventory.complete_issues(p.mappings(spark, sf_dir), reports.PLATFORMS)
+
+
+@query(_RESOLVE + ''', a as (select candidate_id, lower(title) as low, nullif(trim(number), '') as number from cand where title is not null), k as (select distinct lower(title) as known from masters),
+  close_ as (select low, known, round(jaro_winkler_similarity(low, known), 6) as alike from (select distinct low from a where low <> ''), k where round(jaro_winkler_similarity(low, known), 6) >= 0.85),
+  hits as (select a.candidate_id, m.id as series_id, m.title, l.alike, h.issue_id from a join close_ l using (low) join masters m on lower(m.title) = l.known left join (select series_id, number, min(issue_id) as issue_id from master_issues group by 1, 2) h on h.series_id = m.id and h.number = a.number where a.number is null or h.issue_id is not null)
+  select candidate_id, place, series_id, issue_id, 0.7::double * alike as confidence, 'Fuzzy title match: ' || title || ' (similarity: ' || printf('%.2f', alike) || ')' as reason from (select *, row_number() over (partition by candidate_id order by alike desc, series_id)::int as place from hits) where place <= 5''')
+def t1_best_fuzzy(spark, sf_dir):
+    return master.best_fuzzy(_to_resolve(spark, sf_dir), p.masters(spark, sf_dir), p.master_issues(spark, sf_dir))
+
+
 _LINKS = p.with_sql("links", "link_mappings") + r""",
   t as (select link_id, url, regexp_replace(trim(url), '^(https?://[^/?#:]*):[0-9]+', '\1') as u from links),
   h as (select *, lower(regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) as path from t),
