@@ -6,7 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.functions import names
+from linkweave.functions import names, numbers
+
+
+# Fixed value: the catalog's number for English.
+ENGLISH = 25
+
+
+def usable_series(series: DataFrame, publishers: DataFrame, this_year: int, language: int = ENGLISH) -> DataFrame:
+    """Series of a catalog dump that matching may use, with their publisher's name.
+
+    Not deleted, in ``language``, begun by ``this_year`` and not ended before 1950
+    (null: still open). A deleted or unknown publisher counts as none. The
+    filters are on plain columns, so they reach the scan.
+    """
+    kept = series.where((F.col("deleted") == 0) & (F.col("language_id") == language) & (F.col("year_began") <= this_year) & (F.col("year_ended").isNull() | (F.col("year_ended") >= 1950)))
+    named = publishers.where("deleted = 0").select("publisher_id", F.col("name").alias("publisher"))
+    return kept.join(named, "publisher_id", "left").select("series_id", "name", F.coalesce("publisher", F.lit("")).alias("publisher"), "year_began", "year_ended", "issue_count")
+
+
+def labelled_issues(issues: DataFrame) -> DataFrame:
+    """Issues of a catalog dump, not deleted, with their kind and cover year.
+
+    An issue is ``newsstand`` by its variant name, ``canonical`` if it is a variant
+    of none, else ``variant``. The year is the first of four digits in the publication
+    date, else the key date's.
+    """
+    label = F.when(F.col("variant_name") == "Newsstand", "newsstand").when(F.col("variant_of_id").isNull(), "canonical").otherwise("variant")
+    return issues.where("deleted = 0").select("issue_id", "series_id", "number", label.alias("label"), numbers.cover_year(F.col("publication_date"), F.col("key_date")).alias("cover_year"), "barcode")
 
 
 def preferred_issues(issues: DataFrame) -> DataFrame:

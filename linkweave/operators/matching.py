@@ -298,3 +298,18 @@ def match(collection: DataFrame, series: DataFrame, issues: DataFrame) -> DataFr
     won = staged(contest(results))
     final = full_numbers(reconsidered(won, rest, preferred), rest, preferred)
     return collection.select("row_id").join(final, "row_id", "left").select("row_id", "issue_id", "series_id", F.coalesce("strategy", F.lit("no_match")).alias("strategy"), F.coalesce("confidence", F.lit(0)).alias("confidence"), "year_distance")
+
+
+def enriched(collection: DataFrame, matches: DataFrame, series: DataFrame, preferred: DataFrame, address: str = "https://www.comics.org/issue/") -> DataFrame:
+    """Every collection row with what was matched: issue, its address, series and name, the number's cover year in it, and how.
+
+    ``match_type`` is the strategy and its confidence where an issue was found, else ``no_match``.
+    """
+    named = series.select("series_id", F.col("name").alias("matched_series"))
+    dated = preferred.select("series_id", "number", F.col("cover_year").alias("matched_cover_year"))
+    held = matches.select(*RESULT).join(named, "series_id", "left")
+    x = collection.withColumn("__number", numbers.catalog_number(F.col("number"))).join(held, "row_id", "left").join(dated.withColumnRenamed("number", "__number"), ["series_id", "__number"], "left")
+    found = F.col("issue_id").isNotNull()
+    kind = F.when(found, F.concat_ws(":", "strategy", F.col("confidence").cast("string"))).otherwise("no_match")
+    address_ = F.when(found, F.concat(F.lit(address), F.col("issue_id").cast("string"), F.lit("/")))
+    return x.select(*(F.col(f"`{c}`") for c in collection.columns), F.col("issue_id").alias("matched_issue_id"), address_.alias("matched_url"), kind.alias("match_type"), "strategy", F.col("series_id").alias("matched_series_id"), "matched_series", "matched_cover_year")

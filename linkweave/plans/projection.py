@@ -126,6 +126,25 @@ def link_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.explode(sources).alias("source"), k).where((k + F.length("source")) % 3 != 0).select("source", k.cast("string").alias("source_issue_id"), k.alias("issue_id"))
 
 
+def dump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A catalog dump as it comes: series of parts, issues of order lines, publishers of suppliers; with deleted rows, languages and variants."""
+    part, line, supplier = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    k, n = F.col("p_partkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    series_ = part.select(
+        k.alias("series_id"), F.col("p_name").alias("name"), (F.col("p_size") + F.when(k % 9 == 0, 1985).otherwise(1945)).alias("year_began"), F.when(k % 4 == 0, F.col("p_size") + 1948).alias("year_ended"), (F.col("p_size") * 3).alias("issue_count"),
+        (k % 12).alias("publisher_id"), F.when(k % 5 == 0, 30).otherwise(25).alias("language_id"), (k % 13 == 0).cast("int").alias("deleted"),
+    )
+    rows = line.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_returnflag", "l_shipdate")).alias("m"))
+    shipped, kind = F.to_date("m.l_shipdate"), n % 5
+    text = F.when(kind == 0, F.date_format(shipped, "MMMM yyyy")).when(kind == 1, F.concat(F.lit("Fall "), F.year(shipped).cast("string"), F.lit(" (2001)"))).when(kind == 2, "soon").when(kind == 3, "")
+    issues_ = rows.select(
+        n.alias("issue_id"), F.col("m.l_partkey").alias("series_id"), F.col("l_linenumber").cast("string").alias("number"), F.when(F.col("m.l_returnflag") == "R", "Newsstand").when(F.col("m.l_returnflag") == "A", "Second print").alias("variant_name"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_orderkey") * 8 + 1).alias("variant_of_id"), text.alias("publication_date"), F.when(n % 7 != 0, F.concat(F.date_format(shipped, "yyyy-MM"), F.lit("-00"))).alias("key_date"), F.lpad(n.cast("string"), 13, "0").alias("barcode"), (F.col("l_orderkey") % 17 == 0).cast("int").alias("deleted"),
+    )
+    publishers = supplier.select(F.col("s_suppkey").alias("publisher_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7 == 0).cast("int").alias("deleted"))
+    return series_, issues_, publishers
+
+
 #: Issue pages of three platforms; names in braces stand for a part's values.
 SITE_PAGES = {
     "aa": """<html><body><h2 class="dropLeftMargin"><a href="/atomic/series/{id}/1">{title} {title}</a></h2><div class="dropLeftMargin">Issues</div><div class="dropLeftMargin">Press House, {year}-1999</div><ul><li>Copies<li class="issueSearchIssueNum">{number}</ul></body></html>""",
@@ -218,6 +237,9 @@ SQL["shelf"] = """select row_id, case row_id % 8 when 1 then 'The ' || stem when
 SQL["site_candidates"] = """select page_id, platform, case when error is null then x end as x, error, k, title, year, brand, digits, name from (
   select k * 3 + site as page_id, ['aa', 'hip', 'locg'][site + 1] as platform, site as x, *, case when k % 37 = 5 then 'empty_page' when site <> 2 and title = '' then 'no_title' when k % 7 = 2 and site = 0 then 'no_number' when site = 1 and k % 7 = 2 then 'MULTI_ISSUE_RANGE' end as error
   from (select p_partkey as k, p_name as name, case when p_partkey % 31 <> 3 then array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') else '' end as title, p_size + 1950 as year, p_brand as brand, (p_partkey % 60)::varchar as digits from part), (select unnest(range(3)) as site))"""
+SQL["dump_issues"] = """select l_orderkey * 8 + l_linenumber as issue_id, m.p as series_id, l_linenumber::varchar as number, case m.f when 'R' then 'Newsstand' when 'A' then 'Second print' end as variant_name, case when l_linenumber > 2 then l_orderkey * 8 + 1 end as variant_of_id,
+  case (l_orderkey * 8 + l_linenumber) % 5 when 0 then strftime(m.d::date, '%B %Y') when 1 then 'Fall ' || year(m.d::date) || ' (2001)' when 2 then 'soon' when 3 then '' end as publication_date, case when (l_orderkey * 8 + l_linenumber) % 7 <> 0 then strftime(m.d::date, '%Y-%m') || '-00' end as key_date,
+  lpad((l_orderkey * 8 + l_linenumber)::varchar, 13, '0') as barcode, l_orderkey % 17 = 0 as deleted from (select l_orderkey, l_linenumber, min({'p': l_partkey, 'f': l_returnflag, 'd': l_shipdate}) as m from lineitem group by 1, 2)"""
 SQL["canon_series"] = "select c_custkey as id, c_mktsegment || ' ' || (c_custkey % 50) as title, c_nationkey % 3 + 1950 as start_year, case when c_custkey % 3 <> 0 then 'House ' || (c_custkey % 4) end as publisher, case when c_custkey % 17 <> 0 then cast(trunc(c_acctbal * 100) as bigint) end as created_at from customer"
 SQL["canon_issues"] = """select o_orderkey as issue_id, o_custkey as series_id, (o_orderkey % 5 + 1)::varchar as number, case when o_orderkey % 4 <> 0 then o_orderdate::date end as cover_date,
   case when o_orderkey % 3 = 0 then lpad((o_orderkey % 40)::varchar, 12, '0') end as upc, case when o_orderkey % 19 <> 0 then o_custkey * 7 + o_orderkey % 11 end as created_at from orders"""

@@ -536,6 +536,25 @@ def k9_repair_summary(spark, sf_dir):
     return repair.repair_summary(repair.repair(p.canon(spark, sf_dir)))
 
 
+@query('''select p_partkey as series_id, p_name as name, coalesce(s_name, '') as publisher, p_size + case when p_partkey % 9 = 0 then 1985 else 1945 end as year_began, case when p_partkey % 4 = 0 then p_size + 1948 end as year_ended, p_size * 3 as issue_count
+  from part left join supplier on s_suppkey = p_partkey % 12 and s_suppkey % 7 <> 0 where p_partkey % 13 <> 0 and p_partkey % 5 <> 0 and p_size + case when p_partkey % 9 = 0 then 1985 else 1945 end <= 2026 and (p_partkey % 4 <> 0 or p_size + 1948 >= 1950)''')
+def f1_usable_series(spark, sf_dir):
+    series, _, publishers = p.dump(spark, sf_dir)
+    return catalog.usable_series(series, publishers, 2026)
+
+
+@query(p.with_sql("dump_issues") + ''' select issue_id, series_id, number, case when variant_name = 'Newsstand' then 'newsstand' when variant_of_id is null then 'canonical' else 'variant' end as label,
+  coalesce(try_cast(nullif(regexp_extract(publication_date, '[0-9]{4}'), '') as int), try_cast(split_part(key_date, '-', 1) as int)) as cover_year, barcode from dump_issues where not deleted''')
+def p1_labelled_issues(spark, sf_dir):
+    return catalog.labelled_issues(p.dump(spark, sf_dir)[1])
+
+
+@query(_MATCH + ''' select c.*, m.issue_id as matched_issue_id, 'https://www.comics.org/issue/' || m.issue_id || '/' as matched_url, case when m.issue_id is not null then m.strategy || ':' || m.confidence else 'no_match' end as match_type, m.strategy, m.series_id as matched_series_id, s.name as matched_series, q.cover_year as matched_cover_year
+  from collection c join matches m using (row_id) left join series s on s.series_id = m.series_id left join preferred q on q.series_id = m.series_id and q.number = c.number''')
+def a10_enriched_collection(spark, sf_dir):
+    return matching.enriched(p.shelf(spark, sf_dir), _matches(spark, sf_dir), p.titled_series(spark, sf_dir), catalog.preferred_issues(p.dated_issues(spark, sf_dir)))
+
+
 # --- inventory -----------------------------------------------------------------------
 
 _ITEMS = p.with_sql("canon_series", "canon_issues", "canon_mappings") + ''', found as (select issue_id, string_agg(source || ':' || source_issue_id, ',' order by source || ':' || source_issue_id) as maps, count(distinct source) as n from canon_mappings group by 1),
