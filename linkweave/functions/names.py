@@ -88,10 +88,16 @@ def publisher(c: Column) -> Column:
     return F.lower(squeeze(F.regexp_replace(c, r"(?i)\s+(publishing|comics|entertainment)\s*$", "")))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 if equal; contained: by length, more at the front; else Jaccard of the words."""
+def words(c: Column) -> Column:
+    """Distinct words."""
+    return F.array_distinct(F.split(c, " "))
+
+
+def similarity(a: Column, b: Column, a_words: Column | None = None, b_words: Column | None = None) -> Column:
+    """1 if equal; contained: by length, more at the front; else Jaccard of the words, which may be given."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     ratio = F.length(short) / F.length(long)
-    x, y = F.split(a, " "), F.split(b, " ")
-    jaccard = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    x, y = words(a) if a_words is None else a_words, words(b) if b_words is None else b_words
+    shared = F.size(F.array_intersect(x, y))
+    jaccard = shared / (F.size(x) + F.size(y) - shared)
     return F.when(a == b, F.lit(1.0)).when(F.startswith(long, short), F.least(F.lit(0.9), 1.4 * ratio)).when(F.contains(long, short), 0.8 * ratio).otherwise(jaccard)

@@ -118,21 +118,12 @@ def by_base_name(rows: DataFrame, series: DataFrame, preferred: DataFrame) -> Da
     return _result(met, "base_name", F.coalesce("c.issue_id", "f.issue_id"), F.coalesce("c.series_id", "f.series_id", "series_id"), F.col("c.d"))
 
 
-def name_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct names (columns ``raw`` and ``name``) that are alike at all, and how much: those with a common word or of which one contains the other."""
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("word")).where("word <> ''")
-    one, other = asked.select("raw").where("raw <> ''").distinct(), known.select("name").where("name <> ''").distinct()
-    shared = words(one, "raw").join(words(other, "name"), "word").select("raw", "name")
-    within = substring_names(one.select(F.col("raw").alias("name")), other, 1).select(F.col("term").alias("raw"), "name")
-    return shared.unionByName(within).distinct().withColumn("alike", F.round(names.similarity(F.col("raw"), F.col("name")), 6)).where("alike > 0")
-
-
 def by_reverse(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFrame:
     """Any issue of the number within five years: of the only series, else the row's publisher's only one, else the name most alike (above 0).
 
     Where no series found has the row's publisher, all count. Ties go to the least
     series; of its issues the first by year and id is taken. Windows are made per
-    number and year asked for, names are compared once per distinct pair, and a
+    number and year asked for, distinct names are compared within them, and a
     series counts as the only one where the least and the greatest are equal.
     ``rows`` has ``raw``, ``number``, ``year`` and ``publisher``.
     """
@@ -152,10 +143,16 @@ def by_reverse(rows: DataFrame, series: DataFrame, issues: DataFrame) -> DataFra
     x = inputs.join(alone, ["number", "year"]).join(own, ["number", "year", "publisher"], "left")
     only = F.when(F.col("all_low") == F.col("all_high"), F.col("all_low")).when(F.col("low") == F.col("high"), F.col("low"))
     placed = staged(x.select("number", "year", "publisher", "raw", only.alias("only"), F.when(F.col("low").isNotNull(), F.col("publisher")).otherwise("").alias("scope")))
+    # an equal name can't be beaten; other rows meet the names of their own window only
+    spots_ = scoped.select("number", "year", F.col("publisher").alias("scope"), "name", "low")
     open_ = placed.where("only is null")
-    pairs = staged(name_pairs(open_, named))
-    best = open_.join(pairs, "raw").join(scoped.select("number", "year", F.col("publisher").alias("scope"), "name", "low"), ["number", "year", "scope", "name"]).groupBy("number", "year", "publisher", "raw").agg(F.min(F.struct((-F.col("alike")).alias("a"), F.col("low").alias("series_id"))).alias("b"))
-    chosen = placed.where("only is not null").select("number", "year", "publisher", "raw", F.col("only").alias("series_id"), F.lit("reverse_one").alias("reverse_how")).unionByName(best.select("number", "year", "publisher", "raw", "b.series_id", F.lit("reverse_similarity").alias("reverse_how")))
+    equal = open_.join(spots_.withColumnRenamed("name", "raw"), ["number", "year", "scope", "raw"]).select("number", "year", "publisher", "raw", F.col("low").alias("series_id"))
+    equal = staged(equal)
+    other = open_.join(equal.select("number", "year", "publisher", "raw"), ["number", "year", "publisher", "raw"], "left_anti").withColumn("raw_words", names.words(F.col("raw"))).join(spots_.withColumn("name_words", names.words(F.col("name"))), ["number", "year", "scope"])
+    alike = F.round(names.similarity(F.col("raw"), F.col("name"), F.col("raw_words"), F.col("name_words")), 6)
+    best = other.withColumn("alike", alike).where("alike > 0").groupBy("number", "year", "publisher", "raw").agg(F.min(F.struct((-F.col("alike")).alias("a"), F.col("low").alias("series_id"))).alias("b"))
+    best = best.select("number", "year", "publisher", "raw", "b.series_id").unionByName(equal)
+    chosen = placed.where("only is not null").select("number", "year", "publisher", "raw", F.col("only").alias("series_id"), F.lit("reverse_one").alias("reverse_how")).unionByName(best.select("number", "year", "publisher", "raw", "series_id", F.lit("reverse_similarity").alias("reverse_how")))
     found = chosen.join(kept.select("series_id", "number", "cover_year", "issue_id"), ["series_id", "number"]).where(F.col("cover_year").between(F.col("year") - 5, F.col("year") + 5)).groupBy("number", "year", "publisher", "raw", "series_id", "reverse_how").agg(F.min(F.struct("cover_year", "issue_id")).alias("i"))
     return _result(rows.join(found, ["number", "year", "publisher", "raw"]), F.col("reverse_how"), F.col("i.issue_id"), F.col("series_id"), None)
 

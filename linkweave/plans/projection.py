@@ -186,6 +186,33 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("mapping_id").alias("correction_id"), "source", "issue_id", kind.alias("correction_type"), status.alias("review_status"), "created_at")
 
 
+def reviewable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections with the id that was given and, for half of them, the right one."""
+    given = mappings(spark, sf_dir).select(F.col("mapping_id").alias("correction_id"), F.col("source_issue_id").alias("original_source_issue_id"), F.when(F.col("k") % 2 == 0, F.concat("source_issue_id", F.lit("x"))).alias("correct_source_issue_id"))
+    return corrections(spark, sf_dir).join(given, "correction_id")
+
+
+def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of every third event, a correction or not, in two rounds; some with a status that doesn't exist."""
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    status = F.element_at(F.array(*map(F.lit, ("reviewed", "applied", "rejected", "done", "pending"))), ((F.col("k") + F.col("turn")) % 5 + 1).cast("int"))
+    return e.select((F.col("k") * 2 + F.col("turn")).alias("request_id"), F.col("k").alias("correction_id"), status.alias("status"), F.concat(F.lit("reviewer "), (F.col("k") % 4).cast("string")).alias("reviewed_by"), F.when(F.col("turn") == 1, "again").alias("notes"), F.col("k").alias("at"))
+
+
+#: Messages of errors; {n} stands for a number.
+ERRORS = ("Source series start YEAR missing", "Multiple rows were found when one was expected", "Validation error: {n}", "Resolution error in row {n}", "Connection refused", "network is down", "Timeout after {n} s", "strange")
+
+
+def import_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Imports of orders, one per nation of 20: their runs, rows being worked on, and results so far."""
+    o, k, run = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 20
+    runs = o.groupBy(run.alias("run_id")).agg((F.count("*") - F.when(run % 7 == 3, 50).otherwise(0)).alias("total_rows")).withColumns({"resume_count": F.when(F.col("run_id") % 3 != 0, F.col("run_id") % 2), "retry_failed_count": F.when(F.col("run_id") % 4 == 1, 2)})
+    active = o.where(k % 7 == 0).select(run.alias("run_id"), k.cast("string").alias("row_key"))
+    error = F.when(k % 6 == 1, F.replace(F.element_at(F.array(*map(F.lit, ERRORS)), (k % len(ERRORS) + 1).cast("int")), F.lit("{n}"), k.cast("string")))
+    results = o.where(k % 5 != 0).select(run.alias("run_id"), k.cast("string").alias("row_key"), k.alias("row_index"), error.isNull().alias("resolved"), error.alias("error"))
+    return runs, active, results
+
+
 def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical series with many repeated keys: title by segment, year by nation."""
     c = table(spark, sf_dir, "customer")
@@ -240,6 +267,10 @@ SQL["site_candidates"] = """select page_id, platform, case when error is null th
 SQL["dump_issues"] = """select l_orderkey * 8 + l_linenumber as issue_id, m.p as series_id, l_linenumber::varchar as number, case m.f when 'R' then 'Newsstand' when 'A' then 'Second print' end as variant_name, case when l_linenumber > 2 then l_orderkey * 8 + 1 end as variant_of_id,
   case (l_orderkey * 8 + l_linenumber) % 5 when 0 then strftime(m.d::date, '%B %Y') when 1 then 'Fall ' || year(m.d::date) || ' (2001)' when 2 then 'soon' when 3 then '' end as publication_date, case when (l_orderkey * 8 + l_linenumber) % 7 <> 0 then strftime(m.d::date, '%Y-%m') || '-00' end as key_date,
   lpad((l_orderkey * 8 + l_linenumber)::varchar, 13, '0') as barcode, l_orderkey % 17 = 0 as deleted from (select l_orderkey, l_linenumber, min({'p': l_partkey, 'f': l_returnflag, 'd': l_shipdate}) as m from lineitem group by 1, 2)"""
+SQL["reviewable"] = f"""select c.*, m.source_issue_id as original_source_issue_id, case when m.k % 2 = 0 then m.source_issue_id || 'x' end as correct_source_issue_id from ({SQL["corrections"]}) c join ({SQL["mappings"]}) m on m.mapping_id = c.correction_id"""
+SQL["review_requests"] = """select event_id * 2 + turn as request_id, event_id as correction_id, ['reviewed', 'applied', 'rejected', 'done', 'pending'][((event_id + turn) % 5 + 1)::int] as status, 'reviewer ' || (event_id % 4) as reviewed_by, case when turn = 1 then 'again' end as notes, event_id as at
+  from events, (select unnest([0, 1]) as turn) where event_id % 3 = 0"""
+SQL["import_results"] = "select o_custkey % 20 as run_id, o_orderkey::varchar as row_key, o_orderkey as row_index, o_orderkey % 6 <> 1 as resolved, case when o_orderkey % 6 = 1 then replace(list_extract([" + ", ".join(f"'{x}'" for x in ERRORS) + f"], o_orderkey % {len(ERRORS)} + 1), '{{n}}', o_orderkey::varchar) end as error from orders where o_orderkey % 5 <> 0"
 SQL["canon_series"] = "select c_custkey as id, c_mktsegment || ' ' || (c_custkey % 50) as title, c_nationkey % 3 + 1950 as start_year, case when c_custkey % 3 <> 0 then 'House ' || (c_custkey % 4) end as publisher, case when c_custkey % 17 <> 0 then cast(trunc(c_acctbal * 100) as bigint) end as created_at from customer"
 SQL["canon_issues"] = """select o_orderkey as issue_id, o_custkey as series_id, (o_orderkey % 5 + 1)::varchar as number, case when o_orderkey % 4 <> 0 then o_orderdate::date end as cover_date,
   case when o_orderkey % 3 = 0 then lpad((o_orderkey % 40)::varchar, 12, '0') end as upc, case when o_orderkey % 19 <> 0 then o_custkey * 7 + o_orderkey % 11 end as created_at from orders"""

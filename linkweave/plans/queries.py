@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import catalog, inventory, master, matching, repair, reports, similar, site_pages, urls
+from linkweave.operators import bookkeeping, catalog, inventory, master, matching, repair, reports, review, similar, site_pages, urls
 from linkweave.plans import projection as p
 from linkweave.sources import markup
 
@@ -555,6 +555,68 @@ def a10_enriched_collection(spark, sf_dir):
     return matching.enriched(p.shelf(spark, sf_dir), _matches(spark, sf_dir), p.titled_series(spark, sf_dir), catalog.preferred_issues(p.dated_issues(spark, sf_dir)))
 
 
+_REVIEW = p.with_sql("canon_series", "canon_issues", "reviewable", "review_requests")
+_OF = "left join canon_issues i using (issue_id) left join canon_series s on s.id = i.series_id"
+
+
+@query(_REVIEW + f" select c.*, i.number, s.title, s.start_year from (select * from reviewable where review_status = 'applied' and source = 'click' order by created_at desc, correction_id desc limit 50) c {_OF}")
+def t3_recent_corrections(spark, sf_dir):
+    return review.recent(p.reviewable(spark, sf_dir), p.canon(spark, sf_dir), status="applied", platform="click")
+
+
+@query(_REVIEW + f" select c.*, i.number, s.title, s.start_year from reviewable c {_OF}")
+def c27_corrections_of_issues(spark, sf_dir):
+    return review.recent(p.reviewable(spark, sf_dir), p.canon(spark, sf_dir), limit=None)
+
+
+@query(_REVIEW + ''', last as (select correction_id, max(request_id) as request_id from review_requests where status in ('pending', 'reviewed', 'applied', 'rejected') group by 1)
+  select c.correction_id, c.source, c.issue_id, c.correction_type, c.created_at, c.original_source_issue_id, c.correct_source_issue_id, coalesce(r.status, c.review_status) as review_status, r.reviewed_by, r.notes as review_notes, r.at as reviewed_at
+  from reviewable c left join last l using (correction_id) left join review_requests r on r.request_id = l.request_id''')
+def k11_reviewed_corrections(spark, sf_dir):
+    return review.reviewed(p.reviewable(spark, sf_dir), p.review_requests(spark, sf_dir))[0]
+
+
+@query(_REVIEW + " select request_id, correction_id, case when correction_id not in (select correction_id from reviewable) then 'not_found' when status = 'done' then 'invalid_status' else 'done' end as outcome from review_requests")
+def k11_review_outcomes(spark, sf_dir):
+    return review.reviewed(p.reviewable(spark, sf_dir), p.review_requests(spark, sf_dir))[1]
+
+
+@query(_REVIEW + f" select c.correction_id, issue_id, s.title, s.start_year, i.number, c.source, c.correct_source_issue_id, c.original_source_issue_id, c.correction_type from reviewable c {_OF} where review_status = 'applied' and correct_source_issue_id is not null and i.number is not null")
+def f14_correction_seeds(spark, sf_dir):
+    return review.seeds(p.reviewable(spark, sf_dir), p.canon(spark, sf_dir))
+
+
+# --- bookkeeping of imports ------------------------------------------------------------
+
+
+@query(p.with_sql("import_results") + ''' select r.run_id, r.total - case when r.run_id % 7 = 3 then 50 else 0 end as total_rows, d.processed, d.failed, coalesce(a.active, 0) as active, greatest(r.total - case when r.run_id % 7 = 3 then 50 else 0 end - d.processed - coalesce(a.active, 0), 0) as pending,
+  case when r.run_id % 4 = 1 then 'retry_failed_only' when r.run_id % 3 <> 0 and r.run_id % 2 > 0 then 'resume' else 'fresh' end as mode from (select o_custkey % 20 as run_id, count(*) as total from orders group by 1) r
+  left join (select run_id, count(*) as processed, count(*) filter (not resolved) as failed from import_results group by 1) d using (run_id) left join (select o_custkey % 20 as run_id, count(*) as active from orders where o_orderkey % 7 = 0 and o_orderkey % 5 = 0 group by 1) a using (run_id)''')
+def d14_import_progress(spark, sf_dir):
+    return bookkeeping.progress(*p.import_state(spark, sf_dir))
+
+
+@query(p.with_sql("import_results") + ''', c as (select *, case when lower(error) like '%year%' then 'missing_series_year' when lower(error) like '%multiple rows were found%' then 'duplicate_data' when lower(error) like '%validation error%' then 'validation_error' when lower(error) like '%resolution error%' then 'resolution_failed'
+    when lower(error) like '%network%' or lower(error) like '%connection%' then 'network_error' when lower(error) like '%timeout%' then 'timeout' else 'other' end as category from import_results where error is not null)
+  select run_id, category, count(*) as n, array_to_string(list_slice(list(row_index order by row_index), 1, 5), ',') as sample_rows, d.description from c join (values ''' + ", ".join(f"('{k}', '{v}')" for k, v in bookkeeping.DESCRIPTIONS.items()) + ") d(category, description) using (category) group by all")
+def d15_import_errors(spark, sf_dir):
+    return bookkeeping.error_report(p.import_state(spark, sf_dir)[2])
+
+
+@query(p.with_sql("collection") + r''', k as (select row_id, trim(series_name) || '|' || regexp_extract(series_name, '(?i)\bvol\.?\s*(\d+)', 1) || '|' || coalesce(year::varchar, '') as series_key from collection)
+  select series_key, count(*) as n, min(row_id) as first_row, max(row_id) as last_row from k group by 1''')
+def d16_series_groups(spark, sf_dir):
+    rows = p.collection(spark, sf_dir).select(F.col("row_id").alias("row_index"), F.col("series_name").alias("series"), F.lit("").alias("year"), F.col("year").cast("string").alias("cover_year"))
+    return bookkeeping.series_groups(rows)
+
+
+@query(p.with_sql("mappings") + ''', i as (select c_custkey as issue_id from customer), s as (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as source),
+  m as (select distinct issue_id, source from mappings), u as (select i.issue_id, count(m.source) as updated, coalesce(string_agg(s.source, ',' order by s.source) filter (m.source is null), '') as missing from i cross join s left join m on m.issue_id = i.issue_id and m.source = s.source group by 1)
+  select issue_id, 5::bigint as checked, updated, missing, 'Reconciled issue ' || issue_id || ' across 5 platforms. Created 0 new mappings, updated ' || updated || '. 0 errors.' as summary from u''')
+def d18_reconciled_issues(spark, sf_dir):
+    return bookkeeping.reconciled(p.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issue_id")), p.mappings(spark, sf_dir), reports.PLATFORMS)
+
+
 # --- inventory -----------------------------------------------------------------------
 
 _ITEMS = p.with_sql("canon_series", "canon_issues", "canon_mappings") + ''', found as (select issue_id, string_agg(source || ':' || source_issue_id, ',' order by source || ':' || source_issue_id) as maps, count(distinct source) as n from canon_mappings group by 1),
