@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain forms.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕŌÚÙÛÜŪÑÇÝ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyyAAAAAAAEEEEEIIIIIOOOOOOUUUUUNCY"
+def _plain() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, with those letters; then the marks, which go. Up to U+30FF, by Unicode's canonical decomposition."""
+    found, marks = {}, []
+    for code in (*range(0x80, 0x3100), *range(0xFE20, 0xFE30)):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if bare != c and len(bare) == 1:
+            found[c] = bare
+    return "".join(found) + "".join(marks), "".join(found.values())
+
+
+#: What ``translate`` needs: characters, and those that take their place; others without one are removed.
+ACCENTED, PLAIN = _plain()
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without their accents."""
+    """Letters without their accents and other marks."""
     return F.translate(c, ACCENTED, PLAIN)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from linkweave.operators.staging import staged
 
 
 def read_collection(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -17,9 +20,16 @@ def read_collection(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 
 def row_keys(rows: DataFrame, id_col: str) -> DataFrame:
-    """Rows with their number in file order, from 1, and a stable key ``id:number`` or ``row-number:number``."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("row_index", T.LongType())])
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
+    """Rows with their number in file order, from 1, and a stable key ``id:number`` or ``row-number:number``.
+
+    Rows are numbered within their part of the file, and parts start at the sum of
+    those before them; the numbers are written once, so a later read agrees.
+    """
+    at = F.monotonically_increasing_id()
+    held = staged(rows.select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    counts = held.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))  # a row per part
+    numbered = held.join(F.broadcast(before), "__part").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__at") + F.col("before") + 1).alias("row_index"))
     own = F.nullif(F.trim(F.col(id_col)), F.lit(""))
     return numbered.withColumn("row_key", F.concat_ws(":", F.coalesce(own, F.concat(F.lit("row-"), F.col("row_index"))), F.col("row_index")))
 

@@ -43,6 +43,18 @@ def fold(rows):
     return held
 
 
+def test_folding_equals_unicode_decomposition(spark):
+    import unicodedata
+
+    texts = [chr(k) for k in range(0x20, 0x3100) if unicodedata.category(chr(k)) not in ("Cn", "Cs")] + ["Rōnin", "Español", "ő š č ř ž Ș ţ", "e\u0301\u0323x", "Ǘ ệ Ắ ё й ά", "漢字 かが", "한글", "plain"]
+    def plain(t):
+        return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", names.fold(F.col("t")).alias("f"))
+    # characters of several letters, and Hangul, stay whole
+    assert {r.t: r.f for r in df.collect()} == {t: plain(t) if len(t) > 1 and not any(0xAC00 <= ord(c) <= 0xD7A3 for c in t) or len(plain(t)) <= 1 else t for t in texts}
+
+
 def test_preferred_issue_equals_the_fold(spark):
     labels = ("variant", "canonical", "newsstand")
     groups = list(itertools.product(labels, repeat=3))
