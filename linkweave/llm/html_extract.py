@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,9 +59,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 @dataclass
 class Block:
-    """Text under one leaf of the page's tree, and where it is."""
+    """Text under one leaf of the page's tree, and where it is: the number of its path, and the path's last tag."""
 
-    path: tuple[str, ...]
+    path: int
+    leaf: str
     never: bool
     seldom: tuple[int, ...]
     within: tuple[int, ...]
@@ -104,9 +105,11 @@ def _marks(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Non-blank blocks of a page in order; broken markup never fails."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, list[int]]] = []
+    stack: list[tuple[str, int, str, bool, list[int]]] = []
+    paths: dict[tuple[int, str], int] = {}  # equal paths have one number, whatever their depth
     marks: list[int] = []
     regions: list[int] = []
+    standing: Counter[str] = Counter()  # open elements by name, so that an end tag without one costs nothing
     never, inside, links, opened, marked = 0, 0, 0, 0, 0
     open_ = True
 
@@ -115,7 +118,7 @@ def blocks(page: str) -> list[Block]:
         if not raw or (open_ and raw.isspace()):
             return
         if open_:
-            found.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), never > 0, tuple(marks), tuple(regions), "article" in (x[0] for x in stack)))
+            found.append(Block(*(stack[-1][1:3] if stack else (0, "")), never > 0, tuple(marks), tuple(regions), standing["article"] > 0))
             open_ = False
         text = html.unescape(raw)
         found[-1].parts.append(text)
@@ -125,7 +128,8 @@ def blocks(page: str) -> list[Block]:
     def close_to(depth: int) -> None:
         nonlocal never, inside, links, open_, marks
         while len(stack) > depth:
-            name, _, bad, marks = stack.pop()
+            name, _, _, bad, marks = stack.pop()
+            standing[name] -= 1
             never -= bad
             if name in ("article", "main"):
                 inside -= 1
@@ -135,6 +139,8 @@ def blocks(page: str) -> list[Block]:
 
     def close_implied(names: set[str]) -> None:
         """Close the innermost open element of ``names``, unless a scope is between."""
+        if not any(standing[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 close_to(i)
@@ -159,7 +165,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if standing[name] else -1, -1, -1):
                 if stack[i][0] == name:
                     close_to(i)
                     break
@@ -186,12 +192,16 @@ def blocks(page: str) -> list[Block]:
             close_implied(CLOSED_BY[name])
         if name not in INLINE:
             open_ = True
-        if name in ("html", "body") and any(x[0] == name for x in stack):
+        if name in ("html", "body") and standing[name]:
             continue
         label, bad, seldom, plain = _marks(name, m[3])
         if name == "header" and not inside:
             bad = True
-        stack.append((name, label, bad, marks))
+        path, leaf = stack[-1][1:3] if stack else (0, "")
+        if name not in INLINE:
+            path, leaf = paths.setdefault((path, label), len(paths) + 1), label
+        stack.append((name, path, leaf, bad, marks))
+        standing[name] += 1
         never += bad
         if name in ("article", "main"):
             # an article of comments or teasers says so itself; a wrapper's name doesn't
@@ -219,7 +229,7 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
+def path_ratios(found: list[Block]) -> dict[int, float]:
     """Fused ratio of each path: text and punctuation per block, smoothed, less linked text."""
     length, marks, linked, n = (defaultdict(float) for _ in range(4))
     for b in found:
@@ -231,7 +241,7 @@ def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
     raw = np.array([[length[b.path] / n[b.path], marks[b.path] / n[b.path] + 1] for b in found])
     pad = len(KERNEL) // 2
     near = np.stack([np.convolve(np.pad(raw[:, k], pad, mode="edge"), KERNEL, "valid") for k in (0, 1)], 1)
-    sums: dict[tuple[str, ...], float] = defaultdict(float)
+    sums: dict[int, float] = defaultdict(float)
     for b, (text, punctuation) in zip(found, near, strict=True):
         sums[b.path] += float(np.sqrt(text * punctuation))
     return {p: s / n[p] * (1 - linked[p] / length[p]) for p, s in sums.items()}
@@ -239,7 +249,7 @@ def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
 
 def _link(b: Block) -> bool:
     """Whether a block is mostly link; headings and an article's paragraphs may be."""
-    leaf = b.path[-1].split(".")[0] if b.path else ""
+    leaf = b.leaf.split(".")[0]
     return b.linked > LINKED * max(1, len(b.text())) and leaf not in HEADINGS and not (b.article and leaf == "p")
 
 
@@ -281,7 +291,7 @@ def main_text(page: str | None) -> str:
     for k in range(len(found) - 1, -1, -1):
         b, after = found[k], found[k + 1] if k + 1 < len(found) else None
         if not keep[k] and not _link(b):
-            if after is not None and keep[k + 1] and b.path and b.path[-1].split(".")[0] in HEADINGS:
+            if after is not None and keep[k + 1] and b.leaf.split(".")[0] in HEADINGS:
                 keep[k] = True
             elif b.article:
                 keep[k] = True

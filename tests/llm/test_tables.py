@@ -234,3 +234,14 @@ def test_every_window_has_an_anchor_and_equal_windows_the_same():
             window = tuple(words[[0, 150, 150][r] + s + k :][:20].tolist())
             assert seen.setdefault(window, a) == a
     assert m.sum() == (150 - 19) + (250 - 19)
+
+
+def test_html_of_hostile_pages_takes_linear_time():
+    import time
+
+    from linkweave.llm import html_extract
+
+    start = time.time()
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p>x</b>" * 50_000, "<div>text " * 20_000, "</div>" * 50_000):
+        html_extract.main_text(page)
+    assert time.time() - start < 20
