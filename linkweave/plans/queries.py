@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import names, numbers
-from linkweave.operators import bookkeeping, catalog, inventory, master, matching, repair, reports, review, similar, site_pages, urls
+from linkweave.operators import bookkeeping, catalog, inventory, lookups, master, matching, repair, reports, review, similar, site_pages, urls
 from linkweave.plans import projection as p
 from linkweave.sources import markup
 
@@ -617,6 +617,23 @@ def d18_reconciled_issues(spark, sf_dir):
     return bookkeeping.reconciled(p.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issue_id")), p.mappings(spark, sf_dir), reports.PLATFORMS)
 
 
+@query(p.with_sql("canon_series", "canon_issues") + ''', pairs as (select distinct title, (id % 6)::varchar as number from canon_series where id % 10 = 0) select i.issue_id, i.series_id, s.title, s.start_year, i.number from canon_issues i join canon_series s on s.id = i.series_id where (s.title, i.number) in (select title, number from pairs)''')
+def c21_bulk_issues(spark, sf_dir):
+    canon = p.canon(spark, sf_dir)
+    return lookups.issues_of_pairs(canon, canon.series.where("id % 10 = 0").select("title", (F.col("id") % 6).cast("string").alias("number")))
+
+
+@query(p.with_sql("canon_mappings") + " select * from canon_mappings where source = 'click' and source_issue_id in (select o_orderkey::varchar from orders where o_orderkey % 7 = 0)")
+def c22_bulk_mappings(spark, sf_dir):
+    ids = p.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("source_issue_id"))
+    return lookups.mappings_of_ids(p.canon(spark, sf_dir).mappings, "click", ids)
+
+
+@query(p.with_sql("canon_issues") + " select series_id, issue_id, number, row_number() over (partition by series_id order by number nulls last, issue_id)::int as place from canon_issues")
+def t5_issues_in_order(spark, sf_dir):
+    return lookups.issues_in_order(p.canon(spark, sf_dir))
+
+
 # --- inventory -----------------------------------------------------------------------
 
 _ITEMS = p.with_sql("canon_series", "canon_issues", "canon_mappings") + ''', found as (select issue_id, string_agg(source || ':' || source_issue_id, ',' order by source || ':' || source_issue_id) as maps, count(distinct source) as n from canon_mappings group by 1),

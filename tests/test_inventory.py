@@ -2,7 +2,7 @@
 
 import pytest
 
-from linkweave.operators import inventory, master, repair
+from linkweave.operators import inventory, lookups, master, repair
 
 PLATFORMS = ("a", "b")
 
@@ -53,3 +53,11 @@ def test_best_five(spark):
         found.setdefault(r.candidate_id, []).append((r.place, r.series_id, r.issue_id, round(r.confidence, 3)))
     assert sorted(found[1])[:2] == [(1, 20, None, 0.7), (2, 0, None, 0.665)] and len(found[1]) == len(found[5]) == 5
     assert sorted(found[2])[0] == (1, 3, 103, 0.7) and {r[2] for r in found[2]} == {103, 100, 101, 102, 104} and set(found) == {1, 2, 5}
+
+
+def test_bulk_lookups(spark, canon):
+    pairs = spark.createDataFrame([("X-Men", "1"), ("X-Men", "1"), ("The X-Men", "1"), ("X-Men", "9"), (None, "men"), ("100%_Real", None)], "title string, number string")
+    assert ids(lookups.issues_of_pairs(canon, pairs)) == [10, 12] and lookups.issues_of_pairs(canon, pairs.limit(0)).count() == 0
+    asked = spark.createDataFrame([("ab123",), ("ab123",), (None,), ("123",)], "source_issue_id string")
+    assert [r.mapping_id for r in lookups.mappings_of_ids(canon.mappings, "a", asked).collect()] == [1]
+    assert sorted((r.series_id, r.place, r.issue_id) for r in lookups.issues_in_order(canon).collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 12), (3, 1, 13), (4, 1, 14), (99, 1, 15)]
