@@ -61,3 +61,10 @@ def test_pages_to_candidates(spark):
     assert found[12].error is None
     assert (found[12].series_title, found[12].number, found[12].publisher, found[12].start_year, found[12].cover_date) == ("A", "1/2", "Marvel Comics", 1980, date(2001, 12, 5))
     assert site_pages.page_candidates(spark.createDataFrame([], "page_id long, platform string, html string")).count() == 0
+
+
+def test_references_without_a_semicolon_may_be_kept(spark):
+    html = '<title>a &amp;&amp; b &lt;c&gt; &amp</title><a href="/x?a&amp=1&amp;b">l</a><script>a && b &amp</script>'
+    read = lambda closed: {k: v[0]["value"] for k, v in markup.read_fields(spark.createDataFrame([(1, "s", html)], "page_id int, platform string, html string"), [("s", "t", "title", "text"), ("s", "h", "a", "@href"), ("s", "j", "script", "text")], closed=closed).first()["fields"].items()}
+    assert read(False)["t"] == "a && b <c> &"
+    assert read(True) == {"t": "a && b <c> &amp", "h": "/x?a&amp=1&b", "j": "a && b &amp"}
