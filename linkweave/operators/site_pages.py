@@ -132,14 +132,13 @@ def page_candidates(pages: DataFrame) -> DataFrame:
 
     ``error`` is ``empty_page``, ``unknown_site``, ``no_title``, ``no_number`` or what
     the number grammar says; then no field is set. The number is the canonical
-    one; a variant's suffix is the page's, else the number's. Pages meet what
-    was read of them by a join on ``page_id``, which has to be unique.
+    one; a variant's suffix is the page's, else the number's. What was read of
+    a page stays beside its html, so that no join is needed.
     """
     html = F.col("html")
-    read = markup.read_fields(pages, SITE_RULES).withColumn("details", F.col("fields")["details"])
+    read = markup.read_fields(pages, SITE_RULES, keep=("platform", "html")).withColumn("details", F.col("fields")["details"])
     # of a label that occurs twice the last counts
     read = read.withColumn("details", F.filter("details", lambda d, k: ~F.exists(F.slice(F.col("details"), k + 2, F.size("details")), lambda e: e["label"] == d["label"])))
-    x = pages.select("page_id", "platform", "html").join(read, "page_id")
     made = {"locg": _locg(), "aa": _aa(), "hip": _hip()}
     columns = {}
     for name in (*(f for f in FIELDS if f not in ("number", "variant_suffix")), "raw", "suffix"):
@@ -147,7 +146,7 @@ def page_candidates(pages: DataFrame) -> DataFrame:
         for site, fields in made.items():
             value = F.when(F.col("platform") == site, fields[name]).otherwise(value)
         columns[name] = value
-    y = x.select("page_id", "platform", F.coalesce(html == "", F.lit(True)).alias("empty"), *(c.alias(n) for n, c in columns.items())).withColumn("parsed", numbers.parsed(F.col("raw")))
+    y = read.select("page_id", "platform", F.coalesce(html == "", F.lit(True)).alias("empty"), *(c.alias(n) for n, c in columns.items())).withColumn("parsed", numbers.parsed(F.col("raw")))
     error = (
         F.when(~F.coalesce(F.col("platform").isin(*made), F.lit(False)), "unknown_site").when(F.col("empty"), "empty_page").when(F.col("series_title").isNull(), "no_title")
         .when(F.col("raw").isNull(), "no_number").otherwise(F.col("parsed.error_code"))

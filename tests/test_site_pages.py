@@ -68,3 +68,8 @@ def test_references_without_a_semicolon_may_be_kept(spark):
     read = lambda closed: {k: v[0]["value"] for k, v in markup.read_fields(spark.createDataFrame([(1, "s", html)], "page_id int, platform string, html string"), [("s", "t", "title", "text"), ("s", "h", "a", "@href"), ("s", "j", "script", "text")], closed=closed).first()["fields"].items()}
     assert read(False)["t"] == "a && b <c> &"
     assert read(True) == {"t": "a && b <c> &amp", "h": "/x?a&amp=1&b", "j": "a && b &amp"}
+
+
+def test_pages_are_read_without_a_join(spark):
+    pages = spark.createDataFrame([(1, "hip", HIP)], "page_id long, platform string, html string")
+    assert "Join" not in site_pages.page_candidates(pages)._jdf.queryExecution().executedPlan().toString()
