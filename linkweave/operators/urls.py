@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,14 +83,14 @@ URL_RULES = (
 FILES_ONLY = "comicbookdb.com"
 
 
-def _suffix(how: Column, part: Column, issue: Column) -> Column:
+def _suffix(how: str, part: Column, issue: Column) -> Column:
     """The variant that a url names, by its form's rule, or null."""
     copy = F.regexp_extract(part, r"/item/\d+/(\d+)", 1)  # the number after the item's, if it isn't the first copy
     number = F.regexp_extract(part, r"/titles/[^/]+/([^/]+)/[a-z0-9]+", 1)  # letters behind the number and a hyphen, or all behind a number of -1
     tail = F.substring_index(number, "-", -1)
     lettered = F.when(number.rlike("^-1."), F.substring(number, 3, 1 << 30)).when(number.rlike(r"^[^-].*-\p{L}+$"), tail)
     last = F.substring_index(F.regexp_replace(part, "/+$", ""), "/", -1)  # a path's last part behind the issue
-    return F.when(how == "copy", F.when(~copy.isin("", "1"), copy)).when(how == "number", lettered).when(how == "last", F.when((last != issue) & ~last.isin("", "keywords"), F.translate(last, "-_", "")))
+    return {"copy": F.when(~copy.isin("", "1"), copy), "number": lettered, "last": F.when((last != issue) & ~last.isin("", "keywords"), F.translate(last, "-_", ""))}[how]
 
 
 def platform_urls(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -97,28 +98,38 @@ def platform_urls(urls: DataFrame, column: str = "url") -> DataFrame:
 
     Urls are trimmed, and ports dropped. ``error`` is ``empty``, ``not_http``,
     ``files_only``, ``unsupported_host`` or ``bad_format``; nothing else is set
-    then, but for the platform of a bad format. Subdomains count. ``URL_RULES`` is
-    a literal table that every row filters by native expressions; the first rule
-    of its host that fits decides.
+    then, but for the platform of a bad format. Subdomains count. The first of
+    ``URL_RULES`` of its host that fits decides. Patterns are literals, so each is
+    compiled once and not for every row.
     """
     url = F.regexp_replace(F.trim(F.col(column)), r"^(https?://[^/?#:]*):[0-9]+(?=[/?#]|$)", "$1")
     host = F.lower(F.regexp_extract(F.col("__url"), r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.col("__url"), r"^https?://[^/?#]*([^?#]*)", 1)
-    table = F.array(*(F.struct(*(F.lit(getattr(r, f)).alias(f) for f in UrlRule.__dataclass_fields__)) for r in URL_RULES))
-    mine = F.filter(table, lambda r: (F.col("__host") == r["domain"]) | F.endswith(F.col("__host"), F.concat(F.lit("."), r["domain"])))
-    part = lambda r: F.when(r["part"] == "path", F.col("__path")).otherwise(F.col("__url"))
-    x = urls.withColumn("__url", url).withColumns({"__host": host, "__path": path}).withColumn("__rules", mine)
-    x = x.withColumn("__rule", F.get(F.filter("__rules", lambda r: F.regexp_like(part(r), r["pattern"])), F.lit(0)))
+    mine = lambda r: (F.col("__host") == r.domain) | F.endswith(F.col("__host"), F.lit("." + r.domain))
+    part = lambda r: F.col("__path" if r.part == "path" else "__url")
+    place, platform = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for k, r in reversed([*enumerate(URL_RULES)]):
+        place, platform = F.when(mine(r) & F.regexp_like(part(r), F.lit(r.pattern)), k).otherwise(place), F.when(mine(r), r.platform).otherwise(platform)
+    x = urls.withColumn("__url", url).withColumns({"__host": host, "__path": path}).withColumns({"__rule": place, "__platform": platform})
+
+    def by_rule(value: Callable[[UrlRule], Column | None]) -> Column:
+        """What the rule that decides gives, if it gives anything."""
+        out = F.lit(None).cast("string")
+        for k, r in enumerate(URL_RULES):
+            found = value(r)
+            out = out if found is None else F.when(F.col("__rule") == k, found).otherwise(out)
+        return out
+
     error = (
         F.when(F.col("__url").isNull() | (F.col("__url") == ""), "empty").when(~F.col("__url").rlike("^https?://"), "not_http").when(F.contains(F.lower("__url"), F.lit(FILES_ONLY)), "files_only")
-        .when(F.size("__rules") == 0, "unsupported_host").when(F.col("__rule").isNull(), "bad_format")
+        .when(F.col("__platform").isNull(), "unsupported_host").when(F.col("__rule").isNull(), "bad_format")
     )
-    x = x.withColumn("error", error).withColumn("__part", part(F.col("__rule")))
-    good, rule = F.col("error").isNull(), F.col("__rule")
-    group = lambda which: F.when(good & (rule[which] > 0), F.call_function("regexp_extract", F.col("__part"), rule["pattern"], rule[which]))
-    x = x.withColumns({"source_issue_id": group("issue"), "source_series_id": group("series"), "platform": F.when(good | (F.col("error") == "bad_format"), F.get("__rules", F.lit(0))["platform"])})
-    suffix = F.when(good, _suffix(rule["suffix"], F.col("__part"), F.col("source_issue_id")))
-    made = {"variant_suffix": suffix, "full_url": F.when(good & rule["whole"], F.col("__url"))}
+    x = x.withColumn("error", error)
+    good = F.col("error").isNull()
+    group = lambda which: F.when(good, by_rule(lambda r: F.regexp_extract(part(r), r.pattern, getattr(r, which)) if getattr(r, which) else None))
+    x = x.withColumns({"source_issue_id": group("issue"), "source_series_id": group("series"), "platform": F.when(good | (F.col("error") == "bad_format"), F.col("__platform"))})
+    suffix = F.when(good, by_rule(lambda r: _suffix(r.suffix, part(r), F.col("source_issue_id")) if r.suffix else None))
+    made = {"variant_suffix": suffix, "full_url": F.when(good, by_rule(lambda r: F.col("__url") if r.whole else None))}
     return x.select(*(F.col(f"`{c}`") for c in urls.columns), "platform", "source_issue_id", "source_series_id", *(c.alias(name) for name, c in made.items()), "error")
 
 
@@ -126,13 +137,13 @@ def resolve_platform_urls(urls: DataFrame, mappings: DataFrame, column: str = "u
     """Every url with the canonical issue that its platform's id is mapped to: ``resolved``, ``not_found`` or ``failed``.
 
     ``mappings`` has ``source, source_issue_id, issue_id``; of repeated ids the
-    least issue counts. Distinct ids meet the mappings, so that a url which
-    occurs often is looked up once.
+    least issue counts. Urls are parsed once; one without an id gets a key of its
+    own, so that such rows don't meet in one task.
     """
-    parsed = platform_urls(urls, column)
-    known = mappings.groupBy(F.col("source").alias("platform"), "source_issue_id").agg(F.min("issue_id").alias("issue_id"))
-    ids = parsed.where("source_issue_id is not null").select("platform", "source_issue_id").distinct().join(known, ["platform", "source_issue_id"])
-    found = parsed.join(ids, ["platform", "source_issue_id"], "left")
+    own = F.concat(F.lit("none:"), F.monotonically_increasing_id().cast("string"))
+    parsed = platform_urls(urls, column).withColumn("__id", F.coalesce("source_issue_id", own)).withColumn("__site", F.coalesce("platform", F.lit("")))
+    known = mappings.groupBy(F.col("source").alias("__site"), F.col("source_issue_id").alias("__id")).agg(F.min("issue_id").alias("issue_id"))
+    found = parsed.join(known, ["__site", "__id"], "left").withColumn("issue_id", F.when(F.col("source_issue_id").isNotNull(), F.col("issue_id")))
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("issue_id").isNull(), "not_found").otherwise("resolved")
     return found.select(*(F.col(f"`{c}`") for c in urls.columns), "platform", "source_issue_id", "issue_id", status.alias("status"), "error")
 

@@ -50,3 +50,11 @@ def test_urls_meet_mappings(spark):
     total = {r.platform: r for r in urls.resolve_summary(found).collect()}
     assert total["all"].summary == "Processed 7 URLs: 5 succeeded, 2 failed" and (total["gcd"].total, total["gcd"].resolved, total["unknown"].failed) == (4, 3, 2)
     assert urls.resolve_platform_urls(df.limit(0), known).count() == 0
+
+
+def test_urls_are_parsed_once_and_meet_the_mappings_once(spark):
+    links = spark.createDataFrame([(1, "https://comics.org/issue/5"), (2, None), (3, "https://comics.org/creator/5"), (4, "https://comics.org/issue/6")], "link_id int, url string")
+    known = spark.createDataFrame([("gcd", "5", 70), ("gcd", None, 8), (None, None, 9)], "source string, source_issue_id string, issue_id int")
+    df = urls.resolve_platform_urls(links, known)
+    assert {r.link_id: (r.issue_id, r.status) for r in df.collect()} == {1: (70, "resolved"), 2: (None, "failed"), 3: (None, "failed"), 4: (None, "not_found")}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
