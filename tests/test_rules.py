@@ -171,3 +171,30 @@ def test_every_branch_of_matching(spark):
         "group near": (80, 8, "exact_one_issue_group", 90, 2), "full number": (101, 10, "exact_series_variant", 90, 2), "full number equal": (None, 10, "exact_series", 80, None), "reverse": (130, 13, "reverse_one", 65, None),
         "short prefix": (10, None, "barcode_prefix", 100, None), "row begins with the head": (20, None, "barcode_prefix", 100, None), "no such prefix": (None, None, "no_match", 0, None),
     }
+
+
+@pytest.mark.parametrize("rare", [0, 2])
+def test_reverse_lookup_by_classes_equals_pairs(spark, monkeypatch, rare):
+    import random
+
+    from linkweave.operators import matching
+
+    def score(a, b):
+        short, long = sorted((a, b), key=len)
+        x, y = set(a.split(" ")), set(b.split(" "))
+        ratio = len(short) / len(long)
+        return 1.0 if a == b else min(0.9, 1.4 * ratio) if long.startswith(short) else 0.8 * ratio if short in long else len(x & y) / len(x | y)
+
+    monkeypatch.setattr(matching, "RARE", rare, raising=False)
+    rnd = random.Random(5)
+    made = lambda: " ".join(rnd.choice(["red", "red", "old", "a", "bolt", "redder", "b", "longestword"]) for _ in range(rnd.randint(1, 4)))
+    held, asked = [made() for _ in range(60)], [made() for _ in range(40)]
+    series = spark.createDataFrame([(k, n, "P") for k, n in enumerate(held)], "series_id long, name string, publisher string")
+    issues = spark.createDataFrame([(k, k, "1", 1990) for k in range(len(held))], "issue_id long, series_id long, number string, cover_year int")
+    rows = spark.createDataFrame([(k, n, "1", 1992, "p" if k % 2 else "") for k, n in enumerate(asked)], "row_id long, raw string, number string, year int, publisher string")
+    want = {}
+    for k, n in enumerate(asked):
+        best = min((-round(score(n, h), 6), s) for s, h in enumerate(held))
+        if best[0] < 0:
+            want[k] = best[1]
+    assert {r.row_id: r.series_id for r in matching.by_reverse(rows, series, issues).collect()} == want
