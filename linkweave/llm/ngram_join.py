@@ -146,7 +146,7 @@ class Bloom:
         return hit
 
 
-def _may_contain(ids: DataFrame):
+def may_contain(ids: DataFrame):
     """A broadcast Bloom filter of the column ``id``, of fixed size at most; each task makes whole blocks of it."""
     bits = min(BLOOM, max(12, int(ids.count() * 16).bit_length())) - 6
 
@@ -196,7 +196,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: Config) -> Stage:
     """Those of the distinct pairs ``a, b`` whose sets reach the threshold, written."""
     pairs = Stage(pairs, "pairs")  # read several times below
     ids = pairs.df.select(F.col("a").alias("id")).unionByName(pairs.df.select(F.col("b").alias("id"))).distinct()
-    wanted = _may_contain(ids)
+    wanted = may_contain(ids)
     sets = Stage(_sets(texts, cfg, wanted), "sets")
     wanted.destroy()
     left = pairs.df.join(sets.df.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("x")), "a")
@@ -346,7 +346,7 @@ def link(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text_c
     near = Window.partitionBy("token", "part").orderBy("n", "doc_id")
     beside = {"after": F.lead("doc_id").over(near), "before": F.lag("doc_id").over(near), "centre": _centre("doc_id")}
     shared = Stage(_shared(classes.df), "shared")
-    seen = _may_contain(shared.df)
+    seen = may_contain(shared.df)
     postings = Stage(_postings(classes.df, seen).withColumns(beside).where("lists > 1 or after is not null or before is not null"), "postings")
     seen.destroy()
     shared.drop()
@@ -409,7 +409,7 @@ def keep_one(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", te
     found = Stage(link(docs, cfg, id_col, text_col), "members").df.where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    wanted = _may_contain(gone.unionByName(again).distinct())
+    wanted = may_contain(gone.unionByName(again).distinct())
 
     @F.pandas_udf("boolean")
     def perhaps(ids: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import may_contain
 from .sparkutil import columns, named, output, session, sum_blocks, whole_rows
 from .textkernel import EXACT, NON_SPACE, mix, shingles, utf8, words
 
@@ -42,32 +43,43 @@ def grams(raw: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, 1 << BITS), np.int64)
+    total = np.zeros(1 << BITS, np.int64)
     for batch in batches:
         raw, at = utf8(batch.column(0))
-        trusted = np.asarray(batch.column(1).to_pylist(), bool)
         for i in range(len(at) - 1):
             n = np.bincount(grams(raw[at[i] : at[i + 1]]), minlength=0)
-            total[0, : len(n)] += n
-            if trusted[i]:
-                total[1, : len(n)] += n
-    for key, block in zip(("raw", "trusted"), total, strict=True):
-        yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "block": pa.array([block.tobytes()], pa.binary())})
+            total[: len(n)] += n
+    yield pa.RecordBatch.from_pydict({"key": pa.array(["all"]), "block": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(texts: DataFrame) -> np.ndarray:
+    """How often each hashed n-gram occurs in the column ``text``."""
+    found = sum_blocks(texts.where("text is not null").select("text").mapInArrow(_counts, "key string, block binary")).collect()  # one row
+    return sum((np.frombuffer(r.block, np.int64).astype(float) for r in found), np.zeros(1 << BITS))
 
 
 def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of each hashed n-gram.
 
     Raw counts cover every text of ``docs``. Trusted texts are those whose id is
-    in ``trusted_ids`` (column ``doc_id``); all of them count. The ids are only
-    broadcast while they are below Spark's own threshold, else the join shuffles.
+    in ``trusted_ids`` (column ``doc_id``); all of them count. Only texts that a
+    Bloom filter of the ids lets through are shuffled to meet the ids.
     Without any trusted text, or any text, all ratios are 0.
     """
     session(docs)
-    ids = trusted_ids.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().withColumn("__trusted", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left").where("text is not null").select("text", F.coalesce("__trusted", F.lit(False)).alias("trusted"))
-    found = {r.key: np.frombuffer(r.block, np.int64).astype(float) for r in sum_blocks(marked.mapInArrow(_counts, "key string, block binary")).collect()}
-    raw, good = (found.get(k, np.zeros(1 << BITS)) for k in ("raw", "trusted"))
+    ids = trusted_ids.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    wanted = may_contain(ids.select(F.xxhash64("__id").alias("id")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = wanted.value.perhaps(batch.column(0).to_numpy(zero_copy_only=False))
+            yield batch.select([1, 2]).filter(pa.array(hit))
+
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    known = texts.where("__id is not null and text is not null").withColumn("__id", F.col("__id").cast(ids.schema["__id"].dataType))
+    perhaps = known.select(F.xxhash64("__id").alias("hash"), "__id", "text").mapInArrow(pick, known.schema)
+    raw, good = _summed(texts), _summed(perhaps.join(ids.hint("merge"), "__id"))
+    wanted.destroy()
     if not good.any():
         return np.zeros(1 << BITS, np.float32)
     share = SMOOTH / (1 << BITS)

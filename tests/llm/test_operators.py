@@ -421,3 +421,16 @@ def test_word_hashes_do_not_depend_on_the_batch():
     one = next(textkernel.words(pa.array(["b a"]))).hashes
     two = next(textkernel.words(pa.array(["x", None, "", "c b a"])))
     assert list(two.hashes[two.of(3)][1:]) == list(one)
+
+
+def test_quality_shuffles_only_texts_that_may_be_trusted(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('some text of number ', id) text")
+    seen = []
+    plain = quality._summed
+    monkeypatch.setattr(quality, "_summed", lambda texts: (seen.append((texts.count(), texts._jdf.queryExecution().executedPlan().toString())), plain(texts))[1])
+    trusted = spark.range(0, 4000, 8).withColumnRenamed("id", "doc_id")
+    ratios = quality.fit(docs, trusted.unionByName(trusted))
+    (every, whole), (good, joined) = seen
+    assert (every, good) == (4000, 500) and "Join" not in whole and "SortMergeJoin" in joined and joined.count("MapInArrow") == 1
+    one = spark.range(1).selectExpr("id doc_id", "'abcd' text")
+    assert ratios.any() and not quality.fit(docs, one.where("text is null").select("doc_id")).any() and np.isfinite(quality.fit(docs, one.select("doc_id"))).all()
