@@ -29,12 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     held, before = _written(e)
     while before[0]:
-        both = held.df.unionByName(held.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        upward = held.df.select(F.col("v").alias("u"), F.col("u").alias("v"))  # edges run from u down to v
+        least = held.df.unionByName(upward).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after, now = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # a node's edge to its minimum stays, its other neighbours are linked with that minimum
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after, now = _written(small.distinct())
         held.drop()
         held = after
         if now == before:

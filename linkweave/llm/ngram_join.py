@@ -77,20 +77,18 @@ def _sketch(texts: DataFrame, cfg: Config) -> np.ndarray:
                 for i in range(w.last - w.first):
                     np.add.at(total, _bucket(shingles(w.hashes[w.of(i)], cfg.width), cfg.bits), np.uint32(1))
         # a task sends at most 65535 for a bucket: order only matters among rare and frequent
-        for k, part in enumerate(np.split(np.minimum(total, 65535).astype(np.uint16), parts)):
+        for k, part in enumerate(np.split(total, parts)):
             if part.any():
+                part = np.minimum(part, 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_pydict({"key": pa.array([str(k)]), "block": pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())})
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = np.frombuffer(block.as_buffer(), np.int64)
-                found = np.minimum(255, np.round(np.log2(n + 1.0) * 8)).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "block": pa.array([pa.compress(found, "zstd", asbytes=True)], pa.binary())})
+    def ranked(n: np.ndarray) -> bytes:
+        return pa.compress(np.minimum(255, np.round(np.log2(n + 1.0) * 8)).astype(np.uint8), "zstd", asbytes=True)
 
     rank = np.zeros(size, np.uint8)
     each = size // parts
-    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16, packed=size // parts).mapInArrow(ranked, "key string, block binary").toLocalIterator():
+    # one job for all blocks, 2**bits bytes at most before compression; an iterator would start a job for each partition
+    for row in sum_blocks(texts.mapInArrow(count, "key string, block binary"), dtype=np.uint16, packed=size // parts, finish=ranked).collect():
         k = int(row.key)
         rank[k * each : (k + 1) * each] = np.frombuffer(pa.decompress(row.block, each, "zstd"), np.uint8)
     return rank
@@ -169,7 +167,7 @@ def may_contain(ids: DataFrame):
     each = (1 << bits) // 8
     held = np.zeros((BLOCKS, each), np.uint8)
     n = min(BLOCKS, partitions(ids.sparkSession))
-    for row in ids.mapInArrow(dealt, "block long, id long").repartition(n, "block").mapInArrow(fill, "block long, held binary").toLocalIterator():
+    for row in ids.mapInArrow(dealt, "block long, id long").repartition(n, "block").mapInArrow(fill, "block long, held binary").collect():  # BLOCKS rows, in one job
         held[row.block] = np.frombuffer(pa.decompress(row.held, each, "zstd"), np.uint8)
     return ids.sparkSession.sparkContext.broadcast(Bloom(bits, held))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64, packed: int = 0) -> DataFrame:
-    """Sum equally long vectors of ``dtype`` by key; sums are int64.
+def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64, packed: int = 0, finish: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """Sum equally long vectors of ``dtype`` by key; sums are int64, or what ``finish`` makes of them.
 
     ``df`` has ``key string, block binary``; each task has pre-summed its rows,
     so a key comes once per task. Rows are summed as they stream by: a task
@@ -77,7 +77,7 @@ def sum_blocks(df: DataFrame, most: int = 64, dtype: type = np.int64, packed: in
                 else:
                     total[key] = values.astype(np.int64)
         for key, values in total.items():
-            yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.string()), "block": pa.array([values.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.string()), "block": pa.array([finish(values)], pa.binary())})
 
     n = min(most, partitions(df.sparkSession))
     return df.repartition(n, "key").mapInArrow(add, "key string, block binary")

@@ -93,6 +93,36 @@ def test_components_of_a_path(spark):
     assert found == {i: 0 for i in range(201)} | {900: 900, 901: 900}
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(999, k) for k in range(400, 440)]  # a hub with the largest id
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == root
+
+
+@pytest.mark.parametrize("what", ["filter", "sketch"])
+def test_ngram_join_reads_its_blocks_in_few_jobs(spark, documents, what):
+    """A job for each partition took minutes where tables are dealt over hundreds."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup(f"blocks of {what}", "")
+    try:
+        if what == "filter":
+            found = ngram_join.may_contain(spark.range(3_000)).value
+            assert found.perhaps(np.arange(3_000)).all() and found.perhaps(np.arange(10_000, 20_000)).mean() < 0.05
+        else:
+            assert ngram_join._sketch(documents.select("text"), ngram_join.Config()).max() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks of {what}")) < 10
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.ORG/es/1?x#y", "http://x.com/fr/a", "http://x.com/de/", "http://x.net/", "ftp://example.org/en/12", "example.org/es/", None, "http://org", "https://sub.example.org/en/2", "http://xorg/", "://org/?a"]
     pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
