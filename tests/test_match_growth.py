@@ -25,6 +25,34 @@ def test_substrings_meet_before_numbers_and_years(spark, monkeypatch):
     assert pairs and max(pairs) <= 4  # pairs of names, once each
 
 
+def test_rows_skip_strategies_that_cannot_win(spark, monkeypatch):
+    seen = {}
+    for name in ("by_reverse", "by_substring", "by_base_name", "by_date"):
+        f = getattr(matching, name)
+        monkeypatch.setattr(matching, name, lambda rows, *a, f=f, name=name: (seen.update({name: {r.row_id for r in rows.select("row_id").collect()}}), f(rows, *a))[1])
+    series = spark.createDataFrame([(1, "Zorro", "P", 1990), (2, "The Omega", "P", 1990), (3, "Alpha Flight", "P", 1990)], SERIES)
+    issues = spark.createDataFrame([(10, 1, "1", "canonical", 1990, None), (30, 3, "7", "canonical", 1990, None)], ISSUES)
+    rows = [(1, "Zorro", "1", 1990, "P", None), (2, "Omega", "7", 1991, "P", None), (3, "Omega", "9", 1960, "P", None), (4, "Alpha Flight Saga", "9", 1960, "P", None)]
+    found = {r.row_id: (r.issue_id, r.series_id, r.strategy) for r in matching.match(spark.createDataFrame(rows, ROWS), series, issues).collect()}
+    assert found == {1: (10, 1, "exact_one_issue"), 2: (30, 3, "reverse_one"), 3: (None, 2, "article_variant"), 4: (None, 3, "substring")}
+    assert seen == {"by_reverse": {2, 3, 4}, "by_substring": {4}, "by_base_name": {4}, "by_date": {4}}
+
+
+def test_an_index_for_any_publisher_is_read_once(spark):
+    index = spark.createDataFrame([("a", "p", 1), ("a", "q", 2), ("b", "", 4)], "key string, publisher string, n long").where(F.col("key") != "marker")
+    found = catalog.any_publisher(index)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
+    assert {tuple(r) for r in found.collect()} == {("a", "p", 1), ("a", "q", 2), ("a", "", 3), ("b", "", 4)}
+
+
+def test_prefixes_only_of_lengths_that_occur(spark):
+    codes = spark.createDataFrame([("1234567890123", 1, 5), ("123456789012399", 2, 6), ("12345", 3, 7)], "barcode string, first_id long, last_id long")
+    rows = spark.createDataFrame([(1, "12345678"), (2, "1234567890123444"), (3, "123"), (4, "9"), (5, None)], "row_id long, barcode string")
+    found = matching.by_barcode_prefix(rows, codes)
+    assert "explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.row_id: r.issue_id for r in found.collect()} == {1: 5, 2: 5, 3: 5}
+
+
 def test_clean_and_odd_names_follow_the_same_rules(spark):
     texts = ["", " ", "A  b", " A b", "A b ", "A\tb", "A b\n", "A b", "Ab́", "X-Men & Co", "Vol. 2 of it, VOLUME 3", "ABC iii", "Ab ANNUAL", "Ab (Marvel x)", "Ab (1990)", "Bolt And Co", "Z comics", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
