@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkweave.functions import names
-from linkweave.operators import catalog, matching
+from linkweave.operators import catalog, matching, reports
 
 ROWS = "row_id long, series_name string, number string, year int, publisher string, barcode string"
 SERIES = "series_id long, name string, publisher string, year_began int"
@@ -53,6 +53,13 @@ def test_prefixes_only_of_lengths_that_occur(spark):
     assert {r.row_id: r.issue_id for r in found.collect()} == {1: 5, 2: 5, 3: 5}
 
 
+def test_error_summary_makes_its_results_once(spark):
+    results = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(15)], "row_id long, category string").where(F.col("category") != "marker")
+    found = reports.error_summary(results)
+    assert "marker" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", 8, "0,2,4,6,8"), ("b", 7, "1,3,5,7,9")}
+
+
 def test_clean_and_odd_names_follow_the_same_rules(spark):
     texts = ["", " ", "A  b", " A b", "A b ", "A\tb", "A b\n", "A b", "Ab́", "X-Men & Co", "Vol. 2 of it, VOLUME 3", "ABC iii", "Ab ANNUAL", "Ab (Marvel x)", "Ab (1990)", "Bolt And Co", "Z comics", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
