@@ -70,3 +70,10 @@ def test_clean_and_odd_names_follow_the_same_rules(spark):
     strict = names.squeeze(F.regexp_replace(F.regexp_replace(F.lower(names.fold(c)), "&", "and"), r"[^a-z0-9\s]", ""))
     for r in df.select(c, names.key(c), key, names.collection_name(c), F.trim(cut), names.strict(c), strict).collect():
         assert r[1] == r[2] and r[3] == r[4] and r[5] == r[6], r[0]
+
+
+def test_barcodes_are_read_without_names(spark):
+    rows = spark.createDataFrame([(1, "A", "1", 1990, "P", " 12-3 "), (2, "B", "1", 1990, "P", "x")], ROWS)
+    found = matching.coded(rows)
+    assert "series_name" not in found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert [tuple(r) for r in found.collect()] == [(1, "123"), (2, None)]
